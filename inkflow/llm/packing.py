@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from inkflow.llm import vocab
 from inkflow.llm.common import rows_of, stage, table, texts
 
-SIZE, END_ID, PER_GROUP = 2048, 1, 50_000
+SIZE, END_ID, PER_GROUP = 2048, 1, 500
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -110,11 +110,9 @@ def pack(cut: DataFrame, size: int = SIZE, per_group: int = PER_GROUP) -> DataFr
     Ranks among equal lengths come from salted groups of about `per_group` pieces and the running
     totals of those groups, so that no task sorts all pieces of a frequent length.
     """
-    counted = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `size` rows
-    histogram = {r["length"]: r["n"] for r in counted}
-    slots = _slots(patterns(histogram, size))
-    salts = max(1, -(-max(histogram.values(), default=0) // per_group))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    counted = cut.groupBy("length").agg(F.count("*").alias("of_length"))  # at most `size` rows
+    slots = _slots(patterns({r["length"]: r["of_length"] for r in counted.collect()}, size))
+    salted = cut.join(F.broadcast(counted), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("of_length") / per_group)))
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
