@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from inkflow.llm import bpe, packing
+from inkflow.llm import ann, bpe, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_bpe": bpe.op3_bpe,
+    "op4_neardup": neardup.op4_neardup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_topk": topk.op6_topk,
+    "op8_secrets": secrets.op8_secrets,
+    "op10_ann": ann.op10_ann,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+            where vec_id is not null and embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+            from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 100 = 0
+        )
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+        from s qualify rank <= 10
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
