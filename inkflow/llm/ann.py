@@ -30,6 +30,8 @@ DEGREE, KEPT = 24, 96
 REPLICAS, BOUNDARY = 4, 1.15
 #: Lists that a query reads at most, and how much farther than its nearest they may be.
 PROBES, RATIO = 64, 1.35
+#: Lists that it reads in any case, and vectors that those must hold.
+LEAST_PROBES, LEAST_VECTORS = 8, 400
 #: Vectors of a sub-list, about.
 SUBLIST = 4096
 
@@ -159,13 +161,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     x = matrix(part.column("embedding"))
                     scale = most / np.sqrt((x**2).sum(1, keepdims=True))
                     order, d = graph.search(np.column_stack((x * scale, np.zeros(len(x)))))
-                    rows, column = np.nonzero(np.isfinite(d[:, :PROBES]) & (d[:, :PROBES] <= RATIO**2 * d[:, :1] + 1e-12))
+                    stored_ = counts.value[dim][order]
+                    before = np.cumsum(stored_, axis=1) - stored_
+                    place = np.arange(order.shape[1])[None, :]
+                    close = (d <= RATIO**2 * d[:, :1] + 1e-12) & (place < PROBES)
+                    rows, column = np.nonzero(np.isfinite(d) & (close | (place < LEAST_PROBES) | (before < LEAST_VECTORS)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(order[rows, column].astype(np.int32)), part.column("vec_id").cast(pa.int64()).take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["dim", "list", "vec_id", "embedding"])
 
     kind = dict(good.dtypes)["embedding"]
     schema = f"dim int, list int, vec_id long, embedding {kind}"
     postings = stage(good.mapInArrow(index, schema))
-    sizes = postings.groupBy("dim", "list").agg(F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each length
+    sizes = postings.groupBy("dim", "list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each length
+    held = {dim: np.zeros(len(graph.c), dtype=np.int64) for dim, (graph, _) in graphs.items()}
+    for r in sizes.collect():
+        held[r["dim"]][r["list"]] = r["n"]
+    counts, sizes = spark.sparkContext.broadcast(held), sizes.drop("n")
     stored = postings.join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
     reads = asked.dropDuplicates(["vec_id", "embedding"]).mapInArrow(probe, schema).join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     columns = ["dim", "list", "sub", "kind", "vec_id", "embedding"]

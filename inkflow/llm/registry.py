@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkflow.llm import ann, bpe, neardup, packing, secrets, topk, toxicity
+from inkflow.llm import ann, bpe, licences, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_neardup": neardup.op4_neardup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_topk": topk.op6_topk,
+    "op7_licences": licences.op7_licences,
     "op8_secrets": secrets.op8_secrets,
     "op10_ann": ann.op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_licences": licences.oracle(),
     "op6_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
