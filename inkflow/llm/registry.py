@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkflow.llm import ann, bpe, licences, neardup, packing, secrets, topk, toxicity
+from inkflow.llm import ann, bpe, extraction, licences, mixing, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
     "op3_bpe": bpe.op3_bpe,
     "op4_neardup": neardup.op4_neardup,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_topk": topk.op6_topk,
     "op7_licences": licences.op7_licences,
     "op8_secrets": secrets.op8_secrets,
+    "op9_extraction": extraction.op9_extraction,
     "op10_ann": ann.op10_ann,
 }
 
