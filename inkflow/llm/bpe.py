@@ -24,6 +24,8 @@ from inkflow.llm.common import rows_of, table, texts
 
 #: Distinct words (and bytes of words) that one DuckDB call encodes.
 WORDS, WORD_BYTES = 100_000, 2 << 20
+#: Encoded words that a worker keeps from one portion of texts to the next.
+KEPT = 600_000
 
 #: p: a byte's place in all words together; n: the place of the next token of its word, or -1.
 ENCODE = """
@@ -42,9 +44,9 @@ with recursive step(w, p, n, t, fin) as (
 select w, p, t from step where fin
 """
 IDS = "create or replace temp table ids as " + ENCODE
-#: Ordered aggregation: the ids as text, and the bytes that they stand for, as hex.
+#: Ordered aggregation: the ids as text, and the bytes that they stand for, as Latin-1 characters.
 DECODE = """
-select w, count(*) as n, string_agg(ids.t::varchar, ' ' order by p) as ids, string_agg(h, '' order by p) as bytes
+select string_agg(ids.t::varchar, ' ' order by p) as ids, string_agg(h, '' order by p) as back
 from ids join vocabulary on vocabulary.t = ids.t group by w order by w
 """
 
@@ -65,15 +67,15 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self._table("merges", {k: pa.array(v, pa.int32()) for k, v in zip("lrk", zip(*merge_table(ranks), strict=True), strict=True)})
-        self._table("vocabulary", {"t": pa.array(ranks.values(), pa.int32()), "h": [k.hex() for k in ranks]})
+        self._table("vocabulary", {"t": pa.array(ranks.values(), pa.int32()), "h": [k.decode("latin-1") for k in ranks]})
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as from given")
         self.db.unregister("given")
 
-    def words(self, words: list[str]) -> Iterator[tuple[str, str, int, bytes]]:
-        """(word, its ids as text, how many, the bytes they decode to)."""
+    def words(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Each word's ids as text, and the bytes they decode to as Latin-1 characters."""
         raw = [w.encode() for w in words]
         lengths = np.array([len(w) for w in raw])
         data, ends = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(lengths)
@@ -83,7 +85,7 @@ class Codec:
         self._table("start", {"w": np.repeat(np.arange(len(raw), dtype=np.int32), lengths), "p": place, "n": following, "t": self.byte[data]})
         self.db.execute(IDS)
         found = self.db.sql(DECODE).to_arrow_table()
-        yield from zip(words, found.column("ids").to_pylist(), found.column("n").to_pylist(), map(bytes.fromhex, found.column("bytes").to_pylist()), strict=True)
+        return found.column("ids").to_pylist(), found.column("back").to_pylist()
 
 
 @lru_cache(maxsize=1)
@@ -91,6 +93,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Words that this worker has encoded, and what their ids decode to; encode() bounds them."""
+    return {}, {}
+
+
 def _portions(words: set[str]) -> Iterator[list[str]]:
     portion, size = [], 0
     for word in words:
@@ -112,20 +120,25 @@ def encode(docs: DataFrame, ranks_path: str = vocab.RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(vocab.PATTERN).findall
+        ids, back = _kept(ranks_path)
         for batch in batches:
-            for part in rows_of(batch, 24 << 20):
+            for part in rows_of(batch):
                 split = [find(t.decode("utf-8", "replace")) for t in part.column("text").to_pylist()]
-                ids: dict[str, str] = {}
-                decoded: dict[str, bytes] = {}
-                for portion in _portions(set().union(*split)):
-                    for word, text, _, back in codec(ranks_path).words(portion):
-                        ids[word], decoded[word] = text, back
+                words = set().union(*split)
+                if len(ids) > KEPT:
+                    for kept in (ids, back):
+                        for word in kept.keys() - words:
+                            del kept[word]
+                for portion in _portions(words - ids.keys()):
+                    encoded, decoded = codec(ranks_path).words(portion)
+                    ids.update(zip(portion, encoded, strict=True))
+                    back.update(zip(portion, decoded, strict=True))
                 sums: tuple[list, list, list] = [], [], []
-                for words in split:
-                    text = " ".join([ids[w] for w in words])
+                for found in split:
+                    text = " ".join(map(ids.__getitem__, found))
                     sums[0].append(text.count(" ") + 1 if text else 0)
                     sums[1].append(hashlib.sha256(text.encode()).hexdigest())
-                    sums[2].append(hashlib.sha256(b"".join([decoded[w] for w in words])).hexdigest())
+                    sums[2].append(hashlib.sha256("".join(map(back.__getitem__, found)).encode("latin-1")).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
