@@ -1,18 +1,45 @@
-"""From raw documents to packed sequences: toxicity, near duplicates, secrets, packing."""
+"""From raw documents to packed sequences: toxicity, near duplicates, secrets, packing.
+
+Every stage takes all rows that its predecessor kept. The first three return the columns of
+documents; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkflow.llm import packing
+from inkflow.llm import neardup, packing, secrets, toxicity
 from inkflow.llm.common import stage, table
 
+#: Dropped ids sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier doesn't reject; it learns from the labelled rows outside the held-out fold."""
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels").filter(toxicity.fold() != 1))
+    return toxicity.accepted(docs, weights)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id, and all others without a duplicate."""
+    dropped = stage(neardup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts and n_chars to match."""
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(stage(packing.pieces(docs)))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("near_duplicates", without_near_duplicates), ("secrets", without_secrets), ("packing", packed)]
 ORACLE_SQL = None
 
 
