@@ -22,12 +22,15 @@ CELLS = 1 << 20
 SAMPLE = 12_000
 #: A cell counts from so many sampled rows on: rarer ones only help to learn single texts by heart.
 LEAST_ROWS = 3
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 1.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 8, 2.0, 1.0, 6.0, 1.0
 THRESHOLD, STEM = 0.7, 5
 
 
-def features(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells of each text, one text after another, and where each text's begin (one more entry than texts)."""
+def features(rows: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of each text, one text after another, and where each text's begin (one more entry than texts).
+
+    wanted: a truth value for each cell; others are left out before the sort.
+    """
     words, begins = word_hashes(rows)
     stems, stem_begins = word_hashes([b" ".join([w[:STEM] for w in r.lower().split()]) for r in rows])
     assert len(stems) == len(words) and (stem_begins == begins).all()
@@ -37,7 +40,10 @@ def features(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         same = owner[gap:] == owner[:-gap]
         pair = mix(words[:-gap] * np.uint64(0x9E3779B97F4A7C15 + 2 * gap) + words[gap:]) if len(words) > gap else words[:0]
         parts.append((owner[:-gap][same], pair[same]) if len(words) > gap else (owner[:0], pair))
-    key = np.unique(np.concatenate([(o << np.uint64(20)) | (h >> np.uint64(44)) for o, h in parts]))
+    cells = [(o, h >> np.uint64(44)) for o, h in parts]
+    if wanted is not None:
+        cells = [(o[kept], c[kept]) for o, c in cells for kept in [wanted[c]]]
+    key = np.unique(np.concatenate([(o << np.uint64(20)) | c for o, c in cells]))
     return (key & np.uint64(CELLS - 1)).astype(np.int32), np.searchsorted(key >> np.uint64(20), np.arange(len(rows) + 1, dtype=np.uint64))
 
 
@@ -46,11 +52,12 @@ class Ftrl:
 
     def __init__(self, cells: int = CELLS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.z, self.n = np.zeros(cells + 1), np.zeros(cells + 1)
-        self.alpha, self.beta, self.l1, self.l2, self.bias = alpha, beta, l1, l2, cells
+        self.alpha, self.beta, self.l2, self.bias = alpha, beta, l2, cells
+        self.l1 = np.full(cells + 1, l1)
+        self.l1[cells] = 0
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        l1 = np.where(np.arange(len(self.z))[at] == self.bias, 0.0, self.l1)
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
 
     def learn(self, cells: np.ndarray, label: int) -> None:
@@ -100,8 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, *keep: str) -> DataFrame:
-    """doc_id, score (0 to 1), predicted, and the columns of docs named in keep.
+def _scores(rows: list[bytes], weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    cells, begins = features(rows, wanted)
+    sums = np.concatenate(([0.0], np.cumsum(weights[cells])))
+    return 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + weights[-1], -35, 35)))
+
+
+def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (1 from the threshold on) for each row of docs.
 
     Every row is scored on its whole text; null and empty texts get the bias alone. Repeated rows
     repeat in the result.
@@ -109,17 +122,29 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, *k
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value[:-1] != 0
         for batch in batches:
             for part in rows_of(batch, 2 << 20):
-                cells, begins = features(part.column("text").to_pylist())
-                sums = np.concatenate(([0.0], np.cumsum(shared.value[cells])))
-                scores = 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + shared.value[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
-
-    rows = texts(docs, *keep)
-    kept = [c for c in rows.columns if c != "text" or "text" in keep]
-    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(run, f"{types}, score double, predicted int")
+                scores = _scores(part.column("text").to_pylist(), shared.value, wanted)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    rows = texts(docs)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value[:-1] != 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows = [t.encode() if t is not None else b"" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(_scores(rows, shared.value, wanted) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold() -> F.Column:
