@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,8 +123,8 @@ def word_hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64), np.concatenate(([0], np.cumsum(counts)))
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most `most` bytes of text."""
-    sizes = np.diff(np.frombuffer(batch.column("text").buffers()[1], dtype=np.int32)[batch.column("text").offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, dtype=np.int64)
-    for part in batches_of(sizes.astype(np.int64), most):
+def rows_of(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` bytes of its column of bytes."""
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    for part in batches_of(sizes, most):
         yield batch.slice(part.start, part.stop - part.start)

@@ -4,12 +4,14 @@
    sets are one class, and only its smallest doc_id goes on.
 2. Inverted lists hold retained values. Documents with a Jaccard index of at least 0.85 share about
    34 of the 40 smallest values of their union, and fewer than 18 with a chance below 1e-9, so they
-   share one of the 23 that come first in any order common to all. That order puts values that
-   many sketches hold last: a passage that many documents share makes no long lists.
+   share nine of the 31 that come first in any order common to all. That order puts values that
+   many sketches hold last: a passage that many documents share makes few long lists.
 3. Each list proposes links to its most central member only: a row per entry, whatever the length.
    Sketches of the union filter the proposals, full sets confirm them, links make components.
-4. Lists that still hold several components are compared in full, in blocks, and pairs within one
-   component are left out, so that no link between different texts is lost.
+4. Documents in enough lists that still hold several components meet once more by their full sets:
+   a similar pair shares one of the rarest 15 % of its values, and the bits in which the
+   parity maps of two sets differ are at most as many as the values. Pairs of different components that
+   pass both are confirmed too, so that no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import mix, rows_of, stage, table, texts, word_hashes
@@ -30,7 +32,9 @@ LEAST_ESTIMATE = 0.5
 #: Frequencies of sketch values are counted in as many cells (rows of CELLS), of two bytes each.
 TABLE, CELLS = 1 << 22, 1 << 16
 #: Members of a list that meet in one task, and partners of one document that do.
-BLOCK, PARTNERS = 512, 2048
+BLOCK, PARTNERS = 1024, 2048
+#: Bits of a set's parity map.
+MAP = 1024
 #: Ids sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -102,14 +106,25 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def _ordered(values: np.ndarray, begins: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of each sketch, rarest first (ties by value); their owners; how many of each come first."""
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    common = cells[(values >> np.uint64(1)).astype(np.int64) % TABLE]
-    order = np.lexsort((values, common, owner))
+def _least_lists(size: Column) -> Column:
+    """How many of the values that come first in its sketch a document of that many shingles shares with each similar one."""
+    kept = F.least(size, F.lit(K))
+    return F.ceil(F.ceil(kept * LEAST_SHARED / K) / 2)
+
+
+def _rarest(values: np.ndarray, begins: np.ndarray, cells: np.ndarray, shared: tuple[int, int], half: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(value, owner): of each set the values that come first, rarest first and ties by value.
+
+    So many that sets which share at least `shared` (numerator, denominator) of their values share
+    one of them, or (half) half as many as they share at least.
+    """
     sizes = np.diff(begins)
-    least = -(-sizes * LEAST_SHARED // K)
-    return values[order], owner, np.where(sizes > 0, sizes - least + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, cells[(values >> np.uint64(1)).astype(np.int64) % TABLE], owner))
+    least = -(sizes * shared[0] // -shared[1])
+    first = sizes - least + (-(least // -2) if half else 1)
+    keep = np.arange(len(values)) - begins[owner] < first[owner]
+    return values[order][keep], owner[keep]
 
 
 def postings(classes: DataFrame, cells: np.ndarray) -> DataFrame:
@@ -124,10 +139,8 @@ def postings(classes: DataFrame, cells: np.ndarray) -> DataFrame:
         for batch in batches:
             values, begins = _values(batch.column("sketch"))
             central = np.add.reduceat(np.append(np.minimum(shared.value[(values >> np.uint64(1)).astype(np.int64) % TABLE].astype(np.int64), 4096), 0), begins[:-1]) if len(begins) > 1 else np.zeros(0, dtype=np.int64)
-            values, owner, first = _ordered(values, begins, shared.value)
-            keep = np.arange(len(values)) - begins[owner] < first[owner]
-            rep = batch.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(rep[owner[keep]]), pa.array(central[owner[keep]])], ["v", "rep", "central"])
+            values, owner = _rarest(values, begins, shared.value, (LEAST_SHARED, K), half=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column("rep").to_numpy()[owner]), pa.array(central[owner])], ["v", "rep", "central"])
 
     return classes.filter("n > 0").select("rep", "sketch").mapInArrow(run, "v long, rep long, central long")
 
@@ -185,27 +198,34 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").filter("n_a is not null").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, hashes (8 bytes each): the sets of the wanted doc_ids, hashed from their texts again.
+
+    ids: doc_id, sig of the rows that stand for a class (a repeated doc_id may name several texts).
+    """
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = wanted.join(ids, "doc_id")
+    body = texts(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch):
+                found = list(shingle_sets(part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "sig", "hashes"])
+
+    return body.mapInArrow(run, "doc_id long, sig binary, hashes binary").join(F.broadcast(chosen) if few else chosen, ["doc_id", "sig"]).select("doc_id", "hashes")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Of the staged pairs (a, b), those whose full sets have an index of PERCENT or more.
 
     Texts of the pairs' documents are hashed again; each partner's set travels to the set of a.
     A document with many partners is dealt out over several tasks.
-    ids: doc_id, sig of one row for each class (a repeated doc_id may name several texts).
     """
     degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     members = pairs.join(degrees, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("member"))
     heads = degrees.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"))
-    wanted = members.unionByName(heads).join(ids, "doc_id")
-    few = pairs.count() <= BROADCAST_IDS // 2  # each pair names two documents at most
-    body = texts(docs)
-    if few:
-        body = body.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in rows_of(batch):
-                found = list(shingle_sets(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "sig", "hashes"])
+    wanted = members.unionByName(heads)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[np.ndarray] = []  # more than one where a doc_id names several texts
@@ -222,7 +242,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
                     links.append((a, member))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    rows = body.mapInArrow(sets, "doc_id long, sig binary, hashes binary").join(wanted, ["doc_id", "sig"]).select("a", "part", "member", "hashes")
+    rows = full_sets(docs, wanted.select("doc_id").distinct(), ids).join(wanted, "doc_id").select("a", "part", "member", "hashes")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first()).mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -249,49 +269,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a retained value; each pair once.
+def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components whose full sets share one of their rarest values, and fit by size and parity map.
 
-    A list's members meet in blocks of about BLOCK, each pair of blocks in a task of its own.
+    Only documents in enough lists that hold several components are looked at. A value's holders meet in
+    blocks of about BLOCK, each pair of blocks in a group of its own.
     """
     named = lists.select("v", "rep").join(comps, lists["rep"] == comps["node"], "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "v").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component")
-    rows = rows.join(classes.select("rep", "n", "sketch"), "rep")
-    shared = classes.sparkSession.sparkContext.broadcast(cells)
+    mixed = named.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
+    counted = named.join(mixed, "v").groupBy("rep", "component").agg(F.count("*").alias("lists"))
+    members = stage(counted.join(classes.select("rep", "n"), "rep").filter(F.col("lists") >= _least_lists(F.col("n"))).select("rep", "component").distinct())
+    sets = full_sets(docs, members.select(F.col("rep").alias("doc_id")), ids)
+    sets = stage(sets.join(members, sets["doc_id"] == members["rep"]).select("rep", "component", F.col("hashes").alias("sketch")))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch, column="sketch"):
+                values, begins = _values(part.column("sketch"))
+                values, owner = _rarest(values, begins, shared.value, (PERCENT, 100))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(x[owner]) for x in (part.column("rep").to_numpy(), part.column("component").to_numpy(), np.diff(begins)))], ["v", "rep", "component", "n"])
 
-    def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        v, x, y = group[0][:3]
-        values, begins = np.frombuffer(b"".join(r[7] for r in group), dtype=np.uint64), np.cumsum([0] + [len(r[7]) // 8 for r in group])
-        ordered, _, first = _ordered(values, begins, shared.value)
-        fronts = [ordered[begins[i] : begins[i] + first[i]] for i in range(len(group))]
-        whole = [values[begins[i] : begins[i + 1]] for i in range(len(group))]
-        sizes, comps_, blocks = (np.array([r[c] for r in group]) for c in (6, 5, 3))
-        value = np.array([v], dtype=np.int64).view(np.uint64)[0]
-        for i in range(len(group)):
-            fit = (comps_[i + 1 :] != comps_[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i]))
-            if x != y:
-                fit &= blocks[i + 1 :] != blocks[i]
-            for j in i + 1 + np.flatnonzero(fit):
-                common = fronts[i][np.isin(fronts[i], fronts[j], assume_unique=True)]
-                if len(common) and common[0] == value and _likely(whole[i], sizes[i], whole[j], sizes[j]):
-                    yield tuple(sorted((group[i][4], group[j][4])))
+    def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch, column="sketch"):
+                values, begins = _values(part.column("sketch"))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(begins))
+                odd = np.bincount(owner * MAP + (values % np.uint64(MAP)).astype(np.int64), minlength=part.num_rows * MAP) & 1
+                maps = np.packbits(odd.astype(np.uint8).reshape(-1, MAP), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([m.tobytes() for m in maps], pa.binary())], ["rep", "map"])
+
+    entries = stage(sets.mapInArrow(rarest, "v long, rep long, component long, n long"))
+    several = entries.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("v", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
+    rows = entries.join(several, "v").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "n").join(sets.mapInArrow(parity, "rep long, map binary"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        """Rows come sorted by v, x, y; the last, unfinished group of a batch waits for the next."""
+        rest, maps = np.zeros((0, 7), dtype=np.int64), np.zeros((0, MAP // 64), dtype=np.uint64)
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("v", "x", "y", "block", "rep", "component", "n", "sketch")), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    found += pairs_of(group)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-        found = list(pairs_of(group)) if group else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return rows.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "rep").select("v", "x", "y", "block", "rep", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+            rest = np.concatenate((rest, np.column_stack([batch.column(c).to_numpy() for c in ("v", "x", "y", "block", "rep", "component", "n")]).astype(np.int64)))
+            maps = np.concatenate((maps, np.frombuffer(b"".join(batch.column("map").to_pylist()), dtype=np.uint64).reshape(-1, MAP // 64)))
+            cuts = np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(1)) + 1
+            if len(cuts):
+                found = [pairs_of(rest[i:j], maps[i:j]) for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+                rest, maps = rest[cuts[-1] :], maps[cuts[-1] :]
+        if len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(rest, maps)], ["a", "b"])
+
+    def pairs_of(group: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, x, y = group[0, :3]
+        block, rep, component, n = group[:, 3:].T
+        j = np.flatnonzero(block == y)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for i in np.flatnonzero(block == x):
+            both = n[i] + n[j]
+            fit = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            fit &= rep[i] < rep[j] if x == y else True
+            to = j[fit]
+            # |A| + |B| - 2 |A and B| where the index is just PERCENT.
+            near = to[(100 + PERCENT) * np.bitwise_count(maps[i] ^ maps[to]).sum(1, dtype=np.int64) <= (100 - PERCENT) * both[fit]]
+            found.append(np.column_stack((np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near]))))
+        return tuple(np.concatenate(found).T)
+
+    return rows.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -311,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     proposed = lists.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = stage(confirmed(stage(likely(proposed, classes)), docs, ids))
     comps = components(first)
-    second = stage(confirmed(stage(_open_pairs(lists, comps, classes, cells)), docs, ids))
+    second = stage(confirmed(stage(_open_pairs(lists, comps, classes, docs, ids)), docs, ids))
     # A doc_id whose rows have different texts ties their classes together.
     several = named.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = named.join(several, "doc_id", "left_semi").join(classes.select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
