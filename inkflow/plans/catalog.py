@@ -170,7 +170,7 @@ _CHARSET_NAMES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in CHARSET_NAMES.i
 _DISTINCT = lambda x: f"list_transform(list_filter(list_zip({x}, range(1, len({x}) + 1)), lambda p: list_position({x}, p[1]) = p[2]), lambda p: p[1])"
 
 
-@_query("charset_parse", f"select c_custkey, array_to_string(e, '|') as encodings, array_to_string({_DISTINCT('s')}, ',') as names from (select *, list_transform(e, lambda x: {_CHARSET_NAMES}[x]) as s from (select c_custkey, case when len(list_filter(f, lambda x: x is null)) = 0 then f end as e from (select c_custkey, list_transform({_DISTINCT('t')}, lambda x: {_CHARSETS}[x]) as f from (select c_custkey, string_split(lower({_sql_choose('c_custkey', CHARSET_TEXTS)}), ',') as t from customer))))")
+@_query("charset_parse", f"select c_custkey, array_to_string(e, '|') as encodings, case when e is not null then array_to_string({_DISTINCT('s')}, ',') end as names from (select *, list_transform(e, lambda x: {_CHARSET_NAMES}[x]) as s from (select c_custkey, case when len(list_filter(f, lambda x: x is null)) = 0 then f end as e from (select c_custkey, list_transform({_DISTINCT('t')}, lambda x: {_CHARSETS}[x]) as f from (select c_custkey, string_split(lower({_sql_choose('c_custkey', CHARSET_TEXTS)}), ',') as t from customer))))")
 def charset_parse(spark, sf_dir):
     found = _table(spark, sf_dir, "customer").select("c_custkey", options.charsets(_choose(F.col("c_custkey"), CHARSET_TEXTS)).alias("e"))
     return found.select("c_custkey", F.when(F.col("e").isNotNull(), F.array_join("e", "|")).alias("encodings"), F.when(F.col("e").isNotNull(), options.charset_names(F.col("e"))).alias("names"))
@@ -234,13 +234,13 @@ def entry_list(spark, sf_dir):
 def _line_sql(kernel: str) -> str:
     rows = resample.weights(64, 20, kernel)
     sums = ", ".join(" + ".join(f"embedding[{at + 1}]::double * {w!r}::double" for at, w in row) for row in rows)
-    return f"select vec_id, unnest(range(20))::int as place, round(unnest([{sums}]), 6) as sample from embeddings"
+    return f"select vec_id, unnest(range(20))::int as place, floor(unnest([{sums}]) * 1000000 + 0.5) / 1000000 as sample from embeddings"
 
 
 def _line_query(kernel: str) -> Query:
     def run(spark, sf_dir):
         line = resample.resampled_line(F.col("embedding"), 64, 20, kernel)
-        return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(line).alias("place", "sample")).withColumn("sample", F.round("sample", 6))
+        return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(line).alias("place", "sample")).withColumn("sample", F.floor(F.col("sample") * 1000000 + 0.5) / 1000000)
 
     return run
 
