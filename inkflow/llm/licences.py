@@ -4,8 +4,9 @@ A text's units (every line, every paragraph of several lines, and the whole of s
 paragraphs) are normalised to lower-case ASCII words and compared to licence templates by the Dice
 coefficient of their sets of word bigrams. Two sets whose coefficient is t or more differ in size by a
 factor of (2 - t) / t at most, so units outside all templates' bounds are left out before any
-bigram is made, and pairs outside their own bounds before they are counted. Bigrams find their
-templates through an inverted list of a fixed size.
+bigram is made, and pairs outside their own bounds before they are counted. The same bound asks for
+t / (2 - t) of a template's bigrams, so a text without any of the words that the rest can't do
+without (see anchors) holds no match. Bigrams find their templates through an inverted list of a fixed size.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Words that are no anchors, being frequent anywhere.
+COMMON = frozenset("a an and are as at be by for from if in is it not of on or other that the this to under use with work you all any 0 1 2 3 4".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,6 +62,22 @@ def _bigrams(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def anchors(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every text holds one that reaches the threshold with a template.
+
+    For each template: words, those in most bigrams first, until the bigrams without any of them are too few.
+    """
+    found = set()
+    for _, text in templates:
+        own = _bigrams(text)
+        rest, words = own, {w for b in own for w in b.split()} - COMMON
+        while len(rest) >= threshold / (2 - threshold) * len(own):
+            best = max(sorted(words), key=lambda w: (w in found, sum(w in b.split() for b in rest)) if any(w in b.split() for b in rest) else (False, 0))
+            found.add(best)
+            rest = {b for b in rest if best not in b.split()}
+    return sorted(found)
+
+
 def inverted(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, int, str, int]]:
     """(bigram, template, licence, size of the template's set), a row for each bigram of each template."""
     return [(b, i, licence, len(own)) for i, (licence, text) in enumerate(templates) for own in [_bigrams(text)] for b in sorted(own)]
@@ -85,11 +104,13 @@ def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     sizes = [len(_bigrams(text)) for _, text in templates]
     ratio = (2 - threshold) / threshold
     low, high = min(sizes) / ratio, max(sizes) * ratio
-    rows = docs.filter("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(_units(F.col("text"))))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    hopeful = numbered.filter(F.col("text").rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(anchors(templates, threshold))})(?![0-9a-z])"))
+    rows = hopeful.select("doc_id", "row", F.inline(_units(F.col("text"))))
     words = rows.select("doc_id", "row", "unit", "position", F.filter(F.split("body", "[ \n]+"), lambda w: w != "").alias("words"))
     # A unit of n words has n - 1 bigrams at most, so fewer words can be left out at once.
     sized = words.filter(F.size("words") - 1 >= low)
-    grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
     sets = sized.select("doc_id", "row", "unit", "position", grams.alias("grams")).filter(F.size("grams").between(low, high))
     pairs = sets.select("doc_id", "row", "unit", "position", F.size("grams").alias("n"), F.explode("grams").alias("bigram")).join(index, "bigram")
     bounded = pairs.filter((F.col("n") >= F.col("size") / ratio) & (F.col("n") <= F.col("size") * ratio))
