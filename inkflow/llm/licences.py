@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from inkflow.llm.common import table
 
 THRESHOLD = 0.8
+#: Keeps rounded bounds from leaving out what just reaches the threshold.
+_SLACK = 1e-9
 
 # Wordings of public licences and of usual notices, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -71,7 +73,7 @@ def anchors(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THR
     for _, text in templates:
         own = _bigrams(text)
         rest, words = own, {w for b in own for w in b.split()} - COMMON
-        while len(rest) >= threshold / (2 - threshold) * len(own):
+        while len(rest) >= threshold / (2 - threshold) * len(own) - _SLACK:
             best = max(sorted(words), key=lambda w: (w in found, sum(w in b.split() for b in rest)) if any(w in b.split() for b in rest) else (False, 0))
             found.add(best)
             rest = {b for b in rest if best not in b.split()}
@@ -103,7 +105,7 @@ def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     index = F.broadcast(spark.createDataFrame(inverted(templates), "bigram string, template int, licence string, size int"))  # a fixed table
     sizes = [len(_bigrams(text)) for _, text in templates]
     ratio = (2 - threshold) / threshold
-    low, high = min(sizes) / ratio, max(sizes) * ratio
+    low, high = min(sizes) / ratio - _SLACK, max(sizes) * ratio + _SLACK
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     hopeful = numbered.filter(F.col("text").rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(anchors(templates, threshold))})(?![0-9a-z])"))
     rows = hopeful.select("doc_id", "row", F.inline(_units(F.col("text"))))
@@ -113,7 +115,7 @@ def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
     sets = sized.select("doc_id", "row", "unit", "position", grams.alias("grams")).filter(F.size("grams").between(low, high))
     pairs = sets.select("doc_id", "row", "unit", "position", F.size("grams").alias("n"), F.explode("grams").alias("bigram")).join(index, "bigram")
-    bounded = pairs.filter((F.col("n") >= F.col("size") / ratio) & (F.col("n") <= F.col("size") * ratio))
+    bounded = pairs.filter((F.col("n") >= F.col("size") / ratio - _SLACK) & (F.col("n") <= F.col("size") * ratio + _SLACK))
     counted = bounded.groupBy("row", "unit", "position", "template").agg(F.first("doc_id").alias("doc_id"), F.first("licence").alias("licence"), F.first("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("both"))
     dice = (2.0 * F.col("both")) / (F.col("n") + F.col("size"))
     best = Window.partitionBy("row", "unit", "position").orderBy(F.desc("dice"), "licence", "template")
@@ -142,9 +144,9 @@ def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRE
         uset as (select doc_id, row, unit, position, {grams("w")} as g from uwords where len(w) > 1),
         scored as (
             select u.*, t.template, t.licence, 2.0::double * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) as dice
-            from uset u join tset t on 2 * least(len(u.g), len(t.g)) >= {threshold} * (len(u.g) + len(t.g))
+            from uset u join tset t on len(list_intersect(u.g, t.g)) > 0
         )
-        select doc_id, unit, position::bigint as position, licence, dice from scored where dice >= {threshold}
+        select doc_id, unit, position::bigint as position, licence, dice from scored where dice >= {threshold}::double
         qualify row_number() over (partition by row, unit, position order by dice desc, licence, template) = 1
     """
 
