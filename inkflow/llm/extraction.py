@@ -39,6 +39,8 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("ul ol menu dl table body html article section div".split())
 MARKS = frozenset("nav navbar navigation menu header masthead footer contentinfo sidebar aside complementary ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe signup login popup modal overlay dialog form search searchform widget toolbar pagination pager skip".split())
 COMMENTS = frozenset("comment comments commentlist respond disqus discussion replies reviews".split())
+#: Elements of running text: they are left out only if all of their names are such marks.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th".split())
 APART = frozenset(("div", "section", "td", "table"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z|</[^a-zA-Z>][^>]*>?", re.DOTALL)
@@ -77,7 +79,7 @@ def _opened(tag: str, attributes: str, above: Open) -> Open:
     inside = above.main or is_main
     if (tag in DROPPED and not (tag == "header" and inside)) or words & COMMENTS and tag not in ("html", "body", "main"):
         dropped = 2
-    elif not dropped and tag not in ("html", "body") and not is_main and words & MARKS and not (inside and words & MARKS <= {"header"}):
+    elif not dropped and tag not in ("html", "body") and not is_main and words & MARKS and not (inside and words & MARKS <= {"header"}) and (tag not in RUNNING or words <= MARKS):
         dropped = 1
     siblings = above.node.children
     if siblings and siblings[-1].label == label and tag not in APART:

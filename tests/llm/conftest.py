@@ -1,0 +1,31 @@
+import random
+
+import pytest
+
+CLASHES = ["n", "sig", "rep", "row", "component", "held_out", "host", "length", "dim", "score", "rank", "toxic"]
+
+
+def _text(rng, words):
+    return " ".join("".join(rng.choice(("th", "on", "re", "é", "sch", "Ba", "ti")) for _ in range(rng.randint(1, 4))) for _ in range(words))
+
+
+@pytest.fixture(scope="session")
+def odd_texts():
+    """(doc_id, text): empty, null and very long texts, ties, repeated rows, a null id, near and exact copies."""
+    rng = random.Random(5)
+    base = _text(rng, 120).split()
+    near = base[:60] + ["other"] + base[61:]
+    rows = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "one two three four"), (6, "ONE two  three\nfour"), (7, _text(rng, 30000)), (8, " ".join(base)), (9, " ".join(near)), (10, " ".join(base)), (10, " ".join(base)), (None, " ".join(base)), (None, None), (11, "password = 'abcdefgh1' \x00 end"), (12, "x" * 5000), (13, "日本語 \U0001f600 text" * 3)]
+    return rows + [(20 + i, _text(rng, rng.randint(1, 60))) for i in range(30)]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark, odd_texts):
+    """The same with columns whose names operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, None, "s", None, *["x"] * len(CLASHES)) for i, t in odd_texts], schema)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")

@@ -1,0 +1,53 @@
+"""The pipeline, stage by stage, against plain forms of each stage's decision."""
+
+from collections import Counter
+
+import corpus_pipeline
+from inkflow.llm import secrets, toxicity
+from inkflow.llm.common import stage, table
+from tests.llm.test_texts import brute_components
+from tests.llm.test_tokens import check_packing
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, DATA, "documents")
+    columns, before = docs.columns, {r["doc_id"]: r for r in docs.collect()}
+    weights = toxicity.train(docs, table(spark, DATA, "labels").filter(toxicity.fold() != 1))
+    rejected = {r["doc_id"] for r in toxicity.score(docs, weights).filter("predicted = 1").collect()}
+    for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(step(spark, docs, DATA))
+        rows = docs.collect()
+        if i < 3:
+            assert docs.columns == columns
+            after = {r["doc_id"]: r for r in rows}
+            if name == "toxicity":
+                assert set(before) - set(after) == rejected and all(after[k] == before[k] for k in after)
+            elif name == "near_duplicates":
+                groups = brute_components([(k, r["text"]) for k, r in before.items()])
+                assert set(after) == set(groups.values()) and all(after[k] == before[k] for k in after)
+            else:
+                assert set(after) == set(before)
+                for k, r in after.items():
+                    text = secrets.redact(before[k]["text"], secrets.scan(before[k]["text"])[1])
+                    assert (r["text"], r["n_chars"]) == (text, len(text))
+            before = after
+        else:
+            check_packing(rows, [(k, r["text"]) for k, r in before.items()])
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"]
+
+
+def test_run_equals_its_stages(spark):
+    docs = table(spark, DATA, "documents")
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, DATA))
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert Counter(map(key, corpus_pipeline.run(spark, DATA).collect())) == Counter(map(key, docs.collect()))
+
+
+def test_odd_documents_pass_all_stages(spark, odd_docs):
+    docs = odd_docs
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, DATA))
+    assert docs.count() > 0

@@ -1,0 +1,87 @@
+"""Exact top-k and approximate neighbours against brute force."""
+
+import numpy as np
+
+from inkflow.llm import ann, topk
+
+SCHEMA = "vec_id long, embedding array<float>, length string, dim string, score string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, e, "x", "y", "z") for i, e in rows], SCHEMA)
+
+
+def odd_vectors():
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(1000 + i, rows[5][1]) for i in range(40)]  # ties
+    rows += [(5, rows[5][1]), (400, None), (500, [1.0, None] * 4), (600, [float("nan")] * 8), (700, [float("inf")] * 8), (800, [0.0] * 8), (None, [1.0] * 8), (900, []), (20, rows[20][1]), (1200, [3.0, 4.0]), (1201, [1.0, 0.5]), (1300, [1e6] * 8)]
+    return rows
+
+
+def fine(rows, zero=True):
+    return [(i, e) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e) and (zero or any(e))]
+
+
+def test_exact_top_k(spark):
+    rows = odd_vectors()
+    vectors = frame(spark, rows)
+    for block, queries in ((16, 3), (2048, 1024)):
+        found = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), block=block, query_block=queries).collect()
+        wanted = []
+        ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e in fine(rows)]
+        for q_id, q in [x for x in ints if x[0] % 100 == 0]:
+            scores = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), i) for i, e in ints if i != q_id and len(e) == len(q))[:10]
+            wanted += [(q_id, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+        assert sorted(map(tuple, found)) == sorted(wanted)
+    nothing = vectors.limit(0)
+    assert topk.top_k(nothing, nothing).collect() == [] and topk.top_k(vectors, nothing).collect() == []
+
+
+def test_products_beyond_doubles_are_exact():
+    a, b = np.array([[2**40 + 1, 3]]), np.array([[2**12 + 1, -5], [2**62, 2**62]])
+    assert topk.products(a, b).tolist() == [[(2**40 + 1) * (2**12 + 1) - 15, 2**63 - 1]]
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = odd_vectors()
+    vectors = frame(spark, rows)
+    found = ann.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    good = sorted(set((i, tuple(e)) for i, e in fine(rows, zero=False)))
+    hit = total = 0
+    for q_id, q in [x for x in good if x[0] % 20 == 0]:
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q_id)
+        scores = sorted((-(np.array(q, dtype=np.float64) * np.array(e, dtype=np.float64)).sum(), i) for i, e in good if i != q_id and len(e) == len(q))
+        assert [r[0] for r in own] == list(range(1, min(20, len(scores)) + 1))
+        exact = {i: -s for s, i in scores}
+        assert all(exact[i] == s for _, i, s in own) and [(-s, i) for _, i, s in own] == sorted((-s, i) for _, i, s in own)
+        hit, total = hit + len({i for _, i in scores[:20]} & {i for _, i, _ in own}), total + min(20, len(scores))
+    assert hit >= 0.9 * total
+    nothing = vectors.limit(0)
+    assert ann.nearest(nothing, nothing).collect() == []
+
+
+def test_recall_over_many_lists(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 32))
+    x = centres[rng.integers(0, 12, 4000)] + 0.6 * rng.normal(size=(4000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    found = ann.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    own = {}
+    for r in found:
+        own.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(scores, -np.inf)
+    hit = sum(len(own[q] & set(np.argsort(-scores[q], kind="stable")[:20].tolist())) for q in range(0, 4000, 20))
+    assert hit >= 0.9 * 200 * 20 and len(found) == 200 * 20
+
+
+def test_graph_finds_the_nearest_centroids():
+    rng = np.random.default_rng(4)
+    graph = ann.Graph(rng.normal(size=(500, 16)))
+    x = rng.normal(size=(200, 16))
+    order, d = graph.search(x)
+    exact = ((x[:, None] - graph.c) ** 2).sum(2)
+    assert np.mean([len(set(order[i, :10]) & set(np.argsort(exact[i])[:10])) for i in range(200)]) > 9
+    assert np.allclose(d, np.take_along_axis(exact, order, 1))
