@@ -157,10 +157,10 @@ for _name, _ratio in (("resize_plan_default", 70), ("resize_plan_ratio50", 50),
     _query(_name, _plan_sql(_ratio))(_plan_query(_ratio))
 
 
-@_query("clamp_pct", "select l_orderkey, l_linenumber, (case when n >= 100 then 100 when n <= 0 then 70 else n end)::int as ratio from (select l_orderkey, l_linenumber, case when regexp_full_match(t, '[+-]?[0-9]+') then try_cast(t as bigint) end as n from (select *, (['', '+', ' ', '-', 'x'])[(l_orderkey % 5 + 1)::int] || (l_partkey % 130) as t from lineitem))")
+@_query("clamp_pct", "select l_orderkey, l_linenumber, coalesce(case when n >= 100 then 100 when n <= 0 then 70 else n end, -1)::int as ratio from (select l_orderkey, l_linenumber, case when regexp_full_match(t, '[+-]?[0-9]+') then try_cast(t as bigint) end as n from (select *, (['', '+', ' ', '-', 'x'])[(l_orderkey % 5 + 1)::int] || (l_partkey % 130) as t from lineitem))")
 def clamp_pct(spark, sf_dir):
     text = F.concat(_choose(F.col("l_orderkey"), ["", "+", " ", "-", "x"]), (F.col("l_partkey") % 130).cast("string"))
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", options.percent(text, 70).alias("ratio"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(options.percent(text, 70), F.lit(-1)).alias("ratio"))
 
 
 CHARSET_TEXTS = ["ja,zh", "JA,ja", "ja,ja-jp", "ja, zh", "ko,zh-cn,KO-KR", "xx,yy", ""]
