@@ -18,6 +18,24 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_neardup": r"""
+        with recursive words as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+            from documents
+        ), sets as (
+            select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+            from words
+        ), shingle as (select doc_id, len(g) as n, unnest(g) as s from sets),
+        link as (
+            select a.doc_id as a, b.doc_id as b from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach as (
+            select doc_id, doc_id as other from sets
+            union
+            select reach.doc_id, link.b from reach join link on link.a = reach.other
+        ), component as (select doc_id, min(other) as component_id from reach group by doc_id)
+        select doc_id, len(g)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join component using (doc_id)
+    """,
     "op7_licences": licences.oracle(),
     "op6_topk": """
         with v as (
