@@ -2,7 +2,7 @@
 
 Centroids are fitted on a bounded sample, with a charge on full clusters that keeps lists even. A
 graph of their neighbours, held in memory, is searched best first. Every vector is indexed: it goes to its
-nearest centroid and, near a boundary, to further ones that no chosen centroid stands closer to
+nearest centroid and, near a boundary, to further ones that no chosen centroid stands close to
 (so replicas lie in different directions). A query reads the lists whose centroid distance is
 within a ratio of its nearest. Lists are stored in sub-lists of bounded length.
 
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import stage, table
+from inkflow.llm.common import lean, stage, table
 from inkflow.llm.topk import by_dimension, matrix, usable
 
 K, EVERY = 20, 20
@@ -26,10 +26,11 @@ K, EVERY = 20, 20
 SAMPLE, CENTROIDS, PER_CENTROID = 20_000, 1024, 100
 #: Neighbours of a centroid in the graph, candidates that a search keeps.
 DEGREE, KEPT = 24, 96
-#: Lists that a vector goes to at most, and how much farther (as a ratio) than its nearest they may be.
-REPLICAS, BOUNDARY = 4, 1.15
+#: Lists that a vector goes to at most, how much farther (as a ratio) than its nearest they may be, and
+#: how near to a list, as a part of its own distance, no list that was taken before may be.
+REPLICAS, BOUNDARY, APART = 8, 1.4, 0.3
 #: Lists that a query reads at most, and how much farther than its nearest they may be.
-PROBES, RATIO = 64, 1.35
+PROBES, RATIO = 48, 1.35
 #: Lists that it reads in any case, and vectors that those must hold.
 LEAST_PROBES, LEAST_VECTORS = 8, 400
 #: Vectors of a sub-list, about.
@@ -104,7 +105,7 @@ def _lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = order[:, j]
         fit_ = np.isfinite(d[:, j]) & (d[:, j] <= BOUNDARY**2 * d[:, 0]) & (count < REPLICAS)
         for other, used in taken:
-            fit_ &= ~used | (((graph.c[other] - graph.c[c]) ** 2).sum(1) > d[:, j])
+            fit_ &= ~used | (((graph.c[other] - graph.c[c]) ** 2).sum(1) > APART**2 * d[:, j])
         taken.append((c, fit_))
         count += fit_
         rows.append(np.flatnonzero(fit_))
@@ -122,6 +123,17 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1)
 
 
+def merged(have: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (scores, ids) of both, each id and score once, ties to the smaller id."""
+    if have is not None:
+        scores, ids = np.concatenate((have[0], scores)), np.concatenate((have[1], ids))
+    order = np.lexsort((ids, -scores))
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (ids[order][1:] == ids[order][:-1]) & (scores[order][1:] == scores[order][:-1])
+    order = order[~again][:k]
+    return scores[order], ids[order]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors found with the largest inner products, ties to the smaller vec_id.
 
@@ -170,14 +182,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     kind = dict(good.dtypes)["embedding"]
     schema = f"dim int, list int, vec_id long, embedding {kind}"
-    postings = stage(good.mapInArrow(index, schema))
+    postings = stage(good.mapInArrow(lean(index), schema))
     sizes = postings.groupBy("dim", "list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each length
     held = {dim: np.zeros(len(graph.c), dtype=np.int64) for dim, (graph, _) in graphs.items()}
     for r in sizes.collect():
         held[r["dim"]][r["list"]] = r["n"]
     counts, sizes = spark.sparkContext.broadcast(held), sizes.drop("n")
     stored = postings.join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-    reads = asked.dropDuplicates(["vec_id", "embedding"]).mapInArrow(probe, schema).join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    reads = asked.dropDuplicates(["vec_id", "embedding"]).mapInArrow(lean(probe), schema).join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     columns = ["dim", "list", "sub", "kind", "vec_id", "embedding"]
     together = stored.withColumn("kind", F.lit(0)).select(*columns).unionByName(reads.withColumn("kind", F.lit(1)).select(*columns))
 
@@ -187,8 +199,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def found() -> pa.RecordBatch:
-            n = [len(v[0]) for v in best.values()]
-            out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), dtype=np.int64), n)), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))], ["query_id", "vec_id", "score"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([v[1] for v in best.values()], pa.list_(pa.int64())), pa.array([v[0] for v in best.values()], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
             best.clear()
             return out
 
@@ -201,13 +212,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 have = best.get(q_id)
                 least = max(np.partition(row, -k)[-k] if len(row) > k else -np.inf, have[0][-1] if have is not None and len(have[0]) == k else -np.inf)
                 near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf)) if np.isfinite(least) else np.flatnonzero(row > -np.inf)
-                s, v = dots(own[near], q[i][None, :]), own_ids[near]
-                if have is not None:
-                    s, v = np.concatenate((have[0], s)), np.concatenate((have[1], v))
-                order = np.lexsort((v, -s))
-                same = np.append(False, (v[order][1:] == v[order][:-1]) & (s[order][1:] == s[order][:-1])) if len(order) else np.zeros(0, dtype=bool)
-                order = order[~same][:k]
-                best[q_id] = (s[order], v[order])
+                best[q_id] = merged(have, dots(own[near], q[i][None, :]), own_ids[near], k)
 
         for batch in batches:
             head = np.column_stack([batch.column(c).to_numpy() for c in ("dim", "list", "sub", "kind")])
@@ -229,9 +234,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if best:
             yield found()
 
-    partial = together.repartition("dim", "list", "sub").sortWithinPartitions("dim", "list", "sub", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial answers come sorted by query."""
+        query, best = None, None
+
+        def answer() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0]), query, dtype=np.int64)), pa.array(np.arange(1, len(best[0]) + 1, dtype=np.int32)), pa.array(best[1]), pa.array(best[0])], ["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for q_id, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
+                if q_id != query:
+                    if best is not None:
+                        yield answer()
+                    query, best = q_id, None
+                best = merged(best, np.array(scores, dtype=np.float64), np.array(ids, dtype=np.int64), k)
+        if best is not None:
+            yield answer()
+
+    partial = together.repartition("dim", "list", "sub").sortWithinPartitions("dim", "list", "sub", "kind").mapInArrow(lean(search), "query_id long, ids array<long>, scores array<double>")
+    return partial.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lean(rank), "query_id long, rank int, vec_id long, score double")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
