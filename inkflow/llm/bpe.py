@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from inkflow.llm import vocab
-from inkflow.llm.common import rows_of, table, texts
+from inkflow.llm.common import lean, rows_of, table, texts
 
 #: Distinct words (and bytes of words) that one DuckDB call encodes.
 WORDS, WORD_BYTES = 100_000, 2 << 20
+#: Bytes of text that are split at once.
+PORTION = 8 << 20
 #: Encoded words that a worker keeps from one portion of texts to the next.
 KEPT = 600_000
 
@@ -122,7 +124,7 @@ def encode(docs: DataFrame, ranks_path: str = vocab.RANKS) -> DataFrame:
         find = regex.compile(vocab.PATTERN).findall
         ids, back = _kept(ranks_path)
         for batch in batches:
-            for part in rows_of(batch):
+            for part in rows_of(batch, PORTION):
                 split = [find(t.decode("utf-8", "replace")) for t in part.column("text").to_pylist()]
                 words = set().union(*split)
                 if len(ids) > KEPT:
@@ -141,7 +143,7 @@ def encode(docs: DataFrame, ranks_path: str = vocab.RANKS) -> DataFrame:
                     sums[2].append(hashlib.sha256("".join(map(back.__getitem__, found)).encode("latin-1")).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import mix, rows_of, stage, table, texts, word_hashes
+from inkflow.llm.common import lean, mix, rows_of, stage, table, texts, word_hashes
 
 K, LEAST_SHARED, WORDS, PERCENT = 40, 18, 5, 85
 #: An estimate from 40 values misses an index of 0.85 by so much with a chance below 1e-7.
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "sig", "sketch"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, sketch binary")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n long, sig binary, sketch binary")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 65535).astype("<u2").tobytes() for s in sums.values()], pa.binary())], ["row", "cells"])
 
     whole = np.zeros((TABLE // CELLS, CELLS), dtype="<u2")
-    counts = classes.select("sketch").mapInArrow(count, "row int, cells binary").repartition("row").mapInArrow(add, "row int, cells binary")
+    counts = classes.select("sketch").mapInArrow(lean(count), "row int, cells binary").repartition("row").mapInArrow(lean(add), "row int, cells binary")
     for r in counts.collect():  # TABLE // CELLS rows
         whole[r["row"]] = np.frombuffer(r["cells"], dtype="<u2")
     return whole.reshape(-1)
@@ -142,7 +142,7 @@ def postings(classes: DataFrame, cells: np.ndarray) -> DataFrame:
             values, owner = _rarest(values, begins, shared.value, (LEAST_SHARED, K), half=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column("rep").to_numpy()[owner]), pa.array(central[owner])], ["v", "rep", "central"])
 
-    return classes.filter("n > 0").select("rep", "sketch").mapInArrow(run, "v long, rep long, central long")
+    return classes.filter("n > 0").select("rep", "sketch").mapInArrow(lean(run), "v long, rep long, central long")
 
 
 def inverted_lists(entries: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def inverted_lists(entries: DataFrame) -> DataFrame:
             value, pivot = v[-1], pivots[-1]
 
     ordered = entries.repartition("v").sortWithinPartitions("v", F.desc("central"), "rep")
-    return ordered.mapInArrow(run, "v long, pivot long, rep long")
+    return ordered.mapInArrow(lean(run), "v long, pivot long, rep long")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,7 +195,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").filter("n_a is not null").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").filter("n_a is not null").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(lean(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
                 found = list(shingle_sets(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "sig", "hashes"])
 
-    return body.mapInArrow(run, "doc_id long, sig binary, hashes binary").join(F.broadcast(chosen) if few else chosen, ["doc_id", "sig"]).select("doc_id", "hashes")
+    return body.mapInArrow(lean(run), "doc_id long, sig binary, hashes binary").join(F.broadcast(chosen) if few else chosen, ["doc_id", "sig"]).select("doc_id", "hashes")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = full_sets(docs, wanted.select("doc_id").distinct(), ids).join(wanted, "doc_id").select("a", "part", "member", "hashes")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first()).mapInArrow(meet, "a long, b long").distinct()
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first()).mapInArrow(lean(meet), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,17 +292,18 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_of(batch, column="sketch"):
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 values, begins = _values(part.column("sketch"))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(begins))
                 odd = np.bincount(owner * MAP + (values % np.uint64(MAP)).astype(np.int64), minlength=part.num_rows * MAP) & 1
                 maps = np.packbits(odd.astype(np.uint8).reshape(-1, MAP), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([m.tobytes() for m in maps], pa.binary())], ["rep", "map"])
 
-    entries = stage(sets.mapInArrow(rarest, "v long, rep long, component long, n long"))
+    entries = stage(sets.mapInArrow(lean(rarest), "v long, rep long, component long, n long"))
     several = entries.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("v", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
     rows = entries.join(several, "v").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "n").join(sets.mapInArrow(parity, "rep long, map binary"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "n").join(sets.mapInArrow(lean(parity), "rep long, map binary"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by v, x, y; the last, unfinished group of a batch waits for the next."""
@@ -333,7 +334,7 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
             found.append(np.column_stack((np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near]))))
         return tuple(np.concatenate(found).T)
 
-    return rows.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "rep").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "rep").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

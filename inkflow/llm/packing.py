@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkflow.llm import vocab
-from inkflow.llm.common import rows_of, stage, table, texts
+from inkflow.llm.common import lean, rows_of, stage, table, texts
 
 SIZE, END_ID, PER_GROUP = 2048, 1, 500
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, ranks_path:
             columns = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(cut, PIECES)
+    return texts(docs).mapInArrow(lean(cut), PIECES)
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -132,7 +132,7 @@ def pack(cut: DataFrame, size: int = SIZE, per_group: int = PER_GROUP) -> DataFr
                 sequence[rows], offset[rows] = table_[at, 1] + rank[rows] - table_[at, 0], table_[at, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "base").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "base").mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import stage, table
+from inkflow.llm.common import lean, stage, table
 
 K, EVERY, SCALE = 10, 100, 1024
 #: Vectors of a candidate block, queries of a query block, coordinates of the partial sums.
@@ -60,7 +60,7 @@ def _rotations(vectors: DataFrame, scale: int) -> dict[int, np.ndarray]:
         for dim, m in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, dim, dtype=np.int32)), pa.array(np.arange(m.size, dtype=np.int64)), pa.array(m.reshape(-1))], ["dim", "cell", "x"])
 
-    rows = vectors.mapInArrow(moments, "dim int, cell long, x double").groupBy("dim", "cell").agg(F.sum("x").alias("x")).toPandas()
+    rows = vectors.mapInArrow(lean(moments), "dim int, cell long, x double").groupBy("dim", "cell").agg(F.sum("x").alias("x")).toPandas()
     found = {}
     for dim, cells in rows.groupby("dim"):
         m = np.zeros(int(dim) ** 2)
@@ -97,7 +97,7 @@ def _packed(sorted_: DataFrame, size: int, scale: int) -> DataFrame:
         for dim in kept:
             yield from block(dim, 1)
 
-    return sorted_.select("vec_id", "embedding").mapInArrow(run, "dim int, most double, n int, ids binary, x binary")
+    return sorted_.select("vec_id", "embedding").mapInArrow(lean(run), "dim int, most double, n int, ids binary, x binary")
 
 
 class Best:
@@ -188,7 +188,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
             yield found()
 
     together = dealt.select(*columns).unionByName(heads.select(*columns)).repartition("q", "run").sortWithinPartitions("q", "run", "kind", F.desc("most"))
-    partial = together.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    partial = together.mapInArrow(lean(run), "query_id long, row long, vec_id long, score long")
     best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

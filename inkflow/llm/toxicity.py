@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import mix, rows_of, table, texts, word_hashes
+from inkflow.llm.common import lean, mix, rows_of, table, texts, word_hashes
 
 CELLS = 1 << 20
 #: Labelled rows that training sees at most: those of the smallest hash of doc_id.
-SAMPLE = 12_000
+SAMPLE = 10_000
 #: A cell counts from so many sampled rows on: rarer ones only help to learn single texts by heart.
 LEAST_ROWS = 3
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 2.0, 1.0, 6.0, 1.0
@@ -82,26 +82,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_of(batch):
+            for part in rows_of(batch, 1 << 20):
                 cells, begins = features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([cells[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary())], ["turn", "doc_id", "toxic", "cells"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(np.frombuffer(c, dtype=np.int32), t) for b in batches for c, t in zip(b.column("cells").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
+        seen: list[np.ndarray] = []
+        labels_: list[int] = []
         often = np.zeros(CELLS, dtype=np.int32)
-        for cells, _ in seen:
-            often[cells] += 1
-        known_cells = [(cells[often[cells] >= LEAST_ROWS], label) for cells, label in seen]
+        for batch in batches:
+            labels_ += batch.column("toxic").to_pylist()
+            for cells in batch.column("cells"):
+                seen.append(np.frombuffer(cells.as_buffer(), dtype=np.int32).copy())
+                often[seen[-1]] += 1
+        for i, cells in enumerate(seen):
+            seen[i] = cells[often[cells] >= LEAST_ROWS]
         model = Ftrl()
         for _ in range(epochs):
-            for cells, label in known_cells:
+            for cells, label in zip(seen, labels_, strict=True):
                 model.learn(cells, label)
         weights = model.weights(slice(None))
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weights[at])], ["cell", "weight"])
 
-    extracted = rows.mapInArrow(extract, "turn long, doc_id long, toxic int, cells binary")
-    fitted = extracted.repartition(1).sortWithinPartitions("turn", "doc_id").select("toxic", "cells").mapInArrow(learn, "cell int, weight double").toPandas()
+    extracted = rows.mapInArrow(lean(extract), "turn long, doc_id long, toxic int, cells binary")
+    fitted = extracted.repartition(1).sortWithinPartitions("turn", "doc_id").select("toxic", "cells").mapInArrow(lean(learn), "cell int, weight double").toPandas()
     weights = np.zeros(CELLS + 1)
     weights[fitted["cell"].to_numpy(dtype=np.int64)] = fitted["weight"].to_numpy()
     return weights
@@ -129,7 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = texts(docs)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -144,7 +149,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD)
                 rows = [t.encode() if t is not None else b"" for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(_scores(rows, shared.value, wanted) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fold() -> F.Column:
