@@ -15,6 +15,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import unquote_to_bytes
@@ -22,7 +23,7 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from inkflow.llm.common import rows_of, table, texts
+from inkflow.llm.common import lean, rows_of, table, texts
 
 # The kinds of secrets, in their order, and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -50,25 +51,44 @@ def find(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; `origin` maps its characters to spans of the original (None: one to one)."""
+    """A decoded text whose characters know the span of the original that they came from.
 
-    def __init__(self, text: str, origin: list[tuple[int, int]] | None = None):
-        self.text, self.origin = text, origin
+    runs: (first character, start, end) in order; up to the next run, characters stand one for
+    one from start on (end None), or all for the whole of [start, end). Spans never go back.
+    """
+
+    def __init__(self, text: str, runs: list[tuple[int, int, int | None]]):
+        self.text, self.runs, self._firsts = text, runs, [r[0] for r in runs]
+
+    def _origin(self, at: int) -> tuple[int, int]:
+        first, start, end = self.runs[bisect_right(self._firsts, at) - 1]
+        return (start + at - first, start + at - first + 1) if end is None else (start, end)
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
-        if self.origin is None:
-            return start, stop
-        return self.origin[start][0], max(e for _, e in self.origin[start:stop])
+        return self._origin(start)[0], self._origin(stop - 1)[1]
 
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """This layer with [start, stop) read as other text; those characters map to the whole of it."""
-        out, origin, at = [], [], 0
-        keep = lambda a, b: [(i, i + 1) for i in range(a, b)] if self.origin is None else self.origin[a:b]
+        out, runs, size, at = [], [], 0, 0
+
+        def keep(a: int, b: int) -> None:
+            nonlocal size
+            i = bisect_right(self._firsts, a) - 1
+            while a < b:
+                first, start, end = self.runs[i]
+                upto = min(b, self._firsts[i + 1]) if i + 1 < len(self.runs) else b
+                runs.append((size, start + a - first if end is None else start, end))
+                size, a, i = size + upto - a, upto, i + 1
+
         for start, stop, text in parts:
+            keep(at, start)
+            if text:
+                runs.append((size, *self.span(start, stop)))
+                size += len(text)
             out += [self.text[at:start], text]
-            origin += keep(at, start) + [self.span(start, stop)] * len(text)
             at = stop
-        return Layer("".join([*out, self.text[at:]]), origin + keep(at, len(self.text)))
+        keep(at, len(self.text))
+        return Layer("".join([*out, self.text[at:]]), runs)
 
 
 def _as_text(data: bytes) -> str | None:
@@ -126,13 +146,13 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(parts)
     for m in BASE64.finditer(text):
         if (inner := _from_base64(m[0])) is not None:
-            yield Layer(inner, [layer.span(m.start(), m.end())] * len(inner))
+            yield Layer(inner, [(0, *layer.span(m.start(), m.end()))])
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(the text's own secrets, all secrets), each by start and kind, ends exclusive, in code points."""
     own = find(text)
-    everything, work, seen = set(own), [Layer(text)], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
+    everything, work, seen = set(own), [Layer(text, [(0, 0, None)])], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
     while work:
         for inner in decoded(work.pop()):
             if not inner.text:
@@ -181,7 +201,7 @@ def secrets(docs: DataFrame) -> DataFrame:
                     spans.append(listed(every))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -193,7 +213,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             clean = [None if t is None else redact(t, s) if (s := scan(t)[1]) else t for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

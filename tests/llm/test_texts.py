@@ -162,6 +162,15 @@ def test_base_secrets():
     assert secrets.redact("k " + "a" * 40, [(2, 0, 20), (10, 2, 42)]) == "k <secret>"
 
 
+def test_spans_are_those_of_the_encoded_run():
+    text = "%41 x " + "".join(f"%{b:02x}" for b in b"token=abcdefgh") + " %41 y token=plainplain"
+    every = secrets.scan(text)[1]
+    start = text.index("%74")
+    assert every == [(start, 0, start + 3 * 14), (text.index("token="), 0, len(text))]
+    twice = base64.b64encode(base64.b64encode(b"secret: 0123456789")).decode()
+    assert secrets.scan(f"日本 {twice}.")[1] == [(3, 0, 3 + len(twice))]
+
+
 def test_cycles_end():
     assert secrets.scan("%2525252525" * 50 + "%41" * 3)[1] == []
 
