@@ -2,8 +2,8 @@
 
 A page becomes a tree of block elements; runs of equal siblings (list items, paragraphs) are one
 node. The pages of a host share few distinct trees, whose counts and text fingerprints are summed up
-before anything is shuffled. Per host, the distinct trees are aligned by simple tree matching and
-merged into one wrapper. A node whose text is the same on all of at least LEAST_PAGES pages, while
+before anything is shuffled. Per host, the most frequent trees are aligned by simple tree matching and
+merged into one wrapper; then every tree is aligned with its host's wrapper. A node whose text is the same on all of at least LEAST_PAGES pages, while
 others vary, belongs to the template; varying slots are content, unless they stand in an
 element that is marked as a menu, header, footer, sidebar, notice, advert, form or comment section.
 """
@@ -19,12 +19,16 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import rows_of, stage, table
+from inkflow.llm.common import lean, rows_of, stage, table
 
 LEAST_PAGES = 5
+#: Elements that are nested deeper count as the one at this depth.
+DEPTH = 150
+#: Trees that make up a host's wrapper at most; all others are aligned with it, each by itself.
+TREES = 500
 #: Rows of template slots that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -162,7 +166,11 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             if stack[depth].tag in SCOPES and not (tag in ("tr", "td", "th") and stack[depth].tag in ("div", "section")):
                 break
         if tag != "hr":
-            stack.append(_opened(tag, m[3] or "", stack[-1]))
+            opened = _opened(tag, m[3] or "", stack[-1])
+            if len(stack) > DEPTH:
+                stack[-1].node.children.clear()
+                opened = opened._replace(node=stack[-1].node)
+            stack.append(opened)
     flush()
     return root, blocks
 
@@ -190,6 +198,15 @@ class Wrapper:
         node.children = [node.grown(c) for c in tree[1]]
         return node
 
+    def saved(self) -> list:
+        return [self.label, self.slot, [c.saved() for c in self.children]]
+
+    @classmethod
+    def restored(cls, saved: list) -> Wrapper:
+        node = cls(saved[0], iter((saved[1],)))
+        node.children = [cls.restored(c) for c in saved[2]]
+        return node
+
 
 def _matching(wrapper: Wrapper, tree: list, known: dict[tuple[int, int], int]) -> int:
     """Simple tree matching: the most nodes that can be paired, keeping labels, order and ancestry."""
@@ -210,8 +227,8 @@ def _table(wrapper: Wrapper, tree: list, known: dict) -> list[list[int]]:
     return best
 
 
-def align(wrapper: Wrapper, tree: list, known: dict | None = None) -> list[int]:
-    """The wrapper's slot of each node of tree, in preorder; nodes without a partner are added to the wrapper."""
+def align(wrapper: Wrapper, tree: list, grow: bool = True, known: dict | None = None) -> list[int]:
+    """The wrapper's slot of each node of tree, in preorder; nodes without a partner are added to it, or (not grow) have the slot -1."""
     known = {} if known is None else known
     best, a, b = _table(wrapper, tree, known), wrapper.children, tree[1]
     pairs, i, j = [], len(a), len(b)
@@ -231,39 +248,34 @@ def align(wrapper: Wrapper, tree: list, known: dict | None = None) -> list[int]:
             upto = place[id(partner[j])]
             merged += a[used : upto + 1]
             used = upto + 1
-            slots += align(partner[j], child, known)
+            slots += align(partner[j], child, grow, known)
+        elif not grow:
+            slots += [-1] * _size(child)
         else:
             fresh = wrapper.grown(child)
             merged.append(fresh)
             slots += _preorder(fresh)
-    wrapper.children = merged + a[used:]
+    if grow:
+        wrapper.children = merged + a[used:]
     return slots
 
 
+def _size(tree: list) -> int:
+    return 1 + sum(map(_size, tree[1]))
+
+
 def _preorder(node: Wrapper) -> list[int]:
     return [node.slot] + [s for c in node.children for s in _preorder(c)]
 
 
-def induce(shapes: pd.DataFrame) -> pd.DataFrame:
-    """host, shape_id, template (slots of that shape whose text is the host's) from rows (host, shape_id, shape, slot, n, lo, hi, pages).
-
-    One host's distinct shapes, most pages first: shapes differ by structure, so there are few.
-    """
-    counter = iter(range(1 << 62))
-    wrapper, slots_of = None, {}
-    order = shapes.drop_duplicates("shape_id").sort_values(["pages", "shape_id"], ascending=[False, True])
-    for shape_id, shape in zip(order["shape_id"], order["shape"], strict=True):
+def induce(trees: pd.DataFrame) -> pd.DataFrame:
+    """host, wrapper from one host's TREES most frequent trees (host, shape_id, shape, pages), merged in that order."""
+    wrapper, slots = None, iter(range(1 << 62))
+    for shape in trees.sort_values(["pages", "shape_id"], ascending=[False, True])["shape"]:
         tree = json.loads(shape)
-        wrapper = wrapper or Wrapper(tree[0], counter)
-        slots_of[shape_id] = align(wrapper, tree)
-    rows = shapes[shapes["slot"] >= 0].copy()
-    rows["at"] = [slots_of[s][k] for s, k in zip(rows["shape_id"], rows["slot"], strict=True)]
-    slots = rows.groupby("at").agg(n=("n", "sum"), lo=("lo", "min"), hi=("hi", "max"))
-    same = slots["lo"] == slots["hi"]
-    fixed = set(slots.index[same & (slots["n"] >= LEAST_PAGES)]) if (~same).any() else set()
-    rows = rows[rows["at"].isin(fixed)]
-    host = shapes["host"].iloc[0] if len(shapes) else ""
-    return pd.DataFrame([(host, s, sorted(map(int, g))) for s, g in rows.groupby("shape_id")["slot"]], columns=["host", "shape_id", "template"])
+        wrapper = wrapper or Wrapper(tree[0], slots)
+        align(wrapper, tree)
+    return pd.DataFrame({"host": [trees["host"].iloc[0]], "wrapper": [json.dumps(wrapper.saved(), ensure_ascii=False)]})
 
 
 def _host(url: F.Column) -> F.Column:
@@ -300,13 +312,30 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("host"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["host", "shape_id", "shape", "page", "slots", "hashes"])
 
     # Copies of a page count once: a text isn't a template because its page was copied.
-    distinct = pages.mapInArrow(read, "host string, shape_id long, shape string, page long, slots array<int>, hashes array<long>").dropDuplicates(["host", "shape_id", "page"])
+    distinct = pages.mapInArrow(lean(read), "host string, shape_id long, shape string, page long, slots array<int>, hashes array<long>").dropDuplicates(["host", "shape_id", "page"])
     slots = distinct.select("host", "shape_id", "shape", F.inline(F.arrays_zip("slots", "hashes"))).toDF("host", "shape_id", "shape", "slot", "h")
     shape = F.max(F.when(F.col("slot") < 0, F.col("shape"))).alias("shape")
-    summed = slots.groupBy("host", "shape_id", "slot").agg(shape, F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    pages_of = F.when(F.col("slot") < 0, F.col("n")).otherwise(0).alias("pages")
-    # Slot -1 sorts first and bears the tree; the other rows of a tree need only its id.
-    return summed.withColumn("pages", pages_of).groupBy("host").applyInPandas(lambda rows: induce(rows.sort_values(["shape_id", "slot"])), "host string, shape_id long, template array<int>")
+    summed = stage(slots.groupBy("host", "shape_id", "slot").agg(shape, F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")))
+    trees = summed.filter("slot < 0").select("host", "shape_id", "shape", F.col("n").alias("pages"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "shape_id"))
+    models = trees.withColumn("place", place).filter(F.col("place") <= TREES).drop("place").groupBy("host").applyInPandas(induce, "host string, wrapper string")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            restored: dict[str, Wrapper] = {}
+            found = []
+            for host, shape, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "wrapper")), strict=True):
+                if host not in restored:
+                    restored = {host: Wrapper.restored(json.loads(wrapper))}
+                found.append(align(restored[host], json.loads(shape), grow=False))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape_id"), pa.array(found, pa.list_(pa.int64()))], ["host", "shape_id", "places"])
+
+    aligned = trees.join(models, "host").select("host", "shape_id", "shape", "wrapper").mapInArrow(lean(match), "host string, shape_id long, places array<long>")
+    placed = stage(summed.filter("slot >= 0").join(aligned, ["host", "shape_id"]).withColumn("at", F.get("places", "slot")).filter("at >= 0").select("host", "shape_id", "slot", "at", "n", "lo", "hi"))
+    stats = placed.groupBy("host", "at").agg(F.sum("n").alias("n"), (F.min("lo") < F.max("hi")).alias("varies"))
+    varied = stats.filter("varies").select("host").distinct()
+    fixed = stats.filter(~F.col("varies") & (F.col("n") >= LEAST_PAGES)).join(varied, "host", "left_semi").select("host", "at")
+    return placed.join(fixed, ["host", "at"]).groupBy("host", "shape_id").agg(F.collect_list("slot").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -333,7 +362,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append([b.text for b in kept])
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(shapes, pa.int64()), pa.array(slots, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "shape_id", "slots", "blocks"])
 
-    found = rows.mapInArrow(blocks, f"page_id {ids}, url string, host string, shape_id long, slots array<int>, blocks array<string>")
+    found = rows.mapInArrow(lean(blocks), f"page_id {ids}, url string, host string, shape_id long, slots array<int>, blocks array<string>")
     joined = found.join(F.broadcast(templates) if few else templates, ["host", "shape_id"], "left")
     varying = F.filter("blocks", lambda _, i: ~F.array_contains(F.col("template"), F.get("slots", i)))
     text = F.array_join(F.when(F.col("template").isNull(), F.col("blocks")).otherwise(varying), "\n\n")

@@ -35,8 +35,17 @@ def test_trees_are_aligned_by_order_and_ancestry():
     assert [longer[i] for i in (0, 2, 4, 5, 6)] == first and not {longer[1], longer[3]} & set(first)
 
 
+def test_trees_beyond_the_wrapper_s_are_aligned_too(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "TREES", 1)
+    test_what_a_host_repeats_is_template(spark)
+    wrapper = extraction.Wrapper("#", iter(range(100)))
+    extraction.align(wrapper, ["#", [["div", []]]])
+    again = extraction.Wrapper.restored(wrapper.saved())
+    assert extraction.align(again, ["#", [["nav", [["ul", []]]], ["div", []]]], grow=False) == [0, -1, -1, 1] and again.saved() == wrapper.saved()
+
+
 def test_broken_pages(spark):
-    html = ["<", "</", "<p", "<p>x</div></p>y", "<table><tr><td>a<td>b<tr><td>c</table>", "<a href='x\">y</a> z", "<script>x", "a<!--b", "<p>" * 3000 + "deep", "<div>" * 300 + "deep" + "</div>" * 300, "\x00 &#0; &#xD800; &nosuch;"]
+    html = ["<", "</", "<p", "<p>x</div></p>y", "<table><tr><td>a<td>b<tr><td>c</table>", "<a href='x\">y</a> z", "<script>x", "a<!--b", "<p>" * 3000 + "deep", "<div>" * 5000 + "deep" + "</div>" * 5000, "\x00 &#0; &#xD800; &nosuch;"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     found = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
     assert len(found) == len(html) and found[3] == "x\n\ny" and found[4] == "a\n\nb\n\nc" and found[8] == "deep" and found[9] == "deep" and found[7] == "a"
