@@ -354,12 +354,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     proposed = lists.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = stage(confirmed(stage(likely(proposed, classes)), docs, ids))
     comps = components(first)
-    second = stage(confirmed(stage(_open_pairs(lists, comps, classes, docs, ids)), docs, ids))
+    second = confirmed(stage(_open_pairs(lists, comps, classes, docs, ids)), docs, ids)
     # A doc_id whose rows have different texts ties their classes together.
     several = named.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = named.join(several, "doc_id", "left_semi").join(classes.select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = first.unionByName(second).unionByName(ties)
-    final = components(links)
+    more = stage(second.unionByName(ties))
+    final = comps if more.isEmpty() else components(first.unionByName(more))
     classed = all_.join(classes.select("sig", "rep"), "sig", "left").join(final, F.col("rep") == final["node"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return classed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
