@@ -17,7 +17,7 @@ _added: dict[tuple[str, str], JavaObject] = {}
 
 def load(spark: SparkSession, source: Path) -> JavaObject:
     """The class of a Java file (a java.lang.Class), whose jar every task of this session gets."""
-    key = (spark.sparkContext.applicationId, str(source))
+    key = (spark._jsparkSession.sessionUUID(), str(source))  # jars belong to a session
     if key not in _added:
         folder = os.path.realpath(tempfile.mkdtemp(prefix="inkflow-java-"))
         compiler = Path(spark._jvm.java.lang.System.getProperty("java.home"), "bin", "javac")

@@ -85,6 +85,13 @@ def test_a_name_that_no_charset_fits_fails():
         archives.member_name(info, ["ShiftJIS"])
 
 
+def test_each_session_gets_its_codecs(spark, tmp_path):
+    source = archive(tmp_path / "n.zip", {"a.png": png(8, 8)})
+    for session in (spark, spark.newSession(), spark.newSession()):
+        assert convert.convert(archives.zip_entries(session, source)).count() == 1
+        assert len(bytes(convert.convert(archives.zip_entries(session, source)).first()["out_content"])) > 100
+
+
 def test_one_archive_is_dealt_to_many_tasks(spark, tmp_path):
     source = archive(tmp_path / "m.zip", {f"{i:03}.png": png(4, 4) for i in range(60)})
     entries = archives.zip_entries(spark, source, partitions=4)
