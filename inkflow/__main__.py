@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import logging
 import sys
 
 from inkflow import config as settings
+from inkflow.log import set_up
+from inkflow.operators.registry import RegistryError
 from inkflow.plans import conversion
 from inkflow.session import local_session
 
@@ -32,16 +33,18 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO, format="%(levelname)s %(message)s")
-    logging.getLogger("py4j").setLevel(logging.WARNING)
+    log = set_up(a.debug)
     try:
         config = settings.Config(
             source=a.source, output=a.out, ratio=settings.percent(a.ratio, settings.RATIO), kernel=a.resize_mode, charsets=settings.parse_charsets(a.charset), password=a.pwd, delete_source=a.delete_org,
             jpeg=settings.Jpeg(settings.percent(a.quality, settings.QUALITY), a.optimizer, a.progressive, a.dct), show_time=a.show_time, debug=a.debug,
         )
         conversion.run(local_session(), config)
+    except RegistryError as error:  # a mistake in plugins, not in the input
+        log.critical("%s", error)
+        return 111
     except Exception as error:
-        logging.getLogger("inkflow").error("%s", error)
+        log.error("%s", error)
         return 1
     return 0
 

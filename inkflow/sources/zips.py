@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import zipfile
 
@@ -12,19 +13,22 @@ from inkflow.functions import names
 
 
 def write_zip(converted: DataFrame, output: str) -> int:
-    """Writes rows (path, out_path, out_content) in walk order, one partition at a time; the number of members.
+    """Writes rows (path, out_path, out_content, warn_small) in walk order, one partition at a time; the number of members.
 
     The file appears under its name only when it is whole. No rows give a zip without members. A
     failing picture fails the write, and nothing is left.
     """
     part = f"{output}.part"
-    rows = converted.select("out_path", "out_content", names.walk_key(F.col("path")).alias("key")).orderBy("key")
+    log = logging.getLogger("inkflow")
+    rows = converted.select("path", "out_path", "out_content", "warn_small", names.walk_key(F.col("path")).alias("key")).orderBy("key")
     count = 0
     try:
         with zipfile.ZipFile(part, "x", zipfile.ZIP_STORED) as archive:  # JPEG doesn't shrink
-            for row in rows.select("out_path", "out_content").toLocalIterator():
+            for row in rows.drop("key").toLocalIterator():
                 archive.writestr(zipfile.ZipInfo(row["out_path"]), bytes(row["out_content"]))
                 count += 1
+                if row["warn_small"]:
+                    log.warning("%s is too small to be resampled", row["path"])
         os.link(part, output)  # fails where the name has been taken meanwhile
     finally:
         if os.path.exists(part):

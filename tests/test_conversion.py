@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkflow.__main__ import main
 from inkflow.config import Config, Jpeg
+from inkflow.log import set_up
 from inkflow.operators import convert, registry, resample
 from inkflow.plans import conversion
 from inkflow.sources import archives
@@ -128,11 +129,28 @@ def test_resampling(kernel):
     assert resample.resample(image, 20, 15, kernel).shape == (15, 20, 3)
 
 
-def test_command_line(tmp_path, caplog):
+def test_command_line(spark, tmp_path, caplog):
     source = archive(tmp_path / "cli.zip", {"a.png": png(8, 8)})
+    assert main([source, "-o", str(tmp_path / "new"), "-r", "50", "-q", "150", "--resize-mode", "bicubic", "--charset", "ko", "--show-time"]) == 0
+    assert sizes(tmp_path / "new.zip") == [("a.jpg", (8, 8))]
+    assert main([source, "-o", str(tmp_path / "new")]) == 1 and "exists" in caplog.text
     assert main([source, "--ratio", "abc"]) == 1 and "whole number" in caplog.text
 
 
+def test_log_streams(capsys):
+    log = set_up()
+    log.info("low")
+    log.warning("high")
+    log.debug("none")
+    found = capsys.readouterr()
+    assert (found.out, found.err) == ("INFO low\n", "WARNING high\n")
+
+
+def test_small_pictures_warn(spark, tmp_path, caplog):
+    conversion.run(spark, Config(archive(tmp_path / "s.zip", {"small.png": png(8, 8), "wide.png": png(900, 300)})))
+    assert [r.getMessage() for r in caplog.records if r.levelname == "WARNING"] == ["small.png is too small to be resampled"]
+
+
 def test_delete_source(spark, tmp_path):
     source = archive(tmp_path / "x.zip", {"a.png": png(8, 8)})
     conversion.run(spark, Config(source, delete_source=True))
