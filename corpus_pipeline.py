@@ -14,6 +14,8 @@ from inkflow.llm.common import stage, table
 
 #: Dropped ids sent to every executor at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: The Jaccard index, in hundredths, from which documents are near duplicates here (op4_neardup has its own).
+PERCENT = 80
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id, and all others without a duplicate."""
-    dropped = stage(neardup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    dropped = stage(neardup.near_duplicates(docs, PERCENT).filter("not kept").select("doc_id"))
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
 

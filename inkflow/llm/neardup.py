@@ -5,11 +5,12 @@
 2. Inverted lists hold retained values. Documents with a Jaccard index of at least 0.85 share about
    34 of the 40 smallest values of their union, and fewer than 18 with a chance below 1e-9, so they
    share nine of the 31 that come first in any order common to all. That order puts values that
-   many sketches hold last: a passage that many documents share makes few long lists.
+   many sketches hold last: a passage that many documents share makes few long lists. Other
+   thresholds give other numbers by the same chances (see least_shared).
 3. Each list proposes links to its most central member only: a row per entry, whatever the length.
    Sketches of the union filter the proposals, full sets confirm them, links make components.
 4. Documents in enough lists that still hold several components meet once more by their full sets:
-   a similar pair shares one of the rarest 15 % of its values, and the bits in which the
+   a similar pair shares one of the rarest values (15 % of them at 0.85), and the bits in which the
    parity maps of two sets differ are at most as many as the values. Pairs of different components that
    pass both are confirmed too, so that no link between different texts is lost.
 """
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from inkflow.llm.common import lean, mix, rows_of, stage, table, texts, word_hashes
 
-K, LEAST_SHARED, WORDS, PERCENT = 40, 18, 5, 85
-#: An estimate from 40 values misses an index of 0.85 by so much with a chance below 1e-7.
-LEAST_ESTIMATE = 0.5
+K, WORDS, PERCENT = 40, 5, 85
+#: Chances that a pair just at the threshold escapes the lists, and that the estimate from K values rules it out.
+UNLISTED, RULED_OUT = 1e-9, 1e-7
 #: Frequencies of sketch values are counted in as many cells (rows of CELLS), of two bytes each.
 TABLE, CELLS = 1 << 22, 1 << 16
 #: Members of a list that meet in one task, and partners of one document that do.
@@ -106,10 +109,19 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def _least_lists(size: Column) -> Column:
+@lru_cache(maxsize=16)
+def least_shared(percent: int, chance: float) -> int:
+    """The most of K values of which sets with an index of percent share fewer with less than that chance."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < K and (below := below + comb(K, least) * p**least * (1 - p) ** (K - least)) < chance:
+        least += 1
+    return max(1, least)
+
+
+def _least_lists(size: Column, percent: int) -> Column:
     """How many of the values that come first in its sketch a document of that many shingles shares with each similar one."""
     kept = F.least(size, F.lit(K))
-    return F.ceil(F.ceil(kept * LEAST_SHARED / K) / 2)
+    return F.ceil(F.ceil(kept * least_shared(percent, UNLISTED) / K) / 2)
 
 
 def _rarest(values: np.ndarray, begins: np.ndarray, cells: np.ndarray, shared: tuple[int, int], half: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -127,19 +139,20 @@ def _rarest(values: np.ndarray, begins: np.ndarray, cells: np.ndarray, shared: t
     return values[order][keep], owner[keep]
 
 
-def postings(classes: DataFrame, cells: np.ndarray) -> DataFrame:
+def postings(classes: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """v (a retained value), rep, central: an entry for each value that comes first in its sketch.
 
     central counts how many other sketches hold the document's values: the original of many
     edited copies has the most.
     """
     shared = classes.sparkSession.sparkContext.broadcast(cells)
+    least = least_shared(percent, UNLISTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, begins = _values(batch.column("sketch"))
             central = np.add.reduceat(np.append(np.minimum(shared.value[(values >> np.uint64(1)).astype(np.int64) % TABLE].astype(np.int64), 4096), 0), begins[:-1]) if len(begins) > 1 else np.zeros(0, dtype=np.int64)
-            values, owner = _rarest(values, begins, shared.value, (LEAST_SHARED, K), half=True)
+            values, owner = _rarest(values, begins, shared.value, (least, K), half=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column("rep").to_numpy()[owner]), pa.array(central[owner])], ["v", "rep", "central"])
 
     return classes.filter("n > 0").select("rep", "sketch").mapInArrow(lean(run), "v long, rep long, central long")
@@ -179,23 +192,23 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(counts[:K] == 2)) / min(K, len(union))
 
 
-def _likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
-    if 100 * min(n_a, n_b) < PERCENT * max(n_a, n_b):
+def _likely(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
         return False
-    return _estimate(a, b) >= (PERCENT / 100 - 1e-9 if n_a < K and n_b < K else LEAST_ESTIMATE)
+    return _estimate(a, b) >= (percent / 100 if n_a < K and n_b < K else least_shared(percent, RULED_OUT) / K) - 1e-9
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) that the sketch of their union doesn't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [batch.column(c).to_pylist() for c in ("sketch_a", "n_a", "sketch_b", "n_b")]
-            keep = [_likely(np.frombuffer(a, dtype=np.uint64), n_a, np.frombuffer(b, dtype=np.uint64), n_b) for a, n_a, b, n_b in zip(*rows, strict=True)]
+            keep = [_likely(np.frombuffer(a, dtype=np.uint64), n_a, np.frombuffer(b, dtype=np.uint64), n_b, percent) for a, n_a, b, n_b in zip(*rows, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").filter("n_a is not null").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").mapInArrow(lean(run), "a long, b long")
+    return pairs.join(side("a"), "a").filter("n_a is not null").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(lean(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
@@ -216,8 +229,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
     return body.mapInArrow(lean(run), "doc_id long, sig binary, hashes binary").join(F.broadcast(chosen) if few else chosen, ["doc_id", "sig"]).select("doc_id", "hashes")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of the staged pairs (a, b), those whose full sets have an index of PERCENT or more.
+def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the staged pairs (a, b), those whose full sets have an index of percent or more.
 
     Texts of the pairs' documents are hashed again; each partner's set travels to the set of a.
     A document with many partners is dealt out over several tasks.
@@ -238,7 +251,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
                     heads, of = [], (a, part)
                 if member is None:
                     heads.append(own)
-                elif any(100 * (both := len(np.intersect1d(h, own, assume_unique=True))) >= PERCENT * (len(h) + len(own) - both) for h in heads):
+                elif any(100 * (both := len(np.intersect1d(h, own, assume_unique=True))) >= percent * (len(h) + len(own) - both) for h in heads):
                     links.append((a, member))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -269,7 +282,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components whose full sets share one of their rarest values, and fit by size and parity map.
 
     Only documents in enough lists that hold several components are looked at. A value's holders meet in
@@ -278,7 +291,7 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
     named = lists.select("v", "rep").join(comps, lists["rep"] == comps["node"], "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
     counted = named.join(mixed, "v").groupBy("rep", "component").agg(F.count("*").alias("lists"))
-    members = stage(counted.join(classes.select("rep", "n"), "rep").filter(F.col("lists") >= _least_lists(F.col("n"))).select("rep", "component").distinct())
+    members = stage(counted.join(classes.select("rep", "n"), "rep").filter(F.col("lists") >= _least_lists(F.col("n"), percent)).select("rep", "component").distinct())
     sets = full_sets(docs, members.select(F.col("rep").alias("doc_id")), ids)
     sets = stage(sets.join(members, sets["doc_id"] == members["rep"]).select("rep", "component", F.col("hashes").alias("sketch")))
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
@@ -287,7 +300,7 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
         for batch in batches:
             for part in rows_of(batch, column="sketch"):
                 values, begins = _values(part.column("sketch"))
-                values, owner = _rarest(values, begins, shared.value, (PERCENT, 100))
+                values, owner = _rarest(values, begins, shared.value, (percent, 100))
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(x[owner]) for x in (part.column("rep").to_numpy(), part.column("component").to_numpy(), np.diff(begins)))], ["v", "rep", "component", "n"])
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,20 +339,21 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
         found = [np.zeros((0, 2), dtype=np.int64)]
         for i in np.flatnonzero(block == x):
             both = n[i] + n[j]
-            fit = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            fit = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             fit &= rep[i] < rep[j] if x == y else True
             to = j[fit]
-            # |A| + |B| - 2 |A and B| where the index is just PERCENT.
-            near = to[(100 + PERCENT) * np.bitwise_count(maps[i] ^ maps[to]).sum(1, dtype=np.int64) <= (100 - PERCENT) * both[fit]]
+            # |A| + |B| - 2 |A and B| where the index is just percent.
+            near = to[(100 + percent) * np.bitwise_count(maps[i] ^ maps[to]).sum(1, dtype=np.int64) <= (100 - percent) * both[fit]]
             found.append(np.column_stack((np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near]))))
         return tuple(np.concatenate(found).T)
 
     return rows.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "rep").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others are not read).
 
+    Documents are linked whose sets of shingles have a Jaccard index of percent or more.
     Texts without words (null ones too) have an empty set and stand alone; rows without doc_id
     stand alone, with a null component. Rows that repeat a doc_id count as one document: all are
     kept or none. An empty table gives an empty result.
@@ -350,11 +364,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(per_sig)
     ids = classes.select(F.col("rep").alias("doc_id"), "sig")
     cells = _frequencies(classes)
-    lists = stage(inverted_lists(postings(classes, cells)))
+    lists = stage(inverted_lists(postings(classes, cells, percent)))
     proposed = lists.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = stage(confirmed(stage(likely(proposed, classes)), docs, ids))
+    first = stage(confirmed(stage(likely(proposed, classes, percent)), docs, ids, percent))
     comps = components(first)
-    second = confirmed(stage(_open_pairs(lists, comps, classes, docs, ids)), docs, ids)
+    second = confirmed(stage(_open_pairs(lists, comps, classes, docs, ids, percent)), docs, ids, percent)
     # A doc_id whose rows have different texts ties their classes together.
     several = named.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("doc_id")
     ties = named.join(several, "doc_id", "left_semi").join(classes.select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
