@@ -9,15 +9,17 @@ for the same span isn't decoded again, which ends cycles.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from html import unescape
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -35,8 +37,16 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"""(?:\\u\{?[0-9A-Fa-f]{4,6}\}?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+""")
 ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer is unpacked to at most so many bytes: more is taken for a decompression bomb.
+#: An unpacked layer up to this size is held at once; a larger one is unpacked as a stream and scanned in windows.
 UNPACKED = 16 << 20
+CHUNK = 1 << 18
+#: No secret and no encoding is shorter.
+SHORTEST = 14
+#: What stands in no text: control characters and bytes that aren't UTF-8.
+BAD = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
+#: Where windows may part: no secret, escape or base64 run goes over such a place.
+SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|[,()!<>*~?\[\]|^$@]")
+_BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -91,42 +101,114 @@ class Layer:
         return Layer("".join([*out, self.text[at:]]), runs)
 
 
-def _as_text(data: bytes) -> str | None:
-    """data as text, if it is UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
-
-
-def _unpacked(data: bytes) -> str | None:
-    """data as text, after any number of compressed layers; None if it is neither."""
-    for _ in range(16):
+def _opener(head: bytes):
+    """A decompressor for what starts with head, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _chunks(data: bytes) -> Iterator[bytes]:
+    view = memoryview(data)
+    for at in range(0, len(data), CHUNK):
+        yield bytes(view[at : at + CHUNK])
+
+
+def _members(source: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """What a compressed layer holds, member after member, in chunks. A broken one ends where it breaks, and raises only before any output."""
+    chunks, data, any_ = source(), b"", False
+    while True:
+        while len(data) < 6 and (more := next(chunks, None)) is not None:
+            data += more
+        if (opened := _opener(data)) is None:
+            return
+        while not opened.eof:
+            try:
+                out = opened.decompress(data, CHUNK)
+            except _BROKEN:
+                if any_:
+                    return
+                raise
+            data = getattr(opened, "unconsumed_tail", b"")
+            if out:
+                any_ = True
+                yield out
+            if not (out or data or opened.eof):
+                if (data := next(chunks, None)) is None:
+                    return
+        data = opened.unused_data
+        while not data.lstrip(b"\0") and (more := next(chunks, None)) is not None:
+            data = more
+        data = data.lstrip(b"\0")
+
+
+def _unpacked(data: bytes) -> Callable[[], Iterator[bytes]] | None:
+    """The chunks that data holds below all its compressed layers; None if it isn't compressed. A layer that comes again ends it."""
+    source, seen, opened = partial(_chunks, data), {hashlib.sha1(data).digest()}, False
+    while _opener(next(source(), b"")) is not None:
+        inner, held, size, digest = partial(_members, source), [], 0, hashlib.sha1()
         try:
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompressobj(31).decompress(data, UNPACKED)
-            elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-                data = zlib.decompressobj().decompress(data, UNPACKED)
-            elif data[:3] == b"BZh":
-                data = bz2.BZ2Decompressor().decompress(data, UNPACKED)
-            elif data[:6] == b"\xfd7zXZ\x00":
-                data = lzma.LZMADecompressor().decompress(data, UNPACKED)
-            else:
-                break
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            for chunk in inner():
+                digest.update(chunk)
+                size += len(chunk)
+                if size <= UNPACKED:
+                    held.append(chunk)
+        except _BROKEN:
             break
-    return _as_text(data)
-
-
-def _from_base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return _unpacked(base64.b64decode(body + "=" * (-len(body) % 4)))
-    except (binascii.Error, ValueError):
-        return None
+        if digest.digest() in seen:
+            break
+        seen.add(digest.digest())
+        source, opened = partial(_chunks, b"".join(held)) if size <= UNPACKED else inner, True
+    return source if opened else None
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The texts of a stream of bytes, parted by what is no text, and from UNPACKED characters on at the next safe place."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")("surrogateescape"), [], 0
+    for chunk in chain(chunks, (None,)):
+        for i, part in enumerate(BAD.split(decoder.decode(chunk or b"", chunk is None))):
+            if i:
+                if size >= SHORTEST:
+                    yield "".join(held)
+                held, size = [], 0
+            if size > UNPACKED and (cut := SAFE.search(part)):
+                yield "".join([*held, part[: cut.start()]])
+                held, size, part = [], 0, part[cut.start() :]
+            held.append(part)
+            size += len(part)
+    if size >= SHORTEST:
+        yield "".join(held)
+
+
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+
+
+def _from_base64(body: str) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, text): what base64 without its padding holds, and the characters that hold it."""
+    body = body.replace("-", "+").replace("_", "/")
+    for step in range(1):
+        n = len(body) - step
+        n -= n % 4 == 1
+        if n < 2:
+            return
+        data = base64.b64decode(body[step : step + n] + "=" * (-n % 4))
+        starts = {m.start() for m in MAGIC.finditer(data)} | {0}
+        for at in sorted(starts):
+            if (source := _unpacked(data[at:] if at else data)) is not None:
+                yield from ((step + at * 4 // 3, len(body), text) for text in _texts(source()))
+        whole, first, at = data.decode("utf-8", "surrogateescape"), 0, 0
+        for last, next_ in chain((m.span() for m in BAD.finditer(whole)), ((len(whole), len(whole)),)):
+            text = whole[first:last]
+            end = at + len(text.encode("utf-8"))
+            if len(text) >= SHORTEST:
+                yield step + at * 4 // 3, len(body) if end == len(data) else step + -(-end * 4 // 3), text
+            first, at = next_, end + next_ - last  # each of these characters is one byte
+        if not step and not BAD.search(whole):
+            return
 
 
 def _from_escapes(run: str) -> str:
@@ -145,26 +227,29 @@ def decoded(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _from_escapes(m[0])) for m in UNICODE.finditer(text)]):
         yield layer.replaced(parts)
     for m in BASE64.finditer(text):
-        if (inner := _from_base64(m[0])) is not None:
-            yield Layer(inner, [(0, *layer.span(m.start(), m.end()))])
+        body = m[0].rstrip("=")
+        for start, stop, inner in _from_base64(body):
+            yield Layer(inner, [(0, *layer.span(m.start() + start, m.end() if stop == len(body) else m.start() + stop))])
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(the text's own secrets, all secrets), each by start and kind, ends exclusive, in code points."""
     own = find(text)
-    everything, work, seen = set(own), [Layer(text, [(0, 0, None)])], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
-    while work:
-        for inner in decoded(work.pop()):
-            if not inner.text:
-                continue
-            key = (*inner.span(0, len(inner.text)), hashlib.sha1(inner.text.encode("utf-8", "surrogatepass")).digest())
-            if key in seen:
-                continue
-            seen.add(key)
-            for start, kind, stop in find(inner.text):
-                a, b = inner.span(start, stop)
-                everything.add((a, kind, b))
-            work.append(inner)
+    everything, work, seen = set(own), [decoded(Layer(text, [(0, 0, None)]))], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
+    while work:  # depth first, so that one window of a large layer is held at a time
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not inner.text:
+            continue
+        key = (*inner.span(0, len(inner.text)), hashlib.sha1(inner.text.encode("utf-8", "surrogatepass")).digest())
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, stop in find(inner.text):
+            a, b = inner.span(start, stop)
+            everything.add((a, kind, b))
+        work.append(decoded(inner))
     return own, sorted(everything)
 
 

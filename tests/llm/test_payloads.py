@@ -1,0 +1,51 @@
+"""Secrets below large, repeated and deep compressed layers, and in base64 that is wrapped or out of step."""
+
+import base64
+import bz2
+import gzip
+import lzma
+import random
+import tracemalloc
+
+import pytest
+
+from inkflow.llm import secrets
+
+SECRET = b"api_key = Zm9vYmFyYmF6cXV4"
+
+
+def found(payload, before="é before ", after=" after"):
+    text = f"{before}{payload}{after}"
+    every = secrets.scan(text)[1]
+    start = len(before)
+    return [(a - start, b - start - len(payload)) for a, kind, b in every if kind == 0]
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("tail", [b"", b" more text" * 2_000_000])
+def test_beyond_16_mib(tail):
+    data = b"all work and no play " * 1_000_000 + SECRET + tail
+    assert (0, 0) in found(b64(gzip.compress(data)))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_further_members(pack):
+    assert (0, 0) in found(b64(pack(b"first member, no secret") + pack(SECRET)))
+
+
+def test_deep_layers_and_cycles():
+    data = SECRET
+    for _ in range(40):
+        data = gzip.compress(data)
+    assert (0, 0) in found(b64(data))
+
+
+def test_a_large_layer_is_a_stream():
+    bomb = b64(gzip.compress(b"\0" * (200 << 20)))
+    tracemalloc.start()
+    assert found(bomb) == []
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
