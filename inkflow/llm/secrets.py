@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A worklist holds layers of a text: the text itself, then what its percent escapes, Unicode escapes
-and base64 or compressed runs decode to, until no new layer appears. Every character of a layer
+and base64 or compressed runs decode to (over line breaks too, and out of step), until no new layer appears. Every character of a layer
 knows the span of the original text that it came from, so findings map back. A layer that was seen
 for the same span isn't decoded again, which ends cycles.
 """
@@ -37,6 +37,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"""(?:\\u\{?[0-9A-Fa-f]{4,6}\}?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+""")
 ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line breaks, each line of which may be indented.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?!-----)[A-Za-z0-9+/_-]++)+={0,2}")
+GAP = re.compile(r"\r?\n[ \t]*")
 #: An unpacked layer up to this size is held at once; a larger one is unpacked as a stream and scanned in windows.
 UNPACKED = 16 << 20
 CHUNK = 1 << 18
@@ -188,9 +191,13 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xd
 
 
 def _from_base64(body: str) -> Iterator[tuple[int, int, str]]:
-    """(start, stop, text): what base64 without its padding holds, and the characters that hold it."""
+    """(start, stop, text): what base64 without its padding holds, and the characters that hold it.
+
+    The payload may start out of step, after a path for instance, so all four alignments are read,
+    unless the first makes one text.
+    """
     body = body.replace("-", "+").replace("_", "/")
-    for step in range(1):
+    for step in range(4):
         n = len(body) - step
         n -= n % 4 == 1
         if n < 2:
@@ -226,12 +233,32 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(parts)
     if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _from_escapes(m[0])) for m in UNICODE.finditer(text)]):
         yield layer.replaced(parts)
+    yield from _wrapped(layer)
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=")
         for start, stop, inner in _from_base64(body):
             yield Layer(inner, [(0, *layer.span(m.start() + start, m.end() if stop == len(body) else m.start() + stop))])
 
 
+def _wrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers of base64 that goes over line breaks, as far as they do."""
+    for m in WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+        run = m[0].rstrip("=")
+        firsts, origins, parts, size, at = [], [], [], 0, 0  # of each line: its place in the body, and in the run
+        for a, b in chain((g.span() for g in GAP.finditer(run)), ((len(run), len(run)),)):
+            firsts.append(size)
+            origins.append(at)
+            parts.append(run[at:a])
+            size, at = size + a - at, b
+        if size < 16:
+            continue
+        for start, stop, inner in _from_base64("".join(parts)):
+            i, j = bisect_right(firsts, start) - 1, bisect_right(firsts, stop - 1) - 1
+            if i < j:
+                end = len(m[0]) if stop == size else origins[j] + stop - firsts[j]
+                yield Layer(inner, [(0, *layer.span(m.start() + origins[i] + start - firsts[i], m.start() + end))])
+
+
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(the text's own secrets, all secrets), each by start and kind, ends exclusive, in code points."""
     own = find(text)

@@ -49,3 +49,27 @@ def test_a_large_layer_is_a_stream():
     assert found(bomb) == []
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(pack, gap):
+    rng = random.Random(1)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)).encode()
+    for n in range(8):  # the secret falls on different places of the lines
+        packed = b64(pack(noise(6 + n) + b" " + SECRET + b" " + noise(9)))
+        lines = gap.join(packed[i : i + 76] for i in range(0, len(packed), 76))
+        assert (0, 0) in found(lines, "é before: ")
+        assert (0, 0) in found(lines, "-----BEGIN X-----\n", "\n-----END X-----\n")
+
+
+@pytest.mark.parametrize("path", ["y/", "y/a/", "v1/ab-cd/", "abc_", "a/bc-"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_base64_after_a_path(path, pack):
+    spans = found(b64(pack(b"some words, then " + SECRET)), f"é https://x.y/{path}")
+    assert any(-8 <= a <= 0 and b == 0 for a, b in spans)
+    assert not found(b64(random.Random(2).randbytes(600)), f"https://x.y/{path}")
+
+
+def test_base64_before_a_path():
+    assert found(b64(b"some words, then " + SECRET), "https://x.y/", "/edit/this?x")
