@@ -2,8 +2,8 @@
 
 A page becomes a tree of block elements; runs of equal siblings (list items, paragraphs) are one
 node. The pages of a host share few distinct trees, whose counts and text fingerprints are summed up
-before anything is shuffled. Per host, the most frequent trees are aligned by simple tree matching and
-merged into one wrapper; then every tree is aligned with its host's wrapper. A node whose text is the same on all of at least LEAST_PAGES pages, while
+before anything is shuffled. Per host, all trees are aligned by simple tree matching and merged into one
+wrapper, in groups whose wrappers are merged in turn; then every tree is aligned with its host's wrapper. A node whose text is the same on all of at least LEAST_PAGES pages, while
 others vary, belongs to the template; varying slots are content, unless they stand in an
 element that is marked as a menu, header, footer, sidebar, notice, advert, form or comment section.
 """
@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import lean, rows_of, stage, table
@@ -27,7 +27,7 @@ from inkflow.llm.common import lean, rows_of, stage, table
 LEAST_PAGES = 5
 #: Elements that are nested deeper count as the one at this depth.
 DEPTH = 150
-#: Trees that make up a host's wrapper at most; all others are aligned with it, each by itself.
+#: Trees (or wrappers of trees) of a host that are merged by one task, about.
 TREES = 500
 #: Rows of template slots that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -201,6 +201,9 @@ class Wrapper:
     def saved(self) -> list:
         return [self.label, self.slot, [c.saved() for c in self.children]]
 
+    def tree(self) -> list:
+        return [self.label, [c.tree() for c in self.children]]
+
     @classmethod
     def restored(cls, saved: list) -> Wrapper:
         node = cls(saved[0], iter((saved[1],)))
@@ -269,13 +272,28 @@ def _preorder(node: Wrapper) -> list[int]:
 
 
 def induce(trees: pd.DataFrame) -> pd.DataFrame:
-    """host, wrapper from one host's TREES most frequent trees (host, shape_id, shape, pages), merged in that order."""
+    """host, part, groups, wrapper, shape (the wrapper without its slots), pages from one group of a host's trees, merged by frequency."""
     wrapper, slots = None, iter(range(1 << 62))
     for shape in trees.sort_values(["pages", "shape_id"], ascending=[False, True])["shape"]:
         tree = json.loads(shape)
         wrapper = wrapper or Wrapper(tree[0], slots)
         align(wrapper, tree)
-    return pd.DataFrame({"host": [trees["host"].iloc[0]], "wrapper": [json.dumps(wrapper.saved(), ensure_ascii=False)]})
+    first, dumped = trees.iloc[0], lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    return pd.DataFrame({"host": [first["host"]], "part": [first["part"]], "groups": [first["groups"]], "wrapper": [dumped(wrapper.saved())], "shape": [dumped(wrapper.tree())], "pages": [trees["pages"].sum()]})
+
+
+def models(trees: DataFrame) -> DataFrame:
+    """host, wrapper of all its trees (host, shape_id, shape, pages): round after round, groups of about TREES become one."""
+    whole = None
+    while True:
+        groups = trees.groupBy("host").agg(F.ceil(F.count("*") / max(2, TREES)).alias("groups"))
+        parts = trees.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("shape_id"), F.col("groups")))
+        merged = stage(parts.groupBy("host", "part").applyInPandas(induce, "host string, part long, groups long, wrapper string, shape string, pages long"))
+        last = merged.filter("groups = 1").select("host", "wrapper")
+        whole = last if whole is None else whole.unionByName(last)
+        trees = merged.filter("groups > 1").select("host", F.col("part").alias("shape_id"), "shape", "pages")
+        if trees.isEmpty():
+            return whole
 
 
 def _host(url: F.Column) -> F.Column:
@@ -317,8 +335,6 @@ def wrappers(pages: DataFrame) -> DataFrame:
     shape = F.max(F.when(F.col("slot") < 0, F.col("shape"))).alias("shape")
     summed = stage(slots.groupBy("host", "shape_id", "slot").agg(shape, F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")))
     trees = summed.filter("slot < 0").select("host", "shape_id", "shape", F.col("n").alias("pages"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "shape_id"))
-    models = trees.withColumn("place", place).filter(F.col("place") <= TREES).drop("place").groupBy("host").applyInPandas(induce, "host string, wrapper string")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,8 +346,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 found.append(align(restored[host], json.loads(shape), grow=False))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape_id"), pa.array(found, pa.list_(pa.int64()))], ["host", "shape_id", "places"])
 
-    aligned = trees.join(models, "host").select("host", "shape_id", "shape", "wrapper").mapInArrow(lean(match), "host string, shape_id long, places array<long>")
-    placed = stage(summed.filter("slot >= 0").join(aligned, ["host", "shape_id"]).withColumn("at", F.get("places", "slot")).filter("at >= 0").select("host", "shape_id", "slot", "at", "n", "lo", "hi"))
+    aligned = trees.join(models(trees), "host").select("host", "shape_id", "shape", "wrapper").mapInArrow(lean(match), "host string, shape_id long, places array<long>")
+    placed = stage(summed.filter("slot >= 0").join(aligned, ["host", "shape_id"]).withColumn("at", F.get("places", "slot")).select("host", "shape_id", "slot", "at", "n", "lo", "hi"))
     stats = placed.groupBy("host", "at").agg(F.sum("n").alias("n"), (F.min("lo") < F.max("hi")).alias("varies"))
     varied = stats.filter("varies").select("host").distinct()
     fixed = stats.filter(~F.col("varies") & (F.col("n") >= LEAST_PAGES)).join(varied, "host", "left_semi").select("host", "at")
