@@ -8,9 +8,10 @@ into the emptiest open pattern that has room, and patterns carry counts, so the
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,32 @@ SIZE, END_ID, PER_GROUP = 2048, 1, 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, ranks_path: str = vocab.RANKS) -> DataFrame:
+def encoder(ranks_path: str = vocab.RANKS, json_path: str = vocab.JSON) -> Callable[[str], list[int]]:
+    """A text's ids as the JSON tokenizer's encode gives them: its added tokens are cut out first, the longest where several start."""
+    ordinary, added = vocab.encoding(ranks_path).encode_ordinary, vocab.added(json_path)
+    if not added:
+        return ordinary
+    tokens = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def encode(text: str) -> list[int]:
+        parts = tokens.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        return [i for k, part in enumerate(parts) for i in ((added[part],) if k % 2 else ordinary(part))]
+
+    return encode
+
+
+def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, ranks_path: str = vocab.RANKS, json_path: str = vocab.JSON) -> DataFrame:
     """Each document's ids and `end_id`, cut at multiples of `size`: one row per piece.
 
     The rank file holds the vocabulary of the JSON tokenizer: ids are the same (a test holds them
-    together) at a quarter of the CPU time. A null text is empty: its one piece is `end_id`. Rows
+    together) at a quarter of the CPU time. Strings of the JSON file's added tokens become their ids. A null text is empty: its one piece is `end_id`. Rows
     that repeat, or lack a doc_id, are documents of their own. A text is encoded whole.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocab.encoding(ranks_path).encode_ordinary
+        encode = encoder(ranks_path, json_path)
         for batch in batches:
             found: list[tuple] = []
             for part in rows_of(batch):

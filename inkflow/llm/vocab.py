@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import public_tokenizers
 import tiktoken
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -21,3 +23,10 @@ def ranks(path: str = RANKS) -> dict[bytes, int]:
 @lru_cache(maxsize=2)
 def encoding(path: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def added(path: str = JSON) -> dict[str, int]:
+    """The JSON tokenizer's added tokens, which stand for themselves in a text, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
