@@ -17,8 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch, which the JVM and a worker hold at once, where the session sets none.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the session's Arrow batches, for settings that it hasn't made itself."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -27,9 +39,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and all run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="inkflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -40,7 +55,7 @@ def stage(df: DataFrame) -> DataFrame:
 
     The table is deleted when the driver's Python ends.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/inkflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
@@ -139,8 +154,8 @@ def word_hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64), np.concatenate(([0], np.cumsum(counts)))
 
 
-def rows_of(batch: pa.RecordBatch, most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most `most` bytes of its column of bytes."""
+def rows_of(batch: pa.RecordBatch, most: int = 2 << 20, column: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` bytes of its column of bytes or texts."""
     sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     for part in batches_of(sizes, most):
         yield batch.slice(part.start, part.stop - part.start)

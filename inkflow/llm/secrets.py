@@ -322,8 +322,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in rows_of(batch, column=at):
                 clean = [None if t is None else redact(t, s) if (s := scan(t)[1]) else t for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(clean, part.column(at).type) if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
 

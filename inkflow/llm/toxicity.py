@@ -3,12 +3,13 @@
 Features of a text are the cells of its words, of their first letters (so that an inflected form
 counts with its stem), of pairs of neighbours and of pairs with one or two words between. Training
 goes through a bounded, documented sample of labelled rows; per-coordinate rates and the L1 term
-leave few weights, which are sent to every executor (CELLS numbers at most).
+leave few weights, and only those are sent to every executor (CELLS at most).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SAMPLE = 10_000
 LEAST_ROWS = 3
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 2.0, 1.0, 6.0, 1.0
 THRESHOLD, STEM = 0.7, 5
+#: Bytes of text whose features are made at once.
+PORTION = 1 << 20
 
 
 def features(rows: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +50,20 @@ def features(rows: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.nd
     return (key & np.uint64(CELLS - 1)).astype(np.int32), np.searchsorted(key >> np.uint64(20), np.arange(len(rows) + 1, dtype=np.uint64))
 
 
+class Weights(NamedTuple):
+    """The cells that bear a weight, in order, their weights, and the bias."""
+
+    cells: np.ndarray
+    values: np.ndarray
+    bias: float
+
+    def wanted(self) -> np.ndarray:
+        """A truth value for each of all cells."""
+        found = np.zeros(CELLS, dtype=bool)
+        found[self.cells] = True
+        return found
+
+
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; the bias is the last coordinate and isn't shrunk."""
 
@@ -69,8 +86,8 @@ class Ftrl:
         self.n[at] += gradient * gradient
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
-    """CELLS + 1 weights, the last of them the bias.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Weights:
+    """The weights that labelled texts teach; without any, none, and a bias of 0 (every score is 0.5).
 
     docs: doc_id, text; labels: doc_id, toxic (rows with a null in either teach nothing). At most
     `sample` rows, those whose doc_id hashes lowest, are sent as features to one task that learns
@@ -82,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_of(batch, 1 << 20):
+            for part in rows_of(batch, PORTION):
                 cells, begins = features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([cells[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary())], ["turn", "doc_id", "toxic", "cells"])
 
@@ -107,18 +124,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
     extracted = rows.mapInArrow(lean(extract), "turn long, doc_id long, toxic int, cells binary")
     fitted = extracted.repartition(1).sortWithinPartitions("turn", "doc_id").select("toxic", "cells").mapInArrow(lean(learn), "cell int, weight double").toPandas()
-    weights = np.zeros(CELLS + 1)
-    weights[fitted["cell"].to_numpy(dtype=np.int64)] = fitted["weight"].to_numpy()
-    return weights
+    found = {int(c): float(w) for c, w in zip(fitted["cell"], fitted["weight"], strict=True)}
+    bias = found.pop(CELLS, 0.0)
+    return Weights(np.array(sorted(found), dtype=np.int32), np.array([found[c] for c in sorted(found)], dtype=np.float64), bias)
 
 
-def _scores(rows: list[bytes], weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _scores(rows: list[bytes], weights: Weights, wanted: np.ndarray) -> np.ndarray:
     cells, begins = features(rows, wanted)
-    sums = np.concatenate(([0.0], np.cumsum(weights[cells])))
-    return 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + weights[-1], -35, 35)))
+    sums = np.concatenate(([0.0], np.cumsum(weights.values[np.searchsorted(weights.cells, cells)])))
+    return 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + weights.bias, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from the threshold on) for each row of docs.
 
     Every row is scored on its whole text; null and empty texts get the bias alone. Repeated rows
@@ -127,9 +144,9 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value[:-1] != 0
+        wanted = shared.value.wanted()
         for batch in batches:
-            for part in rows_of(batch, 2 << 20):
+            for part in rows_of(batch, PORTION):
                 scores = _scores(part.column("text").to_pylist(), shared.value, wanted)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -137,15 +154,18 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
-def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
+def accepted(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns.
+
+    Each row is judged by its own text, a null one as an empty text; rows without doc_id and rows that repeat
+    are judged like others. An empty table stays empty.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value[:-1] != 0
+        wanted = shared.value.wanted()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in rows_of(batch, PORTION, at):
                 rows = [t.encode() if t is not None else b"" for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(_scores(rows, shared.value, wanted) < threshold))
 
