@@ -1,12 +1,13 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted on a bounded sample, with a charge on full clusters that keeps lists even. A
-graph of their neighbours, held in memory, is searched best first. Every vector is indexed: it goes to its
-nearest centroid and, near a boundary, to further ones that no chosen centroid stands close to
-(so replicas lie in different directions). A query reads the lists whose centroid distance is
-within a ratio of its nearest. Lists are stored in sub-lists of bounded length.
-
-Inner products become distances by one more coordinate that gives all vectors the longest's length.
+Vectors are dealt into bands by length, a factor of two each, so that a few long ones don't make all others look
+alike. Within a band, one more coordinate gives all vectors the same length, and the largest inner product becomes the
+smallest distance. A band's centroids are fitted in two levels on a bounded sample (a few on the driver, then those of each
+of their cells in a task), with a charge on full clusters that keeps lists even; their number grows with the
+rows, up to CENTROIDS. A graph of their neighbours, held in memory, is searched best first. Every row is indexed: it
+goes to its nearest centroid and, near a boundary, to up to three more. A query reads the lists whose centroid distance is
+within a ratio of its nearest, and no band whose longest vector can't reach the k-th score of the longest vectors of all.
+Lists are stored in sub-lists of bounded length.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,23 +24,30 @@ from inkflow.llm.common import lean, stage, table
 from inkflow.llm.topk import by_dimension, matrix, usable
 
 K, EVERY = 20, 20
-#: Rows that centroids are fitted on at most (smallest hash of vec_id), centroids at most, vectors for each.
-SAMPLE, CENTROIDS, PER_CENTROID = 20_000, 1024, 100
-#: Neighbours of a centroid in the graph, candidates that a search keeps.
-DEGREE, KEPT = 24, 96
-#: Lists that a vector goes to at most, how much farther (as a ratio) than its nearest they may be, and
-#: how near to a list, as a part of its own distance, no list that was taken before may be.
-REPLICAS, BOUNDARY, APART = 8, 1.4, 0.3
-#: Lists that a query reads at most, and how much farther than its nearest they may be.
-PROBES, RATIO = 48, 1.35
-#: Lists that it reads in any case, and vectors that those must hold.
-LEAST_PROBES, LEAST_VECTORS = 8, 400
-#: Vectors of a sub-list, about.
-SUBLIST = 4096
-
-
-def fit(x: np.ndarray, k: int, rounds: int = 12, charge: float = 0.5, seed: int = 7) -> np.ndarray:
-    """k balanced centroids of the rows of x: distance plus a charge for members beyond the mean."""
+#: Rows that the first level is fitted on at most (smallest hash of vec_id), centroids of a band at most, vectors for each,
+#: and rows for each that the second level is fitted on.
+SAMPLE, CENTROIDS, PER_CENTROID, PER_FIT = 4096, 16_384, 20, 40
+#: Bands of length; the last one holds all shorter vectors too. Longest vectors that rule bands out.
+BANDS, LONGEST = 16, 1024
+#: Neighbours of a centroid in the graph, candidates that a search for lists to store in keeps.
+DEGREE, KEPT = 24, 32
+#: Lists that a vector goes to at most, and how much farther (as a ratio) than its nearest they may be.
+REPLICAS, BOUNDARY = 4, 1.25
+#: How much farther than its nearest a list that a query reads may be; lists that it reads at most are
+#: REACH times the square root of all, and LEAST_PROBES in any case.
+RATIO, REACH, LEAST_PROBES = 1.4, 4.5, 24
+#: Vectors of a sub-list, about; candidates that a task holds before it drops all but the best.
+SUBLIST, HELD = 4096, 1 << 19
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(1))
+
+
+def fit(x: np.ndarray, k: int, rounds: int = 10, charge: float = 0.5, seed: int = 7) -> np.ndarray:
+    """At most k balanced centroids, of length 1 as the rows of x are: distance plus a charge for members beyond the mean."""
+    x = np.unique(x, axis=0)
+    k = min(k, len(x))
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), k, replace=False)].copy()
     spread = max(float(x.var(0).sum()), 1e-12)
@@ -46,76 +55,102 @@ def fit(x: np.ndarray, k: int, rounds: int = 12, charge: float = 0.5, seed: int
     for _ in range(rounds):
         cost = (centroids**2).sum(1)[None, :] - 2 * x @ centroids.T + charge * spread * np.maximum(load * k / len(x) - 1, 0)[None, :]
         own = cost.argmin(1)
-        load = 0.5 * load + 0.5 * np.bincount(own, minlength=k)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)
-        centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
+        load = 0.5 * load + 0.5 * n
+        order = np.argsort(own, kind="stable")
+        sums = np.add.reduceat(x[order], np.minimum(np.cumsum(n) - n, len(x) - 1), axis=0)
+        length = _lengths(sums)[:, None]
+        centroids = np.where((n[:, None] > 0) & (length > 1e-9), sums / np.maximum(length, 1e-9), x[rng.choice(len(x), k)])
     return centroids
 
 
 class Graph:
-    """Centroids, each linked to its DEGREE nearest (links go both ways); searched best first."""
+    """Centroids, each linked to its DEGREE nearest, some that it is near to, and the next one; searched best first."""
 
     def __init__(self, centroids: np.ndarray):
-        self.c, self.norms = centroids, (centroids**2).sum(1)
-        d = self.norms[:, None] + self.norms[None, :] - 2 * centroids @ centroids.T
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, :DEGREE]
-        links: list[set[int]] = [set() for _ in centroids]
-        for i, row in enumerate(near):
-            for j in row[: len(centroids) - 1]:
-                links[i].add(int(j))
-                links[j].add(i)
-        # A node of no links, as in a graph of one, points to itself; rows are filled up with their first link.
-        width = max(1, max(map(len, links)))
-        self.links = np.array([(sorted(s) or [i]) + [(sorted(s) or [i])[0]] * (width - max(1, len(s))) for i, s in enumerate(links)])
-        self.entry = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), 16)).astype(int))
-
-    def search(self, x: np.ndarray, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of x: the nearest centroids found (at most `kept`), nearest first, and squared distances."""
-        n, k = len(x), len(self.c)
-        kept, norms, rows = min(kept, k), (x**2).sum(1), np.arange(n)
-        found = np.full((n, k), np.inf)
-        found[:, self.entry] = norms[:, None] + self.norms[self.entry] - 2 * x @ self.c[self.entry].T
-        done = np.zeros((n, k), dtype=bool)
+        self.c = np.ascontiguousarray(centroids, dtype=np.float32)
+        self.norms = (self.c**2).sum(1)
+        k = len(self.c)
+        near = np.zeros((k, min(DEGREE, k - 1)), dtype=np.int32)
+        for at in range(0, k, 512):
+            d = self.norms[None, :] - 2 * self.c[at : at + 512] @ self.c.T
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            near[at : at + 512] = np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]] if near.shape[1] else near[at : at + 512]
+        back: list[list[int]] = [[] for _ in range(k)]
+        for i, row in enumerate(near.tolist()):
+            for j in row:
+                if len(back[j]) < DEGREE:
+                    back[j].append(i)
+        # The next one keeps the graph connected; rows are filled up with the node itself.
+        self.links = np.tile(np.arange(k, dtype=np.int32)[:, None], 2 * DEGREE + 1)
+        for i in range(k):
+            to = sorted({*near[i].tolist(), *back[i], (i + 1) % k})
+            self.links[i, : len(to)] = to
+        self.entry = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int32))
+
+    def search(self, x: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of x: the nearest centroids found (at most `kept`, then -1), nearest first, and squared distances."""
+        found = [self._search(x[at : at + 256].astype(np.float32), min(kept, len(self.c))) for at in range(0, len(x), 256)]
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros((0, 1), dtype=np.int32), np.zeros((0, 1)))
+
+    def _search(self, x: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        n, rows, norms = len(x), np.arange(len(x)), (x**2).sum(1)
+        seen = np.zeros((n, len(self.c)), dtype=bool)
+        at_once = max(1, min(8, kept // 4))
+        nodes = np.full((n, kept), -1, dtype=np.int32)
+        d = np.full((n, kept), np.inf, dtype=np.float32)
+        done = np.zeros((n, kept), dtype=bool)
+
+        def take(live: np.ndarray, to: np.ndarray) -> None:
+            """Puts new nodes among the best found; those that were seen have no distance."""
+            to = np.sort(to, axis=1)
+            new = ~seen[live[:, None], to]
+            new[:, 1:] &= to[:, 1:] != to[:, :-1]
+            seen[live[:, None], to] = True
+            far = norms[live, None] + self.norms[to] - 2 * np.matmul(self.c[to], x[live, :, None])[:, :, 0]
+            all_d = np.concatenate((d[live], np.where(new, far, np.inf)), axis=1)
+            order = np.argpartition(all_d, kept - 1, axis=1)[:, :kept]
+            d[live] = np.take_along_axis(all_d, order, 1)
+            nodes[live] = np.take_along_axis(np.concatenate((nodes[live], to), axis=1), order, 1)
+            done[live] = np.take_along_axis(np.concatenate((done[live], np.zeros(to.shape, dtype=bool)), axis=1), order, 1)
+
+        take(rows, np.tile(self.entry, (n, 1)))
         live = rows
         while len(live):
-            waiting = np.where(done[live], np.inf, found[live])
-            node = waiting.argmin(1)
-            best = waiting[np.arange(len(live)), node]
-            bound = np.partition(found[live], kept - 1, axis=1)[:, kept - 1]
-            go = np.isfinite(best) & (best <= bound)
-            live, node = live[go], node[go]
-            done[live, node] = True
-            to = self.links[node]
-            d = norms[live, None] + self.norms[to] - 2 * np.einsum("nld,nd->nl", self.c[to], x[live])
-            found[live[:, None], to] = d
-        order = np.argsort(found, axis=1, kind="stable")[:, :kept]
-        return order, np.maximum(found[rows[:, None], order], 0)
-
-
-def _lists(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            waiting = np.where(done[live], np.inf, d[live])
+            live = live[np.isfinite(waiting.min(1))]
+            if not len(live):
+                break
+            waiting = np.where(done[live], np.inf, d[live])
+            place = np.argpartition(waiting, at_once - 1, axis=1)[:, :at_once]
+            open_ = np.isfinite(np.take_along_axis(waiting, place, 1))
+            place = np.where(open_, place, waiting.argmin(1)[:, None])
+            done[live[:, None], place] = True
+            take(live, self.links[nodes[live[:, None], place]].reshape(len(live), -1))
+        order = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, order, 1)
+        return np.where(np.isfinite(d), np.take_along_axis(nodes, order, 1), -1), np.maximum(d, 0).astype(np.float64)
+
+
+def lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list): where each row of x is stored."""
-    order, d = graph.search(x, min(KEPT, 16))
-    rows, lists = [np.arange(len(x))], [order[:, 0]]
-    taken = [(order[:, 0], np.ones(len(x), dtype=bool))]
-    count = np.ones(len(x), dtype=int)
-    for j in range(1, order.shape[1]):
-        c = order[:, j]
-        fit_ = np.isfinite(d[:, j]) & (d[:, j] <= BOUNDARY**2 * d[:, 0]) & (count < REPLICAS)
-        for other, used in taken:
-            fit_ &= ~used | (((graph.c[other] - graph.c[c]) ** 2).sum(1) > APART**2 * d[:, j])
-        taken.append((c, fit_))
-        count += fit_
-        rows.append(np.flatnonzero(fit_))
-        lists.append(c[fit_])
-    return np.concatenate(rows), np.concatenate(lists)
-
-
-def _lifted(x: np.ndarray, most: float) -> np.ndarray:
-    """x with one more coordinate, so that all rows are as long as the longest."""
-    return np.column_stack((x, np.sqrt(np.maximum(most**2 - (x**2).sum(1), 0))))
+    order, d = graph.search(x, KEPT)
+    rows, places = np.nonzero((order[:, :REPLICAS] >= 0) & (d[:, :REPLICAS] <= BOUNDARY**2 * d[:, :1] + 1e-12))
+    return rows, order[rows, places]
+
+
+def probes(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): which lists each row of x reads."""
+    most = int(max(LEAST_PROBES, REACH * np.sqrt(len(graph.c))))
+    order, d = graph.search(x, most)
+    rows, column = np.nonzero((order >= 0) & ((d <= RATIO**2 * d[:, :1] + 1e-12) | (np.arange(order.shape[1]) < LEAST_PROBES)[None, :]))
+    return rows, order[rows, column]
+
+
+def lifted(x: np.ndarray, most: float) -> np.ndarray:
+    """x over `most`, with one more coordinate, so that all rows have the length 1."""
+    x = x / most
+    return np.column_stack((x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))))
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,15 +158,64 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1)
 
 
-def merged(have: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (scores, ids) of both, each id and score once, ties to the smaller id."""
-    if have is not None:
-        scores, ids = np.concatenate((have[0], scores)), np.concatenate((have[1], ids))
-    order = np.lexsort((ids, -scores))
+def best_of(query: np.ndarray, row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best candidates, by query, then best first, ties to the smaller id; a row counts once."""
+    order = np.lexsort((row, ids, -scores, query))
     again = np.zeros(len(order), dtype=bool)
-    again[1:] = (ids[order][1:] == ids[order][:-1]) & (scores[order][1:] == scores[order][:-1])
-    order = order[~again][:k]
-    return scores[order], ids[order]
+    # Equal rows of one query have equal ids and scores, so they stand together.
+    again[1:] = (query[order][1:] == query[order][:-1]) & (row[order][1:] == row[order][:-1])
+    order = order[~again]
+    first = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1])) if len(order) else np.zeros(0, dtype=int)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[rank < k]
+
+
+def _fitted(good: DataFrame, spaces: dict[tuple[int, int], tuple[int, float]]) -> dict[tuple[int, int], np.ndarray]:
+    """Centroids of each space (dim, band), whose rows and greatest length are given."""
+    spark = good.sparkSession
+    counts = {space: int(min(CENTROIDS, max(1, n // PER_CENTROID))) for space, (n, _) in spaces.items()}
+    turn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
+    coarse: dict[tuple[int, int], np.ndarray] = {}
+    for (dim, band), (n, most) in spaces.items():
+        share = min(1 << 20, -(-(SAMPLE * 5 // 4) * (1 << 20) // n))
+        sample = good.filter((F.size("embedding") == dim) & (F.col("band") == band) & (turn < share)).orderBy(turn, "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+        if not len(sample):  # no hash is that small
+            sample = good.filter((F.size("embedding") == dim) & (F.col("band") == band)).limit(1).select("embedding").toPandas()["embedding"]
+        coarse[dim, band] = fit(lifted(np.stack(sample.to_numpy()).astype(np.float64), most), int(np.ceil(np.sqrt(counts[dim, band]))))
+    shared = spark.sparkContext.broadcast((coarse, spaces, counts))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse, spaces, _ = shared.value
+        for batch in batches:
+            for space, part in by_space(batch):
+                x, c = lifted(matrix(part.column("embedding")), spaces[space][1]), coarse[space]
+                own = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v, dtype=np.int32)) for v in space] + [pa.array(own.astype(np.int32)), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["dim", "band", "cell", "x"])
+
+    def centroids(rows: pd.DataFrame) -> pd.DataFrame:
+        _, spaces, counts = shared.value
+        dim, band, cell = (int(rows[c].iloc[0]) for c in ("dim", "band", "cell"))
+        n = max(1, round(len(rows) / min(1.0, PER_FIT * counts[dim, band] / spaces[dim, band][0]) * counts[dim, band] / spaces[dim, band][0]))
+        found = fit(np.stack(rows["x"].to_numpy()).astype(np.float64), n)
+        return pd.DataFrame({"dim": np.int32(dim), "band": np.int32(band), "cell": np.int32(cell), "c": list(found.astype(np.float32))})
+
+    drawn = F.lit(False)
+    for (dim, band), (n, _) in spaces.items():
+        drawn |= (F.size("embedding") == dim) & (F.col("band") == band) & (turn < int(min(1.0, PER_FIT * counts[dim, band] / n) * (1 << 20)))
+    celled = good.filter(drawn).select("embedding", "band").mapInArrow(lean(cells), "dim int, band int, cell int, x array<float>")
+    rows = celled.groupBy("dim", "band", "cell").applyInPandas(centroids, "dim int, band int, cell int, c array<float>").toPandas()  # CENTROIDS, about, for each space
+    found = {}
+    for space in spaces:
+        own = rows[(rows["dim"] == space[0]) & (rows["band"] == space[1])].sort_values("cell", kind="stable")
+        found[space] = np.unique(np.stack(own["c"].to_numpy()), axis=0) if len(own) else coarse[space]
+    return found
+
+
+def by_space(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    for dim, part in by_dimension(batch):
+        bands = part.column("band").to_numpy()
+        for band in np.unique(bands):
+            yield (dim, int(band)), part.filter(pa.array(bands == band))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -139,120 +223,155 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     vectors, queries: vec_id, embedding. Rows that are null, zero, or hold null or non-finite components
     take no part; a query doesn't meet rows of its own vec_id, nor vectors of another length. With
-    fewer than PER_CENTROID vectors there is one list, which is read in full. A row that repeats
-    exactly counts once among the candidates; a query that repeats is answered once.
+    fewer than 2 * PER_CENTROID vectors there is one list, which is read in full. Rows that repeat are candidates, and
+    queries, of their own.
     """
     spark = vectors.sparkSession
     nonzero = F.exists("embedding", lambda x: x != 0)
-    good, asked = usable(vectors).filter(nonzero), usable(queries).filter(nonzero)
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    facts = good.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(length).alias("most")).collect()
-    graphs = {}
-    for r in facts:  # one for each length of vectors
-        sample = good.filter(F.size("embedding") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-        x = _lifted(np.stack(sample["embedding"].to_numpy()).astype(np.float64), r["most"])
-        count = int(min(CENTROIDS, max(1, r["n"] // PER_CENTROID), len(x)))
-        graphs[r["dim"]] = (Graph(fit(x, count)), r["most"])
-    shared = spark.sparkContext.broadcast(graphs)  # CENTROIDS vectors for each length
+    # Sums may overflow or vanish where components don't; such rows meet the others in the first or last band.
+    good = usable(vectors).filter(nonzero).withColumn("dim", F.size("embedding")).withColumn("length", F.greatest(F.least(length, F.lit(1e150)), F.lit(1e-150)))
+    most_of = {r["dim"]: r["most"] for r in good.groupBy("dim").agg(F.max("length").alias("most")).collect()}  # a row for each length of vectors
+    if not most_of:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    top = F.element_at(F.create_map(*[F.lit(x) for pair in most_of.items() for x in pair]), F.col("dim"))
+    good = good.withColumn("band", F.least(F.lit(BANDS - 1), F.floor(F.log2(top / F.col("length")))).cast("int"))
+    spaces = {(r["dim"], r["band"]): (r["n"], r["most"]) for r in good.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("length").alias("most")).collect()}
+    graphs = {space: (Graph(c), spaces[space][1]) for space, c in _fitted(good, spaces).items()}
+    longest: dict[int, list] = {dim: [] for dim in most_of}
+    for dim in most_of:  # only where there is more than one band
+        if sum(d == dim for d, _ in spaces) > 1:
+            rows = good.filter(F.col("dim") == dim).orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("vec_id", "embedding").toPandas()
+            longest[dim] = [rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)]
+    shared = spark.sparkContext.broadcast((graphs, longest))  # CENTROIDS and LONGEST vectors for each space
+
+    def posted(space: tuple[int, int], rows: np.ndarray, lists: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(rows), v, dtype=np.int32)) for v in space), pa.array(lists.astype(np.int32)), part.column("row").take(at), part.column("vec_id").cast(pa.int64()).take(at), part.column("embedding").take(at)], ["dim", "band", "list", "row", "vec_id", "embedding"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                for dim, part in by_dimension(batch.slice(at, 2048)):
-                    graph, most = shared.value[dim]
-                    rows, lists = _lists(graph, _lifted(matrix(part.column("embedding")), most))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(lists.astype(np.int32)), part.column("vec_id").cast(pa.int64()).take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["dim", "list", "vec_id", "embedding"])
+            for space, part in by_space(batch):
+                graph, most = shared.value[0][space]
+                yield posted(space, *lists_of(graph, lifted(matrix(part.column("embedding")), most)), part)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graphs, longest = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                for dim, part in by_dimension(batch.slice(at, 2048)):
-                    if dim not in shared.value:
-                        continue
-                    graph, most = shared.value[dim]
-                    x = matrix(part.column("embedding"))
-                    scale = most / np.sqrt((x**2).sum(1, keepdims=True))
-                    order, d = graph.search(np.column_stack((x * scale, np.zeros(len(x)))))
-                    stored_ = counts.value[dim][order]
-                    before = np.cumsum(stored_, axis=1) - stored_
-                    place = np.arange(order.shape[1])[None, :]
-                    close = (d <= RATIO**2 * d[:, :1] + 1e-12) & (place < PROBES)
-                    rows, column = np.nonzero(np.isfinite(d) & (close | (place < LEAST_PROBES) | (before < LEAST_VECTORS)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(order[rows, column].astype(np.int32)), part.column("vec_id").cast(pa.int64()).take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["dim", "list", "vec_id", "embedding"])
+            for dim, part in by_dimension(batch):
+                x, ids = matrix(part.column("embedding")), part.column("vec_id").to_numpy()
+                lengths = np.maximum(_lengths(x), 1e-150)
+                least = np.full(len(x), -np.inf)
+                if len(own := longest.get(dim, ())) and len(own[0]) > k:
+                    scores = np.where(ids[:, None] == own[0][None, :], -np.inf, x @ own[1].T)
+                    least = np.partition(scores, -k, axis=1)[:, -k]
+                for space in (s for s in graphs if s[0] == dim):
+                    graph, most = graphs[space]
+                    live = np.flatnonzero(lengths * most * (1 + 1e-9) >= least)
+                    rows, lists = probes(graph, np.column_stack((x[live] / lengths[live, None], np.zeros(len(live)))))
+                    yield posted(space, live[rows], lists, part)
 
     kind = dict(good.dtypes)["embedding"]
-    schema = f"dim int, list int, vec_id long, embedding {kind}"
-    postings = stage(good.mapInArrow(lean(index), schema))
-    sizes = postings.groupBy("dim", "list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each length
-    held = {dim: np.zeros(len(graph.c), dtype=np.int64) for dim, (graph, _) in graphs.items()}
-    for r in sizes.collect():
-        held[r["dim"]][r["list"]] = r["n"]
-    counts, sizes = spark.sparkContext.broadcast(held), sizes.drop("n")
-    stored = postings.join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-    reads = asked.dropDuplicates(["vec_id", "embedding"]).mapInArrow(lean(probe), schema).join(F.broadcast(sizes), ["dim", "list"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    columns = ["dim", "list", "sub", "kind", "vec_id", "embedding"]
+    schema = f"dim int, band int, list int, row long, vec_id long, embedding {kind}"
+    key = ["dim", "band", "list"]
+    postings = stage(good.select("vec_id", "embedding", "band").withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(index), schema))
+    sizes = postings.groupBy(*key).agg(F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each space
+    stored = postings.join(F.broadcast(sizes), key).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
+    asked = usable(queries).filter(nonzero).withColumn("row", F.monotonically_increasing_id())
+    reads = asked.mapInArrow(lean(probe), schema).join(F.broadcast(sizes), key).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    columns = [*key, "sub", "kind", "row", "vec_id", "embedding"]
     together = stored.withColumn("kind", F.lit(0)).select(*columns).unionByName(reads.withColumn("kind", F.lit(1)).select(*columns))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sub-list's vectors come before the queries that read it."""
-        key, ids, x = None, [], []
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        """A sub-list's vectors come before the queries that read it. Candidates are held until they are too many, then only each query's best."""
+        own_key, ids, rows, x = None, [], [], []
+        number: dict[int, int] = {}  # of the task's queries, by row
+        least, query_ids, query_rows = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def prune() -> None:
+            nonlocal size
+            query, row, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
+            at = best_of(query, row, vec, score, k)
+            query, score = query[at], score[at]
+            held[:] = [(query, row[at], vec[at], score)]
+            size = len(at)
+            ends = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if size else np.zeros(0, dtype=int)
+            full = ends[np.diff(np.append(-1, ends)) == k]
+            least[query[full]] = score[full]
+
+        def answer(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> None:
+            nonlocal least, query_ids, query_rows, size
+            fresh = [i for i, r in enumerate(q_rows.tolist()) if r not in number]
+            number.update(zip(q_rows[fresh].tolist(), range(len(least), len(least) + len(fresh)), strict=True))
+            query_ids, query_rows = np.append(query_ids, q_ids[fresh]), np.append(query_rows, q_rows[fresh])
+            least = np.append(least, np.full(len(fresh), -np.inf))
+            at = np.array([number[r] for r in q_rows.tolist()])
+            own_ids, own_rows, own = (np.concatenate(c) for c in (ids, rows, x))
+            scores = np.where(q_ids[:, None] == own_ids[None, :], -np.inf, q @ own.T)
+            floor = least[at]
+            if len(own) > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+            floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), floor)
+            i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            held.append((at[i], own_rows[j], own_ids[j], dots(own[j], q[i])))
+            size += len(i)
+            if size > HELD:
+                prune()
 
         def found() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([v[1] for v in best.values()], pa.list_(pa.int64())), pa.array([v[0] for v in best.values()], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
-            best.clear()
-            return out
-
-        def answer(q_ids: np.ndarray, q: np.ndarray) -> None:
-            own_ids, own = np.concatenate(ids), np.concatenate(x)
-            scores = q @ own.T
-            scores[q_ids[:, None] == own_ids[None, :]] = -np.inf
-            for i, q_id in enumerate(q_ids.tolist()):
-                row = scores[i]
-                have = best.get(q_id)
-                least = max(np.partition(row, -k)[-k] if len(row) > k else -np.inf, have[0][-1] if have is not None and len(have[0]) == k else -np.inf)
-                near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf)) if np.isfinite(least) else np.flatnonzero(row > -np.inf)
-                best[q_id] = merged(have, dots(own[near], q[i][None, :]), own_ids[near], k)
+            prune()
+            query, row, vec, score = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(query_rows[query]), pa.array(query_ids[query]), pa.array(row), pa.array(vec), pa.array(score)], ["query", "query_id", "row", "vec_id", "score"])
 
         for batch in batches:
-            head = np.column_stack([batch.column(c).to_numpy() for c in ("dim", "list", "sub", "kind")])
+            head = np.column_stack([batch.column(c).to_numpy() for c in (*key, "sub", "kind")])
             cuts = np.append(np.flatnonzero(np.append(True, (head[1:] != head[:-1]).any(1))), len(head)) if len(head) else [0]
             for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                own = tuple(head[start, :3])
                 part = batch.slice(start, stop - start)
-                part_ids, part_x = part.column("vec_id").to_numpy(), matrix(part.column("embedding"))
-                if own != key:
-                    key, ids, x = own, [], []
-                if head[start, 3] == 0:
+                part_rows, part_ids, part_x = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), matrix(part.column("embedding"))
+                if tuple(head[start, :4]) != own_key:
+                    own_key, ids, rows, x = tuple(head[start, :4]), [], [], []
+                if head[start, 4] == 0:
                     ids.append(part_ids)
+                    rows.append(part_rows)
                     x.append(part_x)
                 elif ids:
                     for at in range(0, len(part_ids), 512):
-                        answer(part_ids[at : at + 512], part_x[at : at + 512])
-                if len(best) > 50_000:
-                    yield found()
-        if best:
+                        answer(part_rows[at : at + 512], part_ids[at : at + 512], part_x[at : at + 512])
+                if len(number) > 50_000:
+                    if held:
+                        yield found()
+                    held, size = [], 0
+                    number.clear()
+                    least, query_ids, query_rows = least[:0], query_ids[:0], query_rows[:0]
+        if held:
             yield found()
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial answers come sorted by query."""
-        query, best = None, None
-
-        def answer() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0]), query, dtype=np.int64)), pa.array(np.arange(1, len(best[0]) + 1, dtype=np.int32)), pa.array(best[1]), pa.array(best[0])], ["query_id", "rank", "vec_id", "score"])
+    partial = together.repartition(*key, "sub").sortWithinPartitions(*key, "sub", "kind").mapInArrow(lean(search), "query long, query_id long, row long, vec_id long, score double")
 
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial answers come sorted by query; a batch's last query waits for the next batch."""
+        rest = None
         for batch in batches:
-            for q_id, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
-                if q_id != query:
-                    if best is not None:
-                        yield answer()
-                    query, best = q_id, None
-                best = merged(best, np.array(scores, dtype=np.float64), np.array(ids, dtype=np.int64), k)
-        if best is not None:
-            yield answer()
-
-    partial = together.repartition("dim", "list", "sub").sortWithinPartitions("dim", "list", "sub", "kind").mapInArrow(lean(search), "query_id long, ids array<long>, scores array<double>")
-    return partial.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lean(rank), "query_id long, rank int, vec_id long, score double")
+            rest = pa.concat_batches([rest, batch]) if rest is not None else batch
+            query = rest.column("query").to_numpy()
+            if len(query) and query[0] != query[-1]:
+                cut = int(np.searchsorted(query, query[-1]))
+                yield ranked(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None:
+            yield ranked(rest)
+
+    def ranked(part: pa.RecordBatch) -> pa.RecordBatch:
+        query, row, vec, score = (part.column(c).to_numpy() for c in ("query", "row", "vec_id", "score"))
+        at = best_of(query, row, vec, score, k)
+        first = np.flatnonzero(np.append(True, query[at][1:] != query[at][:-1])) if len(at) else np.zeros(0, dtype=int)
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
+        return pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array(vec[at]), pa.array(score[at])], ["query_id", "rank", "vec_id", "score"])
+
+    return partial.repartition("query").sortWithinPartitions("query").mapInArrow(lean(rank), "query_id long, rank int, vec_id long, score double")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
