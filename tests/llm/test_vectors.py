@@ -28,8 +28,8 @@ def fine(rows, zero=True):
 def test_exact_top_k(spark):
     rows = odd_vectors()
     vectors = frame(spark, rows)
-    for block, queries in ((16, 3), (2048, 1024)):
-        found = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), block=block, query_block=queries).collect()
+    for block, queries, run in ((16, 3, 64), (2048, 1024, 32_768)):
+        found = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), block=block, query_block=queries, run=run).collect()
         wanted = []
         ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e in fine(rows)]
         for q_id, q in [x for x in ints if x[0] % 100 == 0]:
@@ -40,6 +40,19 @@ def test_exact_top_k(spark):
     assert topk.top_k(nothing, nothing).collect() == [] and topk.top_k(vectors, nothing).collect() == []
 
 
+def test_long_vectors_rule_out_runs_of_short_ones(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 6)) * rng.pareto(0.5, size=(600, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    vectors = frame(spark, rows)
+    found = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), block=20, query_block=2, run=40).collect()
+    ints = topk.integers(np.array([e for _, e in rows]).astype(np.float64))
+    scores = ints @ ints.T
+    for q in range(0, 600, 100):
+        wanted = sorted((-int(scores[q, i]), i) for i in range(600) if i != q)[:10]
+        assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in found if r["query_id"] == q) == [(n, *w) for n, w in enumerate(wanted, 1)]
+
+
 def test_products_beyond_doubles_are_exact():
     a, b = np.array([[2**40 + 1, 3]]), np.array([[2**12 + 1, -5], [2**62, 2**62]])
     assert topk.products(a, b).tolist() == [[(2**40 + 1) * (2**12 + 1) - 15, 2**63 - 1]]
