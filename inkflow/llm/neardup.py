@@ -34,8 +34,8 @@ K, WORDS, PERCENT = 40, 5, 85
 UNLISTED, RULED_OUT = 1e-9, 1e-7
 #: Frequencies of sketch values are counted in as many cells (rows of CELLS), of two bytes each.
 TABLE, CELLS = 1 << 22, 1 << 16
-#: Members of a list that meet in one task, and partners of one document that do.
-BLOCK, PARTNERS = 1024, 2048
+#: Members of a list that stand in one block, two of which meet in one task, and partners of one document that meet in one.
+BLOCK, PARTNERS = 512, 2048
 #: Bits of a set's parity map.
 MAP = 1024
 #: Ids sent to every executor at most; more are joined by a shuffle.
@@ -140,10 +140,10 @@ def _rarest(values: np.ndarray, begins: np.ndarray, cells: np.ndarray, shared: t
 
 
 def postings(classes: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """v (a retained value), rep, central: an entry for each value that comes first in its sketch.
+    """v (a retained value), rep, central: an entry for each value that comes first in its sketch, and that others may hold.
 
     central counts how many other sketches hold the document's values: the original of many
-    edited copies has the most.
+    edited copies has the most. Its lower bits are a hash that makes ties rare.
     """
     shared = classes.sparkSession.sparkContext.broadcast(cells)
     least = least_shared(percent, UNLISTED)
@@ -153,35 +153,23 @@ def postings(classes: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> D
             values, begins = _values(batch.column("sketch"))
             central = np.add.reduceat(np.append(np.minimum(shared.value[(values >> np.uint64(1)).astype(np.int64) % TABLE].astype(np.int64), 4096), 0), begins[:-1]) if len(begins) > 1 else np.zeros(0, dtype=np.int64)
             values, owner = _rarest(values, begins, shared.value, (least, K), half=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column("rep").to_numpy()[owner]), pa.array(central[owner])], ["v", "rep", "central"])
+            held = shared.value[(values >> np.uint64(1)).astype(np.int64) % TABLE] > 1  # else it is this sketch's alone
+            values, owner = values[held], owner[held]
+            rep = batch.column("rep").to_numpy()[owner]
+            turn = (mix(rep.view(np.uint64)) >> np.uint64(20)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(rep), pa.array(central[owner] << 44 | turn)], ["v", "rep", "central"])
 
     return classes.filter("n > 0").select("rep", "sketch").mapInArrow(lean(run), "v long, rep long, central long")
 
 
 def inverted_lists(entries: DataFrame) -> DataFrame:
-    """v, pivot (the list's most central member), rep: the lists with two members or more."""
+    """v, pivot (the list's most central member), rep: the lists with two members or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, pivot, alone = None, 0, True  # of the run of equal values that the last batch ended in
-        for batch in batches:
-            v, rep = batch.column("v").to_numpy(), batch.column("rep").to_numpy()
-            if not len(v):
-                continue
-            head = np.append(True, v[1:] != v[:-1])
-            goes_on = value is not None and v[0] == value
-            head[0] = not goes_on
-            at = np.maximum.accumulate(np.where(head, np.arange(len(v)), -1))
-            pivots = np.where(at >= 0, rep[np.maximum(at, 0)], pivot)
-            single = head & np.append(head[1:], True)
-            # The batch's last entry may be the first of its run: it waits until a second one comes.
-            rows = ~single
-            extra = np.array([(value, pivot, pivot)] if goes_on and alone else [], dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((extra[:, i], x[rows]))) for i, x in enumerate((v, pivots, rep))], ["v", "pivot", "rep"])
-            alone = bool(single[-1])
-            value, pivot = v[-1], pivots[-1]
-
-    ordered = entries.repartition("v").sortWithinPartitions("v", F.desc("central"), "rep")
-    return ordered.mapInArrow(lean(run), "v long, pivot long, rep long")
+    Pivots come from sums over parts of a list, and meet its members in a join whose skewed parts Spark splits: no task
+    has to see a whole list.
+    """
+    pivots = entries.groupBy("v").agg(F.max_by("rep", "central").alias("pivot"), F.count("*").alias("of")).filter("of > 1").drop("of")
+    return entries.join(pivots, "v").select("v", "pivot", "rep")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -285,8 +273,9 @@ def components(links: DataFrame) -> DataFrame:
 def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components whose full sets share one of their rarest values, and fit by size and parity map.
 
-    Only documents in enough lists that hold several components are looked at. A value's holders meet in
-    blocks of about BLOCK, each pair of blocks in a group of its own.
+    Only documents in enough lists that hold several components are looked at. A value's holders stand in
+    blocks of about BLOCK, and two blocks meet in a group of their own. A large component has blocks to itself, which
+    don't meet each other: many copies of one text cost a row for each block of other texts.
     """
     named = lists.select("v", "rep").join(comps, lists["rep"] == comps["node"], "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
@@ -314,9 +303,19 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, docs: Da
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([m.tobytes() for m in maps], pa.binary())], ["rep", "map"])
 
     entries = stage(sets.mapInArrow(lean(rarest), "v long, rep long, component long, n long"))
-    several = entries.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("v", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
-    rows = entries.join(several, "v").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "n").join(sets.mapInArrow(lean(parity), "rep long, map binary"), "rep")
+    counted = entries.groupBy("v", "component").agg(F.count("*").alias("of"))
+    own = F.col("of") > BLOCK // 2
+    several = counted.groupBy("v").agg(F.count("*").alias("components"), F.sum(F.when(~own, F.col("of")).otherwise(0)).alias("rest")).filter("components > 1")
+    homes = stage(counted.join(several, "v").select("v", "component", "rest", own.alias("own"), F.ceil(F.when(own, F.col("of")).otherwise(F.col("rest")) / BLOCK).alias("parts")))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    alone = homes.filter("own").select("v", F.col("component").alias("home"), part.alias("i")).select("v", "home", F.xxhash64("home", "i").alias("b"))
+    mixed = homes.filter("not own").select("v", "parts").distinct().select("v", F.lit(None).cast("long").alias("home"), part.alias("b"))
+    blocks = stage(alone.unionByName(mixed))
+    two = blocks.toDF("v", "home", "x").join(blocks.toDF("v", "other", "y"), "v").filter("x <= y and coalesce(home <> other, true)").select("v", "x", "y")
+    sides = two.select("v", F.col("x").alias("block"), "x", "y").unionByName(two.filter("x < y").select("v", F.col("y").alias("block"), "x", "y"))
+    block = F.when(F.col("own"), F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("component"), F.col("parts")))
+    placed = entries.join(homes, ["v", "component"]).select("v", block.alias("block"), "rep", "component", "n")
+    rows = placed.join(sides, ["v", "block"]).select("v", "x", "y", "block", "rep", "component", "n").join(sets.mapInArrow(lean(parity), "rep long, map binary"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by v, x, y; the last, unfinished group of a batch waits for the next."""

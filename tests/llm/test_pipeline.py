@@ -25,7 +25,7 @@ def test_stages(spark):
             if name == "toxicity":
                 assert set(before) - set(after) == rejected and all(after[k] == before[k] for k in after)
             elif name == "near_duplicates":
-                groups = brute_components([(k, r["text"]) for k, r in before.items()])
+                groups = brute_components([(k, r["text"]) for k, r in before.items()], corpus_pipeline.PERCENT)
                 assert set(after) == set(groups.values()) and all(after[k] == before[k] for k in after)
             else:
                 assert set(after) == set(before)

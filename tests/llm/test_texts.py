@@ -20,7 +20,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """doc_id: (smallest doc_id reachable) over all pairs, rows of a doc_id being one document."""
     rows = [(i, shingles(t)) for i, t in rows if i is not None]
     parent = {i: i for i, _ in rows}
@@ -33,7 +33,7 @@ def brute_components(rows):
     for k, (i, a) in enumerate(rows):
         for j, b in rows[:k]:
             both = len(a & b)
-            if a and b and 100 * both >= 85 * (len(a) + len(b) - both):
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return {i: root(i) for i, _ in rows}
@@ -54,6 +54,22 @@ def test_near_duplicates_of_odd_documents(spark, odd_docs, odd_texts, no_docs):
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_lists_of_many_components_are_met_in_blocks(spark, monkeypatch, block):
+    """Copies of one text with edits of many sizes, so that its lists hold a large component, small ones, and single texts."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(60):
+        text = list(base)
+        for at in rng.sample(range(300), rng.choice((0, 1, 2, 5, 6, 7, 8, 12))):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    assert len(set(brute_components(rows).values())) > 5
+    check_components(spark, rows)
+
+
 def test_near_duplicates_in_chains_and_around_the_threshold(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
