@@ -2,8 +2,9 @@
 
 A worklist holds layers of a text: the text itself, then what its percent escapes, Unicode escapes
 and base64 or compressed runs decode to (over line breaks too, and out of step), until no new layer appears. Every character of a layer
-knows the span of the original text that it came from, so findings map back. A layer that was seen
-for the same span isn't decoded again, which ends cycles.
+knows the span of the original text that it came from, escape by escape, so findings map back. A layer that was seen
+for the same span isn't decoded again, which ends cycles. Where an escape gives the first sign of another one at once,
+CHAIN times or more (%25252541), all of them are read in one step: the layers between hold only fewer of the same digits.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from html import unescape
-from itertools import chain
+from itertools import chain, groupby
+from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -36,6 +38,10 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"""(?:\\u\{?[0-9A-Fa-f]{4,6}\}?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+""")
 ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
+#: An escape of a character that begins an escape, and one escape of an ASCII character.
+SIGN = re.compile(r"%(?:25|26|5[Cc])|\\(?:u\{?00(?:25|26|5[Cc])\}?|U000000(?:25|26|5[Cc])|x(?:25|26|5[Cc]))|&#(?:0*(?:37|38|92)|[xX]0*(?:25|26|5[Cc]));")
+ASCII = re.compile(r"%([0-7][0-9A-Fa-f])|\\u\{?00([0-7][0-9A-Fa-f])\}?|\\U000000([0-7][0-9A-Fa-f])|\\x([0-7][0-9A-Fa-f])|&#[xX]0*([0-7]?[0-9A-Fa-f]);|&#0*([0-9]{1,2}|1[01][0-9]|12[0-7]);")
+CHAIN = 4
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The same over line breaks, each line of which may be indented.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?!-----)[A-Za-z0-9+/_-]++)+={0,2}")
@@ -63,41 +69,57 @@ def find(text: str) -> list[Span]:
     return sorted(found)
 
 
+class Part(NamedTuple):
+    """[start, stop) of a layer read as text; each of its characters stands for `per` characters in turn, or (0) for all of them."""
+
+    start: int
+    stop: int
+    text: str
+    per: int = 0
+
+
 class Layer:
     """A decoded text whose characters know the span of the original that they came from.
 
-    runs: (first character, start, end) in order; up to the next run, characters stand one for
-    one from start on (end None), or all for the whole of [start, end). Spans never go back.
+    runs: (first, start, width, step) in order; up to the next run, character first + i stands for
+    [start + i * step, start + i * step + width) of the original. Spans never go back.
     """
 
-    def __init__(self, text: str, runs: list[tuple[int, int, int | None]]):
+    def __init__(self, text: str, runs: list[tuple[int, int, int, int]]):
         self.text, self.runs, self._firsts = text, runs, [r[0] for r in runs]
 
     def _origin(self, at: int) -> tuple[int, int]:
-        first, start, end = self.runs[bisect_right(self._firsts, at) - 1]
-        return (start + at - first, start + at - first + 1) if end is None else (start, end)
+        first, start, width, step = self.runs[bisect_right(self._firsts, at) - 1]
+        start += (at - first) * step
+        return start, start + width
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
         return self._origin(start)[0], self._origin(stop - 1)[1]
 
-    def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
-        """This layer with [start, stop) read as other text; those characters map to the whole of it."""
+    def replaced(self, parts: Iterable[Part]) -> Layer:
+        """This layer with the parts, which come in order, read as their texts."""
         out, runs, size, at = [], [], 0, 0
 
         def keep(a: int, b: int) -> None:
             nonlocal size
             i = bisect_right(self._firsts, a) - 1
             while a < b:
-                first, start, end = self.runs[i]
+                first, start, width, step = self.runs[i]
                 upto = min(b, self._firsts[i + 1]) if i + 1 < len(self.runs) else b
-                runs.append((size, start + a - first if end is None else start, end))
+                runs.append((size, start + (a - first) * step, width, step))
                 size, a, i = size + upto - a, upto, i + 1
 
-        for start, stop, text in parts:
+        for start, stop, text, per in parts:
             keep(at, start)
-            if text:
-                runs.append((size, *self.span(start, stop)))
-                size += len(text)
+            i = bisect_right(self._firsts, start) - 1
+            if text and per and (i + 1 == len(self.runs) or self._firsts[i + 1] >= stop):
+                first, origin, width, step = self.runs[i]
+                runs.append((size, origin + (start - first) * step, (per - 1) * step + width, per * step))
+            else:
+                for k in range(0, len(text), 1 if per else max(1, len(text))):
+                    a, b = self.span(start + k * per, start + (k + 1) * per) if per else self.span(start, stop)
+                    runs.append((size + k, a, b - a, 0))
+            size += len(text)
             out += [self.text[at:start], text]
             at = stop
         keep(at, len(self.text))
@@ -218,26 +240,74 @@ def _from_base64(body: str) -> Iterator[tuple[int, int, str]]:
             return
 
 
-def _from_escapes(run: str) -> str:
-    units = []
-    for m in ONE_ESCAPE.finditer(run):
-        code = int(m[1] or m[2] or m[3], 16) if not m[4] else None
-        units.append(unescape(m[4]) if code is None else chr(code) if code < 0x110000 else "\ufffd")
-    return "".join(units).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+def _percent(text: str) -> Iterator[Part]:
+    """Percent escapes, a part for characters of as many bytes; bytes that aren't UTF-8 become U+FFFD one by one."""
+    for m in PERCENT.finditer(text):
+        at, found = m.start(), unquote_to_bytes(m[0]).decode("utf-8", "surrogateescape")
+        if found.isascii():
+            yield Part(at, m.end(), found, 3)
+            continue
+        for per, group in groupby(found, lambda c: 3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode())):
+            chars = "".join("\ufffd" if "\udc80" <= c <= "\udcff" else c for c in group)
+            yield Part(at, at := at + per * len(chars), chars, per)
+
+
+def _escapes(text: str) -> Iterator[Part]:
+    """Unicode escapes, a part for neighbours of one length; surrogates pair, or become U+FFFD."""
+    for run in UNICODE.finditer(text):
+        units: list[Part] = []
+        for m in ONE_ESCAPE.finditer(text, run.start(), run.end()):
+            code = int(m[1] or m[2] or m[3], 16) if not m[4] else None
+            char = unescape(m[4]) if code is None else chr(code) if code < 0x110000 else "\ufffd"
+            if "\udc00" <= char <= "\udfff" and units and "\ud800" <= units[-1].text <= "\udbff":
+                char = (units[-1].text + char).encode("utf-16-le", "surrogatepass").decode("utf-16-le")
+                units[-1] = Part(units[-1].start, m.end(), char)
+            else:
+                units.append(Part(m.start(), m.end(), char))
+        for per, group in groupby(units, lambda u: (u.stop - u.start) * (len(u.text) == 1)):
+            same = list(group)
+            chars = "".join("\ufffd" if "\ud800" <= u.text <= "\udfff" else u.text for u in same)
+            if per:
+                yield Part(same[0].start, same[-1].stop, chars, per)
+            else:
+                yield from same
+
+
+def _chains(text: str) -> Iterator[Part]:
+    """Escapes that give the sign of the next escape, CHAIN times or more, and the character that the last one gives."""
+    at = 0
+    while (m := SIGN.search(text, at)) is not None:
+        at, steps, char = m.end(), 1, _ascii(ASCII.match(m[0]))
+        # Of the digits after a sign, an escape has fewer than sixteen.
+        while char in "%&\\" and (inner := ASCII.match(char + text[at : at + 16])) is not None:
+            at, steps, char = at + inner.end() - 1, steps + 1, _ascii(inner)
+        if steps >= CHAIN:
+            yield Part(m.start(), at, char)
+
+
+def _ascii(m: re.Match) -> str:
+    return chr(int(m[6])) if m[6] else chr(int(next(filter(None, m.groups())), 16))
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
     """The layers one step below: one for each encoding that the layer holds."""
     text = layer.text
-    if "%" in text and (parts := [(m.start(), m.end(), unquote_to_bytes(m[0]).decode("utf-8", "replace")) for m in PERCENT.finditer(text)]):
-        yield layer.replaced(parts)
-    if ("\\" in text or "&#" in text) and (parts := [(m.start(), m.end(), _from_escapes(m[0])) for m in UNICODE.finditer(text)]):
+    if ("%" in text or "\\" in text or "&#" in text) and (parts := list(_chains(text))):
         yield layer.replaced(parts)
+    else:
+        if "%" in text and (parts := list(_percent(text))):
+            yield layer.replaced(parts)
+        if ("\\" in text or "&#" in text) and (parts := list(_escapes(text))):
+            yield layer.replaced(parts)
     yield from _wrapped(layer)
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=")
         for start, stop, inner in _from_base64(body):
-            yield Layer(inner, [(0, *layer.span(m.start() + start, m.end() if stop == len(body) else m.start() + stop))])
+            yield _whole(inner, *layer.span(m.start() + start, m.end() if stop == len(body) else m.start() + stop))
+
+
+def _whole(text: str, start: int, stop: int) -> Layer:
+    return Layer(text, [(0, start, stop - start, 0)])
 
 
 def _wrapped(layer: Layer) -> Iterator[Layer]:
@@ -256,13 +326,13 @@ def _wrapped(layer: Layer) -> Iterator[Layer]:
             i, j = bisect_right(firsts, start) - 1, bisect_right(firsts, stop - 1) - 1
             if i < j:
                 end = len(m[0]) if stop == size else origins[j] + stop - firsts[j]
-                yield Layer(inner, [(0, *layer.span(m.start() + origins[i] + start - firsts[i], m.start() + end))])
+                yield _whole(inner, *layer.span(m.start() + origins[i] + start - firsts[i], m.start() + end))
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(the text's own secrets, all secrets), each by start and kind, ends exclusive, in code points."""
     own = find(text)
-    everything, work, seen = set(own), [decoded(Layer(text, [(0, 0, None)]))], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
+    everything, work, seen = set(own), [decoded(Layer(text, [(0, 0, 1, 1)]))], {(0, len(text), hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())}
     while work:  # depth first, so that one window of a large layer is held at a time
         if (inner := next(work[-1], None)) is None:
             work.pop()

@@ -5,7 +5,10 @@ import bz2
 import gzip
 import lzma
 import random
+import re
+import time
 import tracemalloc
+import urllib.parse
 
 import pytest
 
@@ -73,3 +76,75 @@ def test_base64_after_a_path(path, pack):
 
 def test_base64_before_a_path():
     assert found(b64(b"some words, then " + SECRET), "https://x.y/", "/edit/this?x")
+
+
+def percent(data):
+    return "".join(f"%{b:02X}" for b in data)
+
+
+@pytest.mark.parametrize("escape", [percent, lambda d: "".join(f"\\u{ord(c):04x}" for c in d.decode()), lambda d: "".join(f"&#{ord(c)};" for c in d.decode()), lambda d: percent(percent(d).encode()), lambda d: percent("".join(f"\\x{b:02x}" for b in d).encode())])
+def test_escapes_map_one_by_one(escape):
+    """A secret inside a long escaped passage has a span of its own, not that of the passage."""
+    before, after = b"words before, ", b" and words after it"
+    inside = escape(before) + escape(SECRET) + escape(after)
+    text = f"é {inside} end"
+    start = 2 + len(escape(before))
+    spans = [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+    assert (start, start + len(escape(SECRET))) in spans
+    assert all(a >= start and b <= start + len(escape(SECRET)) for a, b in spans)
+
+
+def test_escaped_characters_of_many_bytes():
+    text = f"x {percent('日本 \U0001f600ü '.encode())}{percent(b'token=abcdefgh1')}\\ud83d\\ude00\\u0074oken=abcdefgh2 %ff%c3%28"
+    spans = [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+    a = 2 + len(percent("日本 \U0001f600ü ".encode()))
+    b = a + len(percent(b"token=abcdefgh1"))
+    assert (a, b) in spans and (b + 12, text.index(" %ff")) in spans
+
+
+@pytest.mark.parametrize("chain", ["%" + "25" * 8000 + "41", "&" + "#38;" * 4000 + "#65;", "\\" + "x5c" * 5000 + "x41", "%" + "5Cx25" * 4000 + "41", "%" + "25" * 8000])
+def test_chains_of_escapes_end_in_time(chain):
+    began = time.perf_counter()
+    secrets.scan(f"some text {chain} more")
+    assert time.perf_counter() - began < 0.5
+
+
+def test_a_secret_behind_a_chain():
+    for depth in (1, 2, 3, 4, 5, 50):
+        text = "see " + "%" + "25" * depth + "74oken=abcdefgh9 there"
+        assert (4, text.index(" there")) in [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+
+
+def naive(text, seen=None):
+    """All texts below a text by whole-text decoding, without spans."""
+    seen = set() if seen is None else seen
+    if text in seen:
+        return seen
+    seen.add(text)
+    naive(urllib.parse.unquote(text), seen)
+    naive(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text), seen)
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            data = base64.b64decode(m[0])
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            inner = data.decode()
+        except (ValueError, OSError, EOFError):
+            continue
+        if inner.isprintable():
+            naive(inner, seen)
+    return seen
+
+
+def test_layers_equal_naive_decoding():
+    rng = random.Random(12)
+    wraps = [lambda t: percent(t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode()))]
+    for n in range(60):
+        secret = f"token={rng.getrandbits(60):x}"
+        text = f"some words and {secret}, then more"
+        for _ in range(rng.randint(1, 4)):
+            text = f"a {rng.choice(wraps)(text)} b" if rng.random() < 0.5 else rng.choice(wraps)(text)
+        every = secrets.scan(text)[1]
+        hidden = any(secret in t for t in naive(text))
+        assert hidden and any(kind == 0 for _, kind, _ in every), (n, text)
+        clean = secrets.redact(text, every)
+        assert not any(secret in t for t in naive(clean))
