@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -98,3 +99,34 @@ def test_the_rank_file_and_the_json_file_agree():
     rng = random.Random(2)
     texts = ["".join(chr(rng.choice((rng.randint(32, 126), rng.randint(161, 591), 32, 10, 0x4E2D, 0x1F600))) for _ in range(200)) for _ in range(50)] + ["<|endoftext|>"]
     assert [e.ids for e in reference().encode_batch(texts, add_special_tokens=False)] == [vocab.encoding().encode_ordinary(t) for t in texts]
+
+
+def long_words():
+    rng = random.Random(13)
+    letters = "".join(chr(97 + int(26 * rng.random() ** 2)) for _ in range(3000))
+    fixed = ["a" * 100_000, "ab" * 20_000, letters, "".join(rng.choice("acgt") for _ in range(5000)), "日本語" * 400, "ß" * 65, "thethe" * 11, "x" * 64, "x" * 65]
+    return fixed + ["".join(rng.choice(alphabet) for _ in range(rng.randint(65, 300))) for alphabet in ("abeithn", "aab日ā", "ing", "etaoinshr") for _ in range(40)]
+
+
+def test_long_words_have_the_library_s_ids():
+    codec, encoding = bpe.codec(vocab.RANKS), vocab.encoding()
+    words = long_words()
+    began = time.perf_counter()
+    ids, back = codec.words(words)
+    assert time.perf_counter() - began < 60
+    for word, own, bytes_ in zip(words, ids, back, strict=True):
+        # The word as a piece of its own, so that the pattern can't part it.
+        assert [int(i) for i in own.split()] == encoding._encode_single_piece(word.encode()), word[:80]
+        assert bytes_.encode("latin-1") == word.encode()
+
+
+def test_cuts_stand_where_no_token_goes_over():
+    codec = bpe.codec(vocab.RANKS)
+    word = "zqxjk" * 40 + "hello" * 20
+    parts = codec._cut(word.encode())
+    assert b"".join(parts) == word.encode() and len(parts) > 1
+    places = {sum(map(len, parts[:i])) for i in range(1, len(parts))}
+    ranks = vocab.ranks()
+    for i in range(len(word)):
+        for j in range(i + 2, min(len(word), i + 20) + 1):
+            assert word[i:j].encode() not in ranks or not places & set(range(i + 1, j))
