@@ -22,6 +22,8 @@ from inkflow.llm import vocab
 from inkflow.llm.common import lean, rows_of, stage, table, texts
 
 SIZE, END_ID, PER_GROUP = 2048, 1, 500
+#: Groups of one length whose running totals one task makes.
+GROUPS = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -43,7 +45,7 @@ def encoder(ranks_path: str = vocab.RANKS, json_path: str = vocab.JSON) -> Calla
 
 
 def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, ranks_path: str = vocab.RANKS, json_path: str = vocab.JSON) -> DataFrame:
-    """Each document's ids and `end_id`, cut at multiples of `size`: one row per piece.
+    """Each document's ids and `end_id`, cut at multiples of `size`: one row per piece, and a number for it (row).
 
     The rank file holds the vocabulary of the JSON tokenizer: ids are the same (a test holds them
     together) at a quarter of the CPU time. Strings of the JSON file's added tokens become their ids. A null text is empty: its one piece is `end_id`. Rows
@@ -61,7 +63,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, ranks_path:
             columns = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(lean(cut), PIECES)
+    return texts(docs).mapInArrow(lean(cut), PIECES).withColumn("row", F.monotonically_increasing_id())
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -122,20 +124,20 @@ def _slots(found: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(cut: DataFrame, size: int = SIZE, per_group: int = PER_GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns of PIECES), which are read three times: stage them first.
+    """Adds sequence_id and offset to pieces (columns of PIECES and row), which are read three times: stage them first.
 
     Ranks among equal lengths come from salted groups of about `per_group` pieces and the running
-    totals of those groups, so that no task sorts all pieces of a frequent length.
+    totals of those groups, in two levels, so that no task sorts all pieces, or all groups, of a frequent length. Pieces that repeat, or
+    lack a doc_id, are dealt out like others. No pieces give no rows.
     """
     counted = cut.groupBy("length").agg(F.count("*").alias("of_length"))  # at most `size` rows
     slots = _slots(patterns({r["length"]: r["of_length"] for r in counted.collect()}, size))
-    salted = cut.join(F.broadcast(counted), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("of_length") / per_group)))
-    before = (
-        salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
-        .drop("n")
-    )
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1).join(before, ["length", "salt"])
+    salted = cut.join(F.broadcast(counted), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("of_length") / per_group)))
+    groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("salt") / GROUPS))
+    running = lambda n, *keys: F.sum(n).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - F.col(n)
+    parts = groups.groupBy("length", "part").agg(F.sum("n").alias("m")).select("length", "part", running("m", "length", "part").alias("of_parts"))
+    before = groups.withColumn("of_groups", running("n", "length", "part", "salt")).join(parts, ["length", "part"]).select("length", "salt", (F.col("of_parts") + F.col("of_groups")).alias("base"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1).join(before, ["length", "salt"])
     shared = cut.sparkSession.sparkContext.broadcast(slots)  # its size depends on `size` only
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,9 +41,10 @@ def check_packing(pieces, texts):
         assert sum(n for _, n in parts) <= packing.SIZE
 
 
-def test_packing_of_odd_documents(spark, odd_docs, odd_texts, no_docs):
+def test_packing_of_odd_documents(spark, odd_docs, odd_texts, no_docs, monkeypatch):
     check_packing(packing.pack(stage(packing.pieces(odd_docs))).collect(), odd_texts)
-    # Groups of one piece give the same kind of result as large ones.
+    # Groups of one piece, and totals of two groups, give the same kind of result as large ones.
+    monkeypatch.setattr(packing, "GROUPS", 2)
     check_packing(packing.pack(stage(packing.pieces(odd_docs)), per_group=1).collect(), odd_texts)
     assert packing.pack(stage(packing.pieces(no_docs))).collect() == []
 
