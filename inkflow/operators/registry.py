@@ -1,4 +1,8 @@
-"""Plugins for picture formats: decoders by name, one encoder."""
+"""Plugins for picture formats: decoders by name, one encoder.
+
+The built-in ones leave pixels to the JVM. A plugin that overrides decode (or encode) brings its own codec, which runs
+in Arrow-batched Python on the rows of its format only.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,9 @@ import struct
 from abc import ABC, abstractmethod
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from inkflow.functions import magic
 
@@ -37,13 +43,29 @@ class Decoder(ABC):
     def size(self, content: bytes) -> tuple[int, int] | None:
         """(width, height) from the header; None if it is damaged."""
 
-    #: Whether decode works; else pictures of the format raise UnsupportedImage.
+    #: Whether pictures of the format can be decoded; else they raise UnsupportedImage.
     decodable = True
 
+    def decode(self, content: bytes) -> np.ndarray:
+        """Rows, columns, (blue, green, red) as bytes. Formats that don't override this are decoded by the JVM."""
+        raise UnsupportedImage(f"{self.name} is decoded by the JVM")
+
+    def own_codec(self) -> bool:
+        return type(self).decode is not Decoder.decode
+
 
 class Encoder(ABC):
+    """The output's format: name is its ending."""
+
     name: str
 
+    def encode(self, image: np.ndarray, quality: int, progressive: bool, optimize: bool) -> bytes:
+        """The bytes of a picture (rows, columns, (blue, green, red)). An encoder that doesn't override this writes JPEG by the JVM."""
+        raise NotImplementedError
+
+    def own_codec(self) -> bool:
+        return type(self).encode is not Encoder.encode
+
 
 class Jpeg(Decoder):
     name, extensions, magic = "jpeg", (".jpg", ".jpeg"), magic.JPEG
@@ -90,10 +112,9 @@ class Bmp(Decoder):
 
 
 class Webp(Decoder):
-    """Recognised and measured; there is no decoder for its pixels on the JVM."""
+    """Lossless pictures are decoded; lossy ones are recognised and measured only."""
 
     name, extensions, magic = "webp", (".webp",), magic.WEBP
-    decodable = False
 
     def size(self, content: bytes) -> tuple[int, int] | None:
         kind, body = content[12:16], content[20:]
@@ -134,6 +155,10 @@ class Registry:
             raise RegistryError("no encoder is registered")
         return self._encoder
 
+    def supports(self, engine: Column) -> Column:
+        """Whether a decoder of that name is registered and has a codec."""
+        return F.coalesce(engine.isin(*(n for n, d in self.decoders.items() if d.decodable)), F.lit(False))
+
     def patterns(self) -> dict[str, bytes]:
         return {n: d.magic for n, d in self.decoders.items()}
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from inkflow.config import CHARSET_NAMES, CHARSETS, DCT_METHODS, KERNELS
 from inkflow.functions import magic, names, options, resizing
-from inkflow.operators import registry, resample
+from inkflow.operators import convert, registry, resample
+from inkflow.sources import archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,8 +89,8 @@ _COLLIDING = "(select 'd' || (doc_id // 2) || (['.png', '.jpg', '.JPG'])[(doc_id
 def name_collision(spark, sf_dir):
     path = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string"), _choose(F.col("doc_id"), [".png", ".jpg", ".JPG"]))
     docs = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).withColumn("ext", names.extension(F.col("path")))
-    out = docs.select("doc_id", names.renamed(F.col("path"), F.col("ext")).alias("out_path"))
-    return out.withColumn("name_collision", F.count("*").over(Window.partitionBy("out_path")) > 1)
+    out = docs.select("doc_id", F.lit("x.zip").alias("archive"), names.renamed(F.col("path"), F.col("ext")).alias("out_path"))
+    return convert.flagged(out).drop("archive")
 
 
 HEADS = ["FFD8", "89504E470D0A1A0A", "424D0102030400000000", "52494646010203045745425056503820", "00112233", "52494646", "42", "FF"]
@@ -209,19 +210,18 @@ _ENGINES = {"click": "png", "purchase": "jpeg", "view": "bmp"}
 
 @_query("decoder_lookup", "select event_id, event_type, engine, engine is not null as known from events left join (values ('click', 'png'), ('purchase', 'jpeg'), ('view', 'bmp')) d(kind, engine) on kind = event_type")
 def decoder_lookup(spark, sf_dir):
-    decoders = spark.createDataFrame(list(_ENGINES.items()), "event_type string, engine string")  # the registry: a row for each plugin
-    return _table(spark, sf_dir, "events").join(F.broadcast(decoders), "event_type", "left").select("event_id", "event_type", "engine", F.col("engine").isNotNull().alias("known"))
+    engine = F.try_element_at(F.create_map(*[F.lit(x) for pair in _ENGINES.items() for x in pair]), F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", "event_type", engine.alias("engine")).withColumn("known", registry.default().supports(F.col("engine")))
 
 
 @_query("last_write_wins", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
 def last_write_wins(spark, sf_dir):
-    last = F.max_by(F.struct("event_id", "event_type"), "event_id").alias("last")
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "last.event_id", "last.event_type")
+    return archives.last_written(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
 @_query("size_check", "select doc_id, n_chars, length(text) = n_chars as intact from documents")
 def size_check(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.char_length("text") == F.col("n_chars")).alias("intact"))
+    return _table(spark, sf_dir, "documents").select("doc_id", "n_chars", archives.intact(F.char_length("text"), F.col("n_chars")).alias("intact"))
 
 
 @_query("entry_list", f"with {_ENTRIES} select split_part(path, '/', 1) as archive, count(*) as n, array_to_string(list(path order by string_split(path, '/')), '|') as members from entries where {_PICTURE} group by 1")

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.config import CODECS
@@ -37,7 +37,7 @@ def member_name(info: zipfile.ZipInfo, charsets: Sequence[str]) -> str:
 
 
 def members(content: bytes, charsets: Sequence[str], wanted=lambda path: True, password: str | None = None) -> Iterator[tuple]:
-    """(path, size, crc, method, raw bytes, mode, mtime) of each wanted member; a name listed twice counts once.
+    """(path, size, crc, method, raw bytes, mode, mtime) of each wanted member; of a name listed twice the last one counts.
 
     Packed members stay packed, so that unpacking can happen elsewhere; encrypted ones are unpacked here.
     """
@@ -45,12 +45,10 @@ def members(content: bytes, charsets: Sequence[str], wanted=lambda path: True, p
         archive = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as error:
         raise ArchiveError(str(error)) from error
-    seen = set()
-    for info in archive.infolist():
-        path = member_name(info, charsets)
-        if info.is_dir() or path in seen or not wanted(path):
+    last = {member_name(info, charsets): info for info in archive.infolist() if not info.is_dir()}
+    for path, info in last.items():
+        if not wanted(path):
             continue
-        seen.add(path)
         head = info.header_offset
         if content[head : head + 4] != b"PK\x03\x04":
             raise ArchiveError(f"{path}: no local header")
@@ -62,6 +60,22 @@ def members(content: bytes, charsets: Sequence[str], wanted=lambda path: True, p
         yield path, info.file_size, info.CRC, method, body, info.external_attr >> 16, info.date_time
 
 
+def workers(cpus: int) -> int:
+    """Tasks that a conversion keeps busy: all cores but one, and four at least."""
+    return cpus - 1 if cpus >= 5 else 4
+
+
+def intact(read: Column, size: Column) -> Column:
+    """Whether as much was read as was announced."""
+    return read == size
+
+
+def last_written(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Of rows with equal keys, the one that comes last in order, with all columns."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("last_")).select(*keys, *(f"last_.{c}" for c in others))
+
+
 def unpacked(path: str, size: int, crc: int, method: int, body: bytes) -> bytes:
     """A member's bytes; a size or checksum that differs raises."""
     try:
@@ -101,21 +115,29 @@ def zip_entries(spark: SparkSession, path: str, charsets: Sequence[str] = ("Shif
     open_ = pa.schema([packed.field(c) for c in ("archive", "path", "size", "mode", "mtime")] + [pa.field("content", pa.binary())])
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
     raw = archives.mapInArrow(listed, "archive string, path string, size long, crc long, method int, body binary, mode int, mtime string")
-    dealt = raw.repartition(partitions or spark.sparkContext.defaultParallelism, F.xxhash64("archive", "path"))
+    dealt = raw.repartition(partitions or workers(spark.sparkContext.defaultParallelism), F.xxhash64("archive", "path"))
     found = dealt.mapInArrow(opened, "archive string, path string, size long, mode int, mtime string, content binary")
     return found.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", F.to_timestamp("mtime").alias("mtime"), "content")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as files below it are listed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+
+
+def below(path: Column, base: str) -> Column:
+    return F.substring(path, F.lit(len(base) + 2), F.char_length(path))
+
+
 def folder_entries(spark: SparkSession, path: str) -> DataFrame:
     """The pictures below a folder: ENTRIES. Endings are tested at the listing, so other files aren't opened."""
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in names.EXTENSIONS) + "}"
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    base = qualified(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    below = F.substring("path", F.lit(len(base.rstrip("/")) + 2), F.char_length("path"))
-    found = files.select(F.lit(base).alias("archive"), below.alias("path"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
+    found = files.select(F.lit(base).alias("archive"), below(F.col("path"), base).alias("path"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
     kept = found.filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
-    whole = F.when(F.octet_length("content") == F.col("size"), F.col("content")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": not read whole"))))
+    whole = F.when(intact(F.octet_length("content"), F.col("size")), F.col("content")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": not read whole"))))
     return kept.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", "mtime", whole.alias("content"))
 
 

@@ -10,21 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkflow.functions import names
+from inkflow.staging import staged
 
 
 def write_zip(converted: DataFrame, output: str) -> int:
     """Writes rows (path, out_path, out_content, warn_small) in walk order, one partition at a time; the number of members.
 
-    The file appears under its name only when it is whole. No rows give a zip without members. A
+    Converted rows are staged first, so that sorting them neither samples nor repeats the conversion. The zip
+    appears under its name only when it is whole. No rows give a zip without members. A
     failing picture fails the write, and nothing is left.
     """
     part = f"{output}.part"
     log = logging.getLogger("inkflow")
-    rows = converted.select("path", "out_path", "out_content", "warn_small", names.walk_key(F.col("path")).alias("key")).orderBy("key")
     count = 0
     try:
-        with zipfile.ZipFile(part, "x", zipfile.ZIP_STORED) as archive:  # JPEG doesn't shrink
-            for row in rows.drop("key").toLocalIterator():
+        keyed = converted.select("path", "out_path", "out_content", "warn_small", names.walk_key(F.col("path")).alias("key"))
+        with zipfile.ZipFile(part, "x", zipfile.ZIP_STORED) as archive, staged(keyed) as rows:  # JPEG doesn't shrink
+            for row in rows.orderBy("key").drop("key").toLocalIterator():
                 archive.writestr(zipfile.ZipInfo(row["out_path"]), bytes(row["out_content"]))
                 count += 1
                 if row["warn_small"]:

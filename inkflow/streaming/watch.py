@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkflow.functions import names
 from inkflow.operators.convert import convert
+from inkflow.sources.archives import below, last_written, qualified
 
 
 def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, **options) -> StreamingQuery:
     """Takes what is there now, and on the next call what came since; converted members go to Parquet.
 
     Files are taken exactly once: the stream's checkpoint holds what was read, and each batch
-    replaces its own part of the output when it runs again.
+    replaces its own part of the output when it runs again. Members are named by their path below the folder, and those
+    below its .git are left out, as folder_entries does; latest() reads the result.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.filter(names.is_picture(F.col("path"))).select(F.lit(folder).alias("archive"), name.alias("path"), names.extension(name).alias("ext"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
+    base = qualified(spark, folder)
+    found = files.withColumn("path", below(F.col("path"), base)).filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
+    rows = found.select(F.lit(base).alias("archive"), "path", names.extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
 
     def write(batch, number: int) -> None:
         convert(batch, **options).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, output: str) -> DataFrame:
+    """The converted members in walk order; of a picture that was written several times, the last one."""
+    return last_written(spark.read.parquet(output), ["archive", "path"], "batch").orderBy(names.walk_key(F.col("path")))

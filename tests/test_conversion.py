@@ -38,14 +38,14 @@ def test_manifest_of_a_folder_equals_the_zip_s(spark, tmp_path):
         (tmp_path / "folder" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "folder" / name).write_bytes(content)
     columns = ["path", "ext", "size", "engine", "width", "height", "target_w", "target_h", "do_resize", "warn_small", "out_path", "name_collision"]
-    plan = lambda e: sorted(map(tuple, e.transform(convert.identify).transform(convert.plan).select(*columns).collect()))
+    plan = lambda e: sorted(map(tuple, convert.manifest(e).select(*columns).collect()))
     from_zip = plan(archives.zip_entries(spark, archive(tmp_path / "f.zip", inside)))
     assert from_zip == plan(archives.folder_entries(spark, str(tmp_path / "folder")))
     assert from_zip == [("p/b c+d%.BMP", ".bmp", len(inside["p/b c+d%.BMP"]), "bmp", 30, 20, 30, 20, False, True, "p/b c+d%.BMP.jpg", False), ("p/q/a.png", ".png", len(inside["p/q/a.png"]), "png", 1600, 900, 1280, 720, True, False, "p/q/a.jpg", False)]
 
 
 def test_collisions_are_flagged(spark, tmp_path):
-    rows = archives.zip_entries(spark, archive(tmp_path / "c.zip", {"a.png": png(9, 9), "a.jpg": png(9, 9), "b.png": png(9, 9)})).transform(convert.identify).transform(convert.plan).collect()
+    rows = archives.zip_entries(spark, archive(tmp_path / "c.zip", {"a.png": png(9, 9), "a.jpg": png(9, 9), "b.png": png(9, 9)})).transform(convert.manifest).collect()
     assert {r["path"]: r["name_collision"] for r in rows} == {"a.png": True, "a.jpg": True, "b.png": False}
 
 
@@ -99,12 +99,12 @@ def test_one_archive_is_dealt_to_many_tasks(spark, tmp_path):
     assert entries.select(F.spark_partition_id()).distinct().count() == 4
 
 
-def test_webp_is_recognised_but_not_decoded(spark, tmp_path):
+def test_lossy_webp_is_recognised_but_not_decoded(spark, tmp_path):
     body = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
     entries = archives.zip_entries(spark, archive(tmp_path / "w.zip", {"a.webp": body}))
     row = convert.identify(entries).first()
     assert (row["engine"], row["width"], row["height"]) == ("webp", 100, 50)
-    with pytest.raises(Exception, match="no decoder for webp"):
+    with pytest.raises(Exception, match="a.webp error, no decoder for webp"):
         convert.convert(entries).collect()
 
 
