@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkflow import staging
+
 
 #: Rows and bytes of an Arrow batch, which the JVM and a worker hold at once, where the session sets none.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
@@ -38,34 +37,10 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and all run in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="inkflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stage(df: DataFrame) -> DataFrame:
-    """Writes df below the shared folder and reads it back: lineage ends here, and lost executors cost nothing.
-
-    The table is deleted when the driver's Python ends.
-    """
-    spark = small_batches(df.sparkSession)
-    path = f"{shared_dir(spark)}/inkflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """df as a table on the shared folder (see staging.py)."""
+    small_batches(df.sparkSession)
+    return staging.stage(df)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from inkflow import staging
 from inkflow.llm import common
 
 
@@ -31,7 +32,7 @@ def test_a_long_text_is_cut_between_words():
 
 def test_stage_writes_below_the_shared_folder(spark):
     staged = common.stage(spark.range(10))
-    assert staged.count() == 10 and common.shared_dir(spark) in staged.inputFiles()[0]
+    assert staged.count() == 10 and staging.shared_dir(spark) in staged.inputFiles()[0]
 
 
 def test_batches_of():
