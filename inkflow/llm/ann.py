@@ -35,7 +35,7 @@ DEGREE, KEPT = 24, 32
 REPLICAS, BOUNDARY = 4, 1.25
 #: How much farther than its nearest a list that a query reads may be; lists that it reads at most are
 #: REACH times the square root of all, and LEAST_PROBES in any case.
-RATIO, REACH, LEAST_PROBES = 1.4, 4.5, 24
+RATIO, REACH, LEAST_PROBES = 1.4, 6.0, 24
 #: Vectors of a sub-list, about; candidates that a task holds before it drops all but the best.
 SUBLIST, HELD = 4096, 1 << 19
 
