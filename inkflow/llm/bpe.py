@@ -44,12 +44,11 @@ with recursive step(w, p, n, t, fin) as (
     select w, p, n, t, false from start
     union all (
         with cur as (select * from step where not fin),
-        pair as (select a.w, a.p, m.k, b.p as gone, b.n from cur a join cur b on b.p = a.n join merges m on m.l = a.t and m.r = b.t),
-        best as (select w, min((k::bigint << 32) | p) as v from pair group by w),
-        hit as (select pair.* from pair join best on best.w = pair.w and best.v = ((pair.k::bigint << 32) | pair.p))
-        select c.w, c.p, coalesce(h.n, c.n), coalesce(h.k, c.t), b.v is null
-        from cur c left join best b on b.w = c.w left join hit h on h.p = c.p
-        where not exists (from hit g where g.gone = c.p)
+        pair as (select a.w, (m.k::bigint << 32) | a.p as v, b.p as gone, b.n from cur a join cur b on b.p = a.n join merges m on m.l = a.t and m.r = b.t),
+        best as (select w, min(v) as v, arg_min(gone, v) as gone, arg_min(n, v) as n from pair group by w),
+        hit as (select w, (v >> 32)::int as k, (v & 4294967295)::int as p, gone, n from best)
+        select c.w, c.p, case when c.p = h.p then h.n else c.n end, case when c.p = h.p then h.k else c.t end, h.w is null
+        from cur c left join hit h on h.w = c.w where c.p is distinct from h.gone
     )
 )
 select w, p, t from step where fin
@@ -158,7 +157,7 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=1)
-def _kept(path: str) -> tuple[dict[str, str], dict[str, str]]:
+def _kept(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
     """Words that this worker has encoded, and what their ids decode to; encode() bounds them."""
     return {}, {}
 
@@ -195,14 +194,14 @@ def encode(docs: DataFrame, ranks_path: str = vocab.RANKS) -> DataFrame:
                             del kept[word]
                 for portion in _portions(words - ids.keys()):
                     encoded, decoded = codec(ranks_path).words(portion)
-                    ids.update(zip(portion, encoded, strict=True))
-                    back.update(zip(portion, decoded, strict=True))
+                    ids.update(zip(portion, map(str.encode, encoded), strict=True))
+                    back.update(zip(portion, (b.encode("latin-1") for b in decoded), strict=True))
                 sums: tuple[list, list, list] = [], [], []
                 for found in split:
-                    text = " ".join(map(ids.__getitem__, found))
-                    sums[0].append(text.count(" ") + 1 if text else 0)
-                    sums[1].append(hashlib.sha256(text.encode()).hexdigest())
-                    sums[2].append(hashlib.sha256("".join(map(back.__getitem__, found)).encode("latin-1")).hexdigest())
+                    text = b" ".join(map(ids.__getitem__, found))
+                    sums[0].append(text.count(b" ") + 1 if text else 0)
+                    sums[1].append(hashlib.sha256(text).hexdigest())
+                    sums[2].append(hashlib.sha256(b"".join(map(back.__getitem__, found))).hexdigest())
                 for word in [w for w in words if len(w) > KEEP]:
                     del ids[word], back[word]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string()), pa.array(sums[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
