@@ -71,3 +71,13 @@ def test_what_the_corpus_holds_is_known(spark):
     bits = {r["doc_id"]: r["bits_per_byte"] for r in mixing.score(docs).collect()}
     clean = [bits[i] for i in held[2:]]
     assert bits[held[0]] < 0.35 * min(clean) and bits[held[1]] < 0.85 * min(clean)
+
+
+def test_every_training_text_is_in_the_tables(spark):
+    """Weights are learned without leaving texts out: none of the training texts costs as much as a text that the model hasn't seen."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abdeinorst"), rng.integers(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, 200))) for i in range(300)]
+    found = mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    unseen = min(r["bits_per_byte"] for r in found if r["held_out"])
+    assert max(r["bits_per_byte"] for r in found if not r["held_out"]) < unseen
