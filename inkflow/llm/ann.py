@@ -4,10 +4,12 @@ Vectors are dealt into bands by length, a factor of two each, so that a few long
 alike. Within a band, one more coordinate gives all vectors the same length, and the largest inner product becomes the
 smallest distance. A band's centroids are fitted in two levels on a bounded sample (a few on the driver, then those of each
 of their cells in a task), with a charge on full clusters that keeps lists even; their number grows with the
-rows, up to CENTROIDS. A graph of their neighbours, held in memory, is searched best first. Every row is indexed: it
-goes to its nearest centroid and, near a boundary, to up to three more. A query reads the lists whose centroid distance is
-within a ratio of its nearest, and no band whose longest vector can't reach the k-th score of the longest vectors of all.
-Lists are stored in sub-lists of bounded length.
+rows, up to CENTROIDS. A graph of their neighbours, held in memory, is searched best first, or, where that would
+see most centroids, all are compared at once. Every row is indexed: it goes to its nearest centroid and, near a boundary, to one
+more. A query reads the lists whose centroid distance is within a ratio of its nearest, and no band whose longest vector can't reach
+the k-th score of the longest vectors of all. Lists are dealt out by regions of consecutive lists; a query goes once to each region that it reads,
+with the k-th score among SEEDS rows, which are candidates too: what lies below it is dropped by a product in single precision with a margin,
+and the rest is scored exactly.
 """
 
 from __future__ import annotations
@@ -29,15 +31,17 @@ K, EVERY = 20, 20
 SAMPLE, CENTROIDS, PER_CENTROID, PER_FIT = 4096, 16_384, 20, 40
 #: Bands of length; the last one holds all shorter vectors too. Longest vectors that rule bands out.
 BANDS, LONGEST = 16, 1024
-#: Neighbours of a centroid in the graph, candidates that a search for lists to store in keeps.
-DEGREE, KEPT = 24, 32
+#: Neighbours of a centroid in the graph.
+DEGREE = 24
 #: Lists that a vector goes to at most, and how much farther (as a ratio) than its nearest they may be.
-REPLICAS, BOUNDARY = 4, 1.25
+REPLICAS, BOUNDARY = 2, 1.25
 #: How much farther than its nearest a list that a query reads may be; lists that it reads at most are
 #: REACH times the square root of all, and LEAST_PROBES in any case.
-RATIO, REACH, LEAST_PROBES = 1.4, 6.0, 24
-#: Vectors of a sub-list, about; candidates that a task holds before it drops all but the best.
-SUBLIST, HELD = 4096, 1 << 19
+RATIO, REACH, LEAST_PROBES = 1.4, 12.0, 24
+#: Vectors of a region, about, beyond which it is split; regions at least; candidates that a task holds before it drops all but the best, and queries that it holds them for.
+REGION, REGIONS, HELD, QUERIES = 1 << 18, 24, 1 << 19, 20_000
+#: Rows of each length that every query meets, at most (an eighth of all, if that is less).
+SEEDS = 1 << 16
 
 
 def _lengths(x: np.ndarray) -> np.ndarray:
@@ -90,9 +94,39 @@ class Graph:
 
     def search(self, x: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of x: the nearest centroids found (at most `kept`, then -1), nearest first, and squared distances."""
-        found = [self._search(x[at : at + 256].astype(np.float32), min(kept, len(self.c))) for at in range(0, len(x), 256)]
+        kept = min(kept, len(self.c))
+        one = self._search if 4 * kept * DEGREE < len(self.c) else self._all
+        found = [one(x[at : at + 256].astype(np.float32), kept) for at in range(0, len(x), 256)]
         return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros((0, 1), dtype=np.int32), np.zeros((0, 1)))
 
+    def _distances(self, x: np.ndarray) -> np.ndarray:
+        return (x**2).sum(1)[:, None] + self.norms[None, :] - 2 * (x @ self.c.T)
+
+    def _all(self, x: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+        d = self._distances(x)
+        nodes = np.argpartition(d, kept - 1, axis=1)[:, :kept]
+        d = np.take_along_axis(d, nodes, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        return np.take_along_axis(nodes, order, 1).astype(np.int32), np.maximum(np.take_along_axis(d, order, 1), 0).astype(np.float64)
+
+    def first(self, x: np.ndarray, kept: int, width: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """As search, for a few of many centroids: the nearest lie among the `kept` of groups of `width` whose nearest is nearest."""
+        k = len(self.c)
+        if k <= 4 * width * kept:
+            found = [self._all(x[at : at + 256].astype(np.float32), min(kept, k)) for at in range(0, len(x), 256)]
+            return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros((0, 1), dtype=np.int32), np.zeros((0, 1)))
+        nodes, far = [], []
+        for at in range(0, len(x), 256):
+            d = self._distances(x[at : at + 256].astype(np.float32))
+            d = np.concatenate((d, np.full((len(d), -k % width), np.inf, dtype=np.float32)), axis=1).reshape(len(d), -1, width)
+            groups = np.argpartition(d.min(2), kept - 1, axis=1)[:, :kept]
+            near = np.take_along_axis(d, groups[:, :, None], 1).reshape(len(d), -1)
+            order = np.argpartition(near, kept - 1, axis=1)[:, :kept]
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(near, order, 1), axis=1, kind="stable"), 1)
+            nodes.append((np.take_along_axis(groups, order // width, 1) * width + order % width).astype(np.int32))
+            far.append(np.maximum(np.take_along_axis(near, order, 1), 0).astype(np.float64))
+        return (np.concatenate(nodes), np.concatenate(far)) if nodes else (np.zeros((0, 1), dtype=np.int32), np.zeros((0, 1)))
+
     def _search(self, x: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
         n, rows, norms = len(x), np.arange(len(x)), (x**2).sum(1)
         seen = np.zeros((n, len(self.c)), dtype=bool)
@@ -134,8 +168,8 @@ class Graph:
 
 def lists_of(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list): where each row of x is stored."""
-    order, d = graph.search(x, KEPT)
-    rows, places = np.nonzero((order[:, :REPLICAS] >= 0) & (d[:, :REPLICAS] <= BOUNDARY**2 * d[:, :1] + 1e-12))
+    order, d = graph.first(x, REPLICAS)
+    rows, places = np.nonzero(d <= BOUNDARY**2 * d[:, :1] + 1e-12)
     return rows, order[rows, places]
 
 
@@ -243,17 +277,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if sum(d == dim for d, _ in spaces) > 1:
             rows = good.filter(F.col("dim") == dim).orderBy(F.desc("length"), "vec_id").limit(LONGEST).select("vec_id", "embedding").toPandas()
             longest[dim] = [rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)]
+    across = {space: -(-len(g.c) // max(min(REGIONS, len(g.c)), -(-spaces[space][0] * REPLICAS // REGION))) for space, (g, _) in graphs.items()}  # lists of a region
+    kind = dict(good.dtypes)["embedding"]
+    # Single precision holds products of such vectors with an error below the margin.
+    single = kind == "array<float>" and all(1e-9 < most < 1e9 for _, most in spaces.values())
+    dtype, margin = (np.float32, 1e-5) if single else (np.float64, 1e-9)
     shared = spark.sparkContext.broadcast((graphs, longest))  # CENTROIDS and LONGEST vectors for each space
 
-    def posted(space: tuple[int, int], rows: np.ndarray, lists: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-        at = pa.array(rows)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(rows), v, dtype=np.int32)) for v in space), pa.array(lists.astype(np.int32)), part.column("row").take(at), part.column("vec_id").cast(pa.int64()).take(at), part.column("embedding").take(at)], ["dim", "band", "list", "row", "vec_id", "embedding"])
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for space, part in by_space(batch):
                 graph, most = shared.value[0][space]
-                yield posted(space, *lists_of(graph, lifted(matrix(part.column("embedding")), most)), part)
+                rows, lists = lists_of(graph, lifted(matrix(part.column("embedding")), most))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(rows), v, dtype=np.int32)) for v in space), pa.array((lists // across[space]).astype(np.int32)), pa.array(lists.astype(np.int32)), part.column("row").take(at), part.column("vec_id").cast(pa.int64()).take(at), part.column("embedding").take(at)], ["dim", "band", "region", "list", "row", "vec_id", "embedding"])
+
+    key = ["dim", "band", "region"]
+    postings = stage(good.select("vec_id", "embedding", "band").withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(index), f"dim int, band int, region int, list int, row long, vec_id long, embedding {kind}"))
+    turn, drawn, few = F.pmod(F.xxhash64("row"), F.lit(1 << 20)), F.lit(False), {dim: sum(n for (d, _), (n, _) in spaces.items() if d == dim) for dim in most_of}
+    for dim, n in few.items():
+        drawn |= (F.col("dim") == dim) & (turn < -(-min(SEEDS, n // 8) * (1 << 20) // n))
+    seeds = {dim: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, dim), dtype=dtype)) for dim in most_of}
+    sample = postings.filter(drawn).select("dim", "row", "vec_id", "embedding").dropDuplicates(["row"]).toPandas()  # SEEDS rows of each length, about
+    for dim, own in sample.groupby("dim"):
+        own = own.sort_values("row")
+        seeds[int(dim)] = (own["row"].to_numpy(), own["vec_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(dtype))
+    planted = spark.sparkContext.broadcast(seeds)
+
+    def met(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query's seeds the best by a product: places of queries and seeds, and scores; not those of its own id."""
+        _, own_ids, own = planted.value[x.shape[1]]
+        # A seed of the query's own id may take a place each time that it occurs.
+        most = min(len(own), k + (int(np.unique(own_ids, return_counts=True)[1].max()) if len(own) else 0))
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        for at in range(0, len(x) if most else 0, 256):
+            scores = x[at : at + 256].astype(dtype) @ own.T
+            best = np.argpartition(scores, -most, axis=1)[:, -most:]
+            found.append((at + np.repeat(np.arange(len(best)), most), best.ravel()))
+        i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+        other = ids[i] != own_ids[j]
+        i, j = i[other], j[other]
+        return i, j, dots(own[j].astype(np.float64), x[i])
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_dimension(batch):
+                rows, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
+                i, j, scores = met(matrix(part.column("embedding")), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(ids[i]), pa.array(planted.value[dim][0][j]), pa.array(planted.value[dim][1][j]), pa.array(scores)], ["query", "query_id", "row", "vec_id", "score"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graphs, longest = shared.value
@@ -261,64 +332,90 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             for dim, part in by_dimension(batch):
                 x, ids = matrix(part.column("embedding")), part.column("vec_id").to_numpy()
                 lengths = np.maximum(_lengths(x), 1e-150)
-                least = np.full(len(x), -np.inf)
+                floor = np.full(len(x), -np.inf)
+                i, _, scores = met(x, ids)
+                order = np.lexsort((-scores, i))
+                first = np.searchsorted(i, np.arange(len(x) + 1))
+                full = np.flatnonzero(np.diff(first) >= k)
+                floor[full] = scores[order][first[:-1][full] + k - 1]
+                least = floor.copy()
                 if len(own := longest.get(dim, ())) and len(own[0]) > k:
                     scores = np.where(ids[:, None] == own[0][None, :], -np.inf, x @ own[1].T)
-                    least = np.partition(scores, -k, axis=1)[:, -k]
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
                 for space in (s for s in graphs if s[0] == dim):
                     graph, most = graphs[space]
                     live = np.flatnonzero(lengths * most * (1 + 1e-9) >= least)
                     rows, lists = probes(graph, np.column_stack((x[live] / lengths[live, None], np.zeros(len(live)))))
-                    yield posted(space, live[rows], lists, part)
-
-    kind = dict(good.dtypes)["embedding"]
-    schema = f"dim int, band int, list int, row long, vec_id long, embedding {kind}"
-    key = ["dim", "band", "list"]
-    postings = stage(good.select("vec_id", "embedding", "band").withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(index), schema))
-    sizes = postings.groupBy(*key).agg(F.ceil(F.count("*") / SUBLIST).cast("int").alias("subs"))  # CENTROIDS rows for each space
+                    regions = lists // across[space]
+                    order = np.lexsort((lists, regions, rows))
+                    rows, lists, regions = live[rows[order]], lists[order], regions[order]
+                    starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (regions[1:] != regions[:-1]))) if len(rows) else np.zeros(0, dtype=int)
+                    at = pa.array(rows[starts])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(np.full(len(starts), v, dtype=np.int32)) for v in space), pa.array(regions[starts].astype(np.int32)), part.column("row").take(at), part.column("vec_id").cast(pa.int64()).take(at), part.column("embedding").take(at), pa.array(floor[rows[starts]]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(lists)).astype(np.int32)), pa.array(lists.astype(np.int32)))],
+                        ["dim", "band", "region", "row", "vec_id", "embedding", "floor", "lists"],
+                    )
+
+    sizes = postings.groupBy(*key).agg(F.ceil(F.count("*") / REGION).cast("int").alias("subs"))  # CENTROIDS rows for each space, at most
     stored = postings.join(F.broadcast(sizes), key).withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")).cast("int"))
-    asked = usable(queries).filter(nonzero).withColumn("row", F.monotonically_increasing_id())
-    reads = asked.mapInArrow(lean(probe), schema).join(F.broadcast(sizes), key).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    columns = [*key, "sub", "kind", "row", "vec_id", "embedding"]
-    together = stored.withColumn("kind", F.lit(0)).select(*columns).unionByName(reads.withColumn("kind", F.lit(1)).select(*columns))
+    asked = stage(usable(queries).filter(nonzero).select("vec_id", "embedding").withColumn("row", F.monotonically_increasing_id()))
+    reads = asked.mapInArrow(lean(probe), f"dim int, band int, region int, row long, vec_id long, embedding {kind}, floor double, lists array<int>").join(F.broadcast(sizes), key).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    columns = [*key, "sub", "kind", "list", "row", "vec_id", "embedding", "floor", "lists"]
+    together = stored.withColumns({"kind": F.lit(0), "floor": F.lit(None).cast("double"), "lists": F.lit(None).cast("array<int>")}).select(*columns).unionByName(reads.withColumns({"kind": F.lit(1), "list": F.lit(0)}).select(*columns))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sub-list's vectors come before the queries that read it. Candidates are held until they are too many, then only each query's best."""
-        own_key, ids, rows, x = None, [], [], []
+        """A region's vectors, by list, come before the queries that read it. Candidates are held until they are too many, then only each query's best."""
+        own_key, parts, region = None, [], None
         number: dict[int, int] = {}  # of the task's queries, by row
         least, query_ids, query_rows = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, bound = 0, HELD
 
         def prune() -> None:
-            nonlocal size
+            nonlocal size, bound
             query, row, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
             at = best_of(query, row, vec, score, k)
             query, score = query[at], score[at]
             held[:] = [(query, row[at], vec[at], score)]
             size = len(at)
+            bound = max(HELD, 2 * size)  # the best of many queries alone may be HELD
             ends = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if size else np.zeros(0, dtype=int)
             full = ends[np.diff(np.append(-1, ends)) == k]
-            least[query[full]] = score[full]
+            least[query[full]] = np.maximum(least[query[full]], score[full])
 
-        def answer(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> None:
+        def answer(part: pa.RecordBatch, most: float) -> None:
             nonlocal least, query_ids, query_rows, size
+            q_rows, q_ids, q = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), matrix(part.column("embedding"))
             fresh = [i for i, r in enumerate(q_rows.tolist()) if r not in number]
             number.update(zip(q_rows[fresh].tolist(), range(len(least), len(least) + len(fresh)), strict=True))
             query_ids, query_rows = np.append(query_ids, q_ids[fresh]), np.append(query_rows, q_rows[fresh])
-            least = np.append(least, np.full(len(fresh), -np.inf))
+            least = np.append(least, part.column("floor").to_numpy()[fresh])
             at = np.array([number[r] for r in q_rows.tolist()])
-            own_ids, own_rows, own = (np.concatenate(c) for c in (ids, rows, x))
-            scores = np.where(q_ids[:, None] == own_ids[None, :], -np.inf, q @ own.T)
-            floor = least[at]
-            if len(own) > k:
-                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-            floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), floor)
-            i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-            held.append((at[i], own_rows[j], own_ids[j], dots(own[j], q[i])))
-            size += len(i)
-            if size > HELD:
-                prune()
+            floor = least[at] - margin * _lengths(q) * most
+            floor = np.where(np.isfinite(floor), floor, -np.inf).astype(dtype)
+            own_lists, own_ids, own_rows, own = region
+            narrow = q.astype(dtype)
+            lists = part.column("lists")
+            read, which = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.array(lists.value_lengths()))
+            order = np.argsort(read, kind="stable")
+            read, which = read[order], which[order]
+            distinct, starts = np.unique(read, return_index=True)
+            begins, ends = np.searchsorted(own_lists, distinct), np.searchsorted(own_lists, distinct, side="right")
+            for start, stop, begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(read)], begins.tolist(), ends.tolist(), strict=True):
+                if begin == end:
+                    continue
+                asks = which[start:stop]
+                for low in range(0, len(asks), 256):
+                    few = asks[low : low + 256]
+                    i, j = np.divmod(np.flatnonzero(narrow[few] @ own[begin:end].T >= floor[few, None]), end - begin)
+                    i, j = few[i], j + begin
+                    other = q_ids[i] != own_ids[j]
+                    if other.any():
+                        i, j = i[other], j[other]
+                        held.append((at[i], own_rows[j], own_ids[j], dots(own[j].astype(np.float64), q[i])))
+                        size += len(i)
+                        if size > bound:
+                            prune()
 
         def found() -> pa.RecordBatch:
             prune()
@@ -330,26 +427,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             cuts = np.append(np.flatnonzero(np.append(True, (head[1:] != head[:-1]).any(1))), len(head)) if len(head) else [0]
             for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(start, stop - start)
-                part_rows, part_ids, part_x = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), matrix(part.column("embedding"))
                 if tuple(head[start, :4]) != own_key:
-                    own_key, ids, rows, x = tuple(head[start, :4]), [], [], []
+                    own_key, parts, region = tuple(head[start, :4]), [], None
                 if head[start, 4] == 0:
-                    ids.append(part_ids)
-                    rows.append(part_rows)
-                    x.append(part_x)
-                elif ids:
-                    for at in range(0, len(part_ids), 512):
-                        answer(part_rows[at : at + 512], part_ids[at : at + 512], part_x[at : at + 512])
-                if len(number) > 50_000:
+                    parts.append((part.column("list").to_numpy(), part.column("vec_id").to_numpy(), part.column("row").to_numpy(), matrix(part.column("embedding")).astype(dtype)))
+                elif parts or region:
+                    if parts:
+                        region = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                        parts = []
+                    answer(part, spaces[int(head[start, 0]), int(head[start, 1])][1])
+                if len(number) > QUERIES:
                     if held:
                         yield found()
-                    held, size = [], 0
+                    held, size, bound = [], 0, HELD
                     number.clear()
                     least, query_ids, query_rows = least[:0], query_ids[:0], query_rows[:0]
         if held:
             yield found()
 
-    partial = together.repartition(*key, "sub").sortWithinPartitions(*key, "sub", "kind").mapInArrow(lean(search), "query long, query_id long, row long, vec_id long, score double")
+    pairs = "query long, query_id long, row long, vec_id long, score double"
+    partial = together.repartition(*key, "sub").sortWithinPartitions(*key, "sub", "kind", "list").mapInArrow(lean(search), pairs).unionByName(asked.mapInArrow(lean(seeded), pairs))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partial answers come sorted by query; a batch's last query waits for the next batch."""

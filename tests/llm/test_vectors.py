@@ -129,3 +129,26 @@ def test_lists_hold_few_copies_and_queries_read_a_part(spark):
     assert set(rows) == set(range(3000)) and np.bincount(rows).max() <= ann.REPLICAS
     asked, read = ann.probes(graph, x[:100])
     assert (np.bincount(asked) <= max(ann.LEAST_PROBES, ann.REACH * np.sqrt(len(graph.c)))).all()
+
+
+def test_first_centroids_are_the_nearest():
+    """Lists to store in are found among all centroids, in groups."""
+    rng = np.random.default_rng(5)
+    graph = ann.Graph(rng.normal(size=(1500, 12)))
+    x = rng.normal(size=(300, 12))
+    exact = ((x[:, None] - graph.c) ** 2).sum(2)
+    for kept in (1, 2):
+        nodes, far = graph.first(x, kept)
+        assert (nodes == np.argsort(exact, axis=1)[:, :kept]).all() and np.allclose(far, np.sort(exact, axis=1)[:, :kept], rtol=1e-3)
+
+
+def test_regions_that_are_split(spark, monkeypatch):
+    """Regions of a few rows in several parts, with few seeds or none: full answers with exact scores."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1200, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(20, x[20].astype(np.float32).tolist())] * 2 + [(40, x[41].astype(np.float32).tolist())]
+    vectors = frame(spark, rows)
+    monkeypatch.setattr(ann, "REGION", 30)
+    for seeds in (0, 3, 400):
+        monkeypatch.setattr(ann, "SEEDS", seeds)
+        assert check_neighbours(rows, ann.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()) >= 0.9
