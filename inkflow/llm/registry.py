@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkflow.llm import ann, bpe, extraction, licences, mixing, neardup, packing, secrets, topk, toxicity
+from inkflow.llm import ann, audit, bpe, extraction, infilling, licences, mixing, neardup, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_extraction": extraction.op9_extraction,
     "op10_ann": ann.op10_ann,
+    "op11_infilling": infilling.op11_infilling,
+    "op12_audit": audit.op12_audit,
+    "op13_quality": quality.op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,6 +40,8 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(g)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join component using (doc_id)
     """,
     "op7_licences": licences.oracle(),
+    "op11_infilling": infilling.ORACLE,
+    "op12_audit": audit.ORACLE,
     "op6_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings

@@ -1,0 +1,86 @@
+"""Fill-in-middle: units and forms against a plain-Python form of the contract, and an exact round trip."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from inkflow.llm import infilling
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+CASES = ["", " ", "a", " a", "a ", "a b", "\t\na\r\n b\x0b\x0cc  ", "<P> holds a mark", "x<M", "<", "é 日本 \U0001f600\U0001f600 z", "a b c \u0085d", "\x00 \x1c\x1d x", "a<P", ">b", "P> <S", "́x ​y"]
+
+
+def brute(doc_id, text):
+    text = text or ""
+    u = TOKEN.findall(text)
+    assert "".join(u) == text
+    key = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(key[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted(x % (len(u) + 1) for x in h[:2])
+    prefix, middle, suffix = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(u), "plain", None, None, text
+    if h[3] % 100 < 80:
+        return len(u), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(u), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def check(spark, rows, docs):
+    found = infilling.infilled(docs).withColumn("back", infilling.restored(F.col("output"), F.col("form"))).collect()
+    got = sorted(((r["doc_id"], r["n"], r["form"], None if r["prefix"] is None else len(r["prefix"]), None if r["middle"] is None else len(r["middle"]), r["output"], r["back"]) for r in found), key=repr)
+    assert got == sorted(((i, *brute(i, t), t or "") for i, t in rows), key=repr)
+    return {r["form"] for r in found}
+
+
+def test_odd_texts(spark, odd_docs, odd_texts):
+    check(spark, odd_texts, odd_docs)
+
+
+def test_every_case_in_every_form(spark):
+    rows = [(100 * k + i, t) for k, t in enumerate(CASES) for i in range(40)]
+    assert check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string")) == {"plain", "psm", "spm"}
+
+
+def test_random_texts_of_spaces_marks_and_letters(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice(["a", "<", "P", "S", "M", ">", " ", "\n", " ", "\U0001f600"]) for _ in range(rng.randint(0, 30)))) for i in range(2000)]
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("unit, pattern", [("token", TOKEN), ("run", re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")), ("line", re.compile(r"[^\n]*\n|[^\n]+")), ("character", re.compile(r"(?s)."))])
+def test_units_of_each_grammar(spark, unit, pattern):
+    texts = [t for t in CASES if t] + ["a\n\nb\n", "\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", infilling.units(F.col("text"), unit).alias("u"))
+    assert {r["text"]: r["u"] for r in frame.collect()} == {t: pattern.findall(t) for t in texts}
+    assert spark.createDataFrame([("",), (None,)], "text string").select(infilling.units(F.col("text"), unit).alias("u")).collect()[0]["u"] == []
+
+
+def test_other_marks_and_rates(spark):
+    rows = [(i, f"one two three {i}") for i in range(50)]
+    marks = infilling.Sentinels("[pre]", "[suf]", "[mid]")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = infilling.infilled(docs, seed=7, rate=100, spm=0, marks=marks).withColumn("back", infilling.restored(F.col("output"), F.col("form"), marks)).collect()
+    assert {r["form"] for r in found} == {"psm"} and {r["doc_id"]: r["back"] for r in found} == dict(rows)
+    assert all(r["output"].startswith("[pre]") for r in found)
+
+
+def test_no_rows(spark, no_docs):
+    assert infilling.infilled(no_docs).collect() == []
+
+
+def test_no_python_worker_and_no_shuffle(spark, odd_docs):
+    found = infilling.infilled(odd_docs).select("n", infilling.restored(F.col("output"), F.col("form")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_query_equals_its_sql_on_odd_texts(spark, odd_docs, odd_texts, tmp_path):
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = [tuple(r) for r in infilling.op11_infilling(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(con.sql(infilling.ORACLE).fetchall(), key=repr)
