@@ -22,15 +22,42 @@ from inkflow.llm import vocab
 from inkflow.llm.common import lean, rows_of, stage, table, texts
 
 SIZE, END_ID, PER_GROUP = 2048, 1, 500
+#: White space from which on a run is encoded apart: the library's pattern recurses once for each character of a run.
+RUN = 1 << 14
+# The characters that the pattern counts as white space.
+_SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG = re.compile(f"(?<!{_SPACES}){_SPACES}{{{RUN},}}")
 #: Groups of one length whose running totals one task makes.
 GROUPS = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _ordinary(ranks_path: str) -> Callable[[str], list[int]]:
+    """encode_ordinary, for any white space.
+
+    The pattern matches a run as one piece where the text ends with it, and else all but its last character; what stands
+    before and behind is matched as if it stood alone.
+    """
+    encoding = vocab.encoding(ranks_path)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < RUN:
+            return encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += encoding.encode_ordinary(text[at : run.start()])
+            ids += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + encoding.encode_ordinary(text[at:])
+
+    return encode
+
+
 def encoder(ranks_path: str = vocab.RANKS, json_path: str = vocab.JSON) -> Callable[[str], list[int]]:
     """A text's ids as the JSON tokenizer's encode gives them: its added tokens are cut out first, the longest where several start."""
-    ordinary, added = vocab.encoding(ranks_path).encode_ordinary, vocab.added(json_path)
+    ordinary, added = _ordinary(ranks_path), vocab.added(json_path)
     if not added:
         return ordinary
     tokens = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
