@@ -16,7 +16,7 @@ class OptionError(ValueError):
 # Spellings that the options accept.
 CHARSETS = {"ja": "ShiftJIS", "ja-jp": "ShiftJIS", "zh": "GB18030", "zh-cn": "GB18030", "ko": "EUC-KR", "ko-kr": "EUC-KR"}
 CHARSET_NAMES = {"ShiftJIS": "ja", "GB18030": "zh", "EUC-KR": "ko"}
-CODECS = {"ShiftJIS": "cp932", "GB18030": "gb18030", "EUC-KR": "cp949"}
+CODECS = {"ShiftJIS": "windows-31j", "GB18030": "GB18030", "EUC-KR": "x-windows-949"}  # the JVM's names
 DCT_METHODS = ("float", "ifast", "islow")
 KERNELS = ("nearest-neighbor", "bilinear", "bicubic", "mitchell-netravali", "lanczos2", "lanczos3")
 RATIO, QUALITY = 70, 90
@@ -52,6 +52,16 @@ def one_of(text: str, known: tuple[str, ...], what: str) -> str:
     return text
 
 
+def is_local(path: str) -> bool:
+    """Whether a path names no file system, or that of the machine."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is None or path.startswith("file:/")
+
+
+def absolute(path: str) -> str:
+    """The absolute local path, that of a file: URI too; URIs of other file systems stay."""
+    return os.path.abspath(re.sub(r"^file:(//)?(?=/)", "", path)) if is_local(path) else path.rstrip("/")
+
+
 def zip_name(path: str) -> str:
     return path if path.endswith(".zip") else path + ".zip"
 
@@ -77,7 +87,10 @@ class Jpeg:
 
 @dataclass(frozen=True)
 class Config:
-    """A conversion; source must exist, the final output name must not."""
+    """A conversion; source must exist, the final output name must not.
+
+    Local paths are checked here; those of other file systems when a session is there, and the output's once more at the end.
+    """
 
     source: str
     output: str = ""
@@ -92,11 +105,11 @@ class Config:
 
     def __post_init__(self) -> None:
         one_of(self.kernel, KERNELS, "interpolation")
-        source = os.path.abspath(self.source)
-        if not os.path.exists(source):
+        source = absolute(self.source)
+        if is_local(source) and not os.path.exists(source):
             raise OptionError(f"{source} does not exist")
-        output = zip_name(os.path.abspath(self.output)) if self.output else default_output(source)
-        if os.path.exists(output):
+        output = zip_name(absolute(self.output)) if self.output else default_output(source)
+        if is_local(output) and os.path.exists(output):
             raise OptionError(f"{output} exists")
         object.__setattr__(self, "source", source)
         object.__setattr__(self, "output", output)

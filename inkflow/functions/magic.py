@@ -43,3 +43,15 @@ def bmp_size(content: Column) -> Column:
     """A negative height, which stands for rows from the top, counts as its amount."""
     signed = lambda at: (number(content, at, 4, big=False) + 2**31) % 2**32 - 2**31
     return F.when(F.octet_length(content) >= 26, F.struct(signed(18).cast("int").alias("width"), F.abs(signed(22)).cast("int").alias("height")))
+
+
+def webp_size(content: Column) -> Column:
+    """From a lossy, a lossless or an extended header; null where none of them is whole."""
+    kind, size = F.substring(content, 13, 4), F.octet_length(content)
+    little = lambda at, n: number(content, at, n, big=False)
+    pair = lambda width, height: F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    lossy = F.when((size >= 30) & (F.substring(content, 24, 3) == F.lit(b"\x9d\x01\x2a")), pair(little(26, 2) % 2**14, little(28, 2) % 2**14))
+    bits = little(21, 4)
+    lossless = F.when((size >= 25) & (F.substring(content, 21, 1) == F.lit(b"\x2f")), pair(bits % 2**14 + 1, F.floor(bits / 2**14) % 2**14 + 1))
+    extended = F.when(size >= 30, pair(little(24, 3) + 1, little(27, 3) + 1))
+    return F.when(kind == F.lit(b"VP8 "), lossy).when(kind == F.lit(b"VP8L"), lossless).when(kind == F.lit(b"VP8X"), extended)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -16,30 +17,40 @@ from inkflow.operators import registry
 
 SOURCE = Path(__file__).parent / "java" / "Pictures.java"
 SIZE, PICTURE = "struct<width: int, height: int>", "width int, height int, data binary"
+FOUND = "struct<engine: string, width: int, height: int>"
 
 
 def identify(entries: DataFrame, formats: registry.Registry | None = None) -> DataFrame:
-    """Adds engine, width and height, by content alone; an unknown picture, or a damaged header, fails the query."""
+    """Adds engine, width and height: those of the first decoder whose first bytes fit and whose header gives a size.
+
+    Decoders are asked in the order of their registration; one that refuses the header yields to the next. A picture that none of them
+    takes fails the query. Only decoders that bring no size column are asked in Python, and only about what is still open.
+    """
     formats = formats or registry.default()
-    content = F.col("content")
-    decoders = dict(formats.decoders)
+    _codecs(entries.sparkSession)
+    content, rows = F.col("content"), entries
+    found = F.lit(None).cast(FOUND)
+    for name, decoder in formats.decoders.items():
+        size = decoder.size_column(content)
+        if size is None:
+            rows = rows.withColumn("found_", found)
+            found, open_ = F.col("found_"), F.when(F.col("found_").isNull() & decoder.matched(content), content)
+            rows = rows.withColumn("size_", _read_size(decoder)(open_))
+            size = F.col("size_")
+        known = decoder.matched(content) & (size["width"] > 0) & (size["height"] > 0)
+        found = F.coalesce(found, F.when(known, F.struct(F.lit(name).alias("engine"), size["width"].alias("width"), size["height"].alias("height"))))
+    problem = F.raise_error(F.concat(F.lit("Identify: "), F.col("path"), F.lit(" error, unknown image")))
+    sized = rows.withColumn("found_", F.coalesce(found, problem))
+    return sized.select(*entries.columns, "found_.*")
 
+
+def _read_size(decoder: registry.Decoder) -> Callable[[Column], Column]:
     @pandas_udf(SIZE)
-    def read_size(engine: pd.Series, body: pd.Series) -> pd.DataFrame:
-        found = [decoders[e].size(bytes(b)) if e is not None and b is not None else None for e, b in zip(engine, body, strict=True)]
+    def read(body: pd.Series) -> pd.DataFrame:
+        found = [decoder.size(bytes(b)) if b is not None else None for b in body]
         return pd.DataFrame({"width": [f[0] if f else None for f in found], "height": [f[1] if f else None for f in found]}, dtype="Int32")
 
-    by_column = {n: c for n, d in decoders.items() if (c := d.size_column(content)) is not None}
-    named = entries.withColumn("engine", magic.engine(content, formats.patterns()))
-    # Only formats without a size column pay for the way through Python.
-    rest = F.when(~F.col("engine").isin(*by_column), content)
-    size = F.when(F.col("engine").isNull(), F.lit(None).cast(SIZE))
-    for name, column in by_column.items():
-        size = size.when(F.col("engine") == name, column)
-    sized = named.withColumn("size_", size.otherwise(read_size(F.when(rest.isNotNull(), F.col("engine")), rest)))
-    problem = F.raise_error(F.concat(F.lit("Identify: "), F.col("path"), F.lit(" error, unknown image")))
-    known = F.col("engine").isNotNull() & F.col("size_.width").isNotNull() & (F.col("size_.width") > 0) & (F.col("size_.height") > 0)
-    return sized.withColumns({"engine": F.when(known, F.col("engine")).otherwise(problem), "width": F.col("size_.width"), "height": F.col("size_.height")}).drop("size_")
+    return read
 
 
 def plan(identified: DataFrame, ratio: int = 70, formats: registry.Registry | None = None) -> DataFrame:
@@ -61,6 +72,7 @@ def manifest(entries: DataFrame, ratio: int = 70, formats: registry.Registry | N
 
 def _codecs(spark: SparkSession) -> None:
     jvm.load(spark, SOURCE)
+    spark.udf.registerJavaFunction("inkflow_jpeg_size", "Pictures$JpegSize", SIZE.removeprefix("struct<").removesuffix(">"))
     spark.udf.registerJavaFunction("inkflow_decode", "Pictures$Decode", PICTURE)
     spark.udf.registerJavaFunction("inkflow_resample", "Pictures$Resample", PICTURE)
     spark.udf.registerJavaFunction("inkflow_encode", "Pictures$Encode", "binary")

@@ -36,7 +36,7 @@ class Decoder(ABC):
         return magic.matches(content, self.magic)
 
     def size_column(self, content: Column) -> Column | None:
-        """struct<width, height> in built-in functions, where the header allows it."""
+        """struct<width, height> in functions of the JVM, where there are some; null or a size of 0 where the header is damaged."""
         return None
 
     @abstractmethod
@@ -70,6 +70,9 @@ class Encoder(ABC):
 class Jpeg(Decoder):
     name, extensions, magic = "jpeg", (".jpg", ".jpeg"), magic.JPEG
 
+    def size_column(self, content: Column) -> Column:
+        return F.call_function("inkflow_jpeg_size", content)
+
     def size(self, content: bytes) -> tuple[int, int] | None:
         at, end = 2, len(content)
         while at + 9 <= end:
@@ -116,6 +119,9 @@ class Webp(Decoder):
 
     name, extensions, magic = "webp", (".webp",), magic.WEBP
 
+    def size_column(self, content: Column) -> Column:
+        return magic.webp_size(content)
+
     def size(self, content: bytes) -> tuple[int, int] | None:
         kind, body = content[12:16], content[20:]
         if kind == b"VP8 " and len(body) >= 10 and body[3:6] == b"\x9d\x01\x2a":

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.config import CHARSET_NAMES, CHARSETS, DCT_METHODS, KERNELS
 from inkflow.functions import magic, names, options, resizing
-from inkflow.operators import convert, registry, resample
+from inkflow.operators import convert, ranking, registry, resample
 from inkflow.sources import archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +73,7 @@ def prune_git(spark, sf_dir):
 @_query("walk_order", "select page_id, row_number() over (partition by host order by string_split(path, '/'), page_id) as place from (select page_id, regexp_extract(url, '//([^/]*)', 1) as host, regexp_extract(url, '//(.*)$', 1) as path from pages)")
 def walk_order(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]*)", 1).alias("archive"), F.regexp_extract("url", r"//(.*)\z", 1).alias("path"))
-    place = F.row_number().over(Window.partitionBy("archive").orderBy(names.walk_key(F.col("path")), "page_id"))
-    return pages.select("page_id", place.cast("long").alias("place"))
+    return ranking.ranked(pages, "archive", [names.walk_key(F.col("path")), F.col("page_id")]).select("page_id", "place")
 
 
 @_query("rename_ext", f"with {_ENTRIES} select doc_id, {_RENAMED} as out_path from entries where {_PICTURE}")
@@ -224,11 +223,19 @@ def size_check(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "n_chars", archives.intact(F.char_length("text"), F.col("n_chars")).alias("intact"))
 
 
-@_query("entry_list", f"with {_ENTRIES} select split_part(path, '/', 1) as archive, count(*) as n, array_to_string(list(path order by string_split(path, '/')), '|') as members from entries where {_PICTURE} group by 1")
+#: Members of a row of entry_list; small, so that the tables' archives have several rows.
+LIST_ROWS = 40
+
+
+@_query(
+    "entry_list",
+    f"""with {_ENTRIES}, placed as (
+        select split_part(path, '/', 1) as archive, path, row_number() over (partition by split_part(path, '/', 1) order by string_split(path, '/')) - 1 as place from entries where {_PICTURE}
+    ) select archive, place // {LIST_ROWS} as chunk, count(*) as n, array_to_string(list(path order by place), '|') as members from placed group by 1, 2""",
+)
 def entry_list(spark, sf_dir):
-    entries = ext_filter(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("archive"), F.struct(names.walk_key(F.col("path")).alias("key"), "path").alias("entry"))
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["path"]), "|")
-    return entries.groupBy("archive").agg(F.count("*").alias("n"), members.alias("members"))
+    entries = ext_filter(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("archive"), "path")
+    return ranking.member_lists(entries, LIST_ROWS).withColumn("members", F.array_join("members", "|"))
 
 
 def _line_sql(kernel: str) -> str:
@@ -275,5 +282,5 @@ def convert_manifest(spark, sf_dir):
     content = F.concat(F.unhex(_choose(F.col("doc_id"), HEADS)), body)
     found = docs.select("doc_id", "path", names.extension(F.col("path")).alias("ext"), magic.engine(content, registry.default().patterns()).alias("engine"), (F.col("doc_id") * 37 % 3000 + 1).cast("int").alias("width"), (F.col("n_chars") * 91 % 2500 + 1).cast("int").alias("height")).filter("engine is not null")
     planned = found.withColumns(resizing.plan(F.col("width"), F.col("height"), 70))
-    place = F.row_number().over(Window.partitionBy(F.substring_index("path", "/", 1)).orderBy(names.walk_key(F.col("path"))))
-    return planned.select("doc_id", "path", "engine", "width", "height", "target_w", "target_h", "do_resize", "warn_small", names.renamed(F.col("path"), F.col("ext")).alias("out_path"), place.cast("long").alias("place"))
+    rows = planned.select("doc_id", "path", "engine", "width", "height", "target_w", "target_h", "do_resize", "warn_small", names.renamed(F.col("path"), F.col("ext")).alias("out_path"), F.substring_index("path", "/", 1).alias("archive"))
+    return ranking.ranked(rows, "archive", [names.walk_key(F.col("path"))]).drop("archive")

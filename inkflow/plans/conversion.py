@@ -3,36 +3,38 @@
 from __future__ import annotations
 
 import logging
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkflow.config import Config
+from inkflow.config import Config, OptionError
 from inkflow.operators.convert import convert
-from inkflow.sources import archives
+from inkflow.sources import archives, files
 from inkflow.sources.zips import write_zip
 
 log = logging.getLogger("inkflow")
 
 
 def entries(spark: SparkSession, config: Config) -> DataFrame:
-    if os.path.isdir(config.source):
+    if files.is_folder(spark, config.source):
         return archives.folder_entries(spark, config.source)
-    with open(config.source, "rb") as head:
-        if head.read(4) == b"Rar!":
-            return archives.rar_entries(spark, config.source, config.password)
+    if files.head(spark, config.source, 4) == b"Rar!":
+        return archives.rar_entries(spark, config.source, config.password)
     return archives.zip_entries(spark, config.source, config.charsets, config.password)
 
 
 def run(spark: SparkSession, config: Config) -> int:
     """Writes config.output; the number of its members."""
     began = time.monotonic()
+    if not files.exists(spark, config.source):
+        raise OptionError(f"{config.source} does not exist")
+    if files.exists(spark, config.output):
+        raise OptionError(f"{config.output} exists")
     count = write_zip(convert(entries(spark, config), config.ratio, config.kernel, config.jpeg), config.output)
     log.info("%s: %d pictures", config.output, count)
     if config.delete_source:
         try:
-            os.remove(config.source)
+            files.delete(spark, config.source)
         except OSError as error:
             log.error("%s stays: %s", config.source, error)
     if config.show_time or config.debug:

@@ -1,65 +1,34 @@
-"""Members of zip files and folders as rows."""
+"""Members of zip files and folders as rows.
+
+A container is listed without its contents: zip files by their directory, which a task reads as a stream from the file's tail;
+folders by a walk. Names are filtered and equal names settled on these small rows. They are then dealt out by byte ranges, and each task
+reads its members by ranges of the file, so no archive is ever one value and no content crosses a shuffle. A filter on names,
+wherever it stands in a query, goes below the reading, and a query without contents reads none.
+"""
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkflow.config import CODECS
-from inkflow.functions import names
+from inkflow.functions import jvm, names
+from inkflow.sources import files
 
 ENTRIES = "archive string, path string, ext string, size long, mode int, mtime timestamp, content binary"
+SOURCE = Path(__file__).parent / "java" / "Containers.java"
+#: Packed bytes that one task reads, about, in how many ranges of an archive, and the most tasks that members are dealt to.
+SPLIT, RANGES, MOST_TASKS = 64 << 20, 8, 100_000
 
 
 class ArchiveError(ValueError):
     """A container that cannot be read as it should."""
 
 
-def member_name(info: zipfile.ZipInfo, charsets: Sequence[str]) -> str:
-    """The name by the first of the encodings that decodes it; names that are marked as UTF-8 are that."""
-    if info.flag_bits & 0x800:
-        return info.filename
-    raw = info.orig_filename.encode("cp437")
-    if raw.isascii():
-        return info.filename
-    for charset in charsets:
-        try:
-            return raw.decode(CODECS[charset])
-        except UnicodeDecodeError:
-            continue
-    raise ArchiveError(f"no charset of {', '.join(charsets)} fits the member name {raw!r}")
-
-
-def members(content: bytes, charsets: Sequence[str], wanted=lambda path: True, password: str | None = None) -> Iterator[tuple]:
-    """(path, size, crc, method, raw bytes, mode, mtime) of each wanted member; of a name listed twice the last one counts.
-
-    Packed members stay packed, so that unpacking can happen elsewhere; encrypted ones are unpacked here.
-    """
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as error:
-        raise ArchiveError(str(error)) from error
-    last = {member_name(info, charsets): info for info in archive.infolist() if not info.is_dir()}
-    for path, info in last.items():
-        if not wanted(path):
-            continue
-        head = info.header_offset
-        if content[head : head + 4] != b"PK\x03\x04":
-            raise ArchiveError(f"{path}: no local header")
-        if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-            body, method = archive.read(info, pwd=password.encode() if password else None), zipfile.ZIP_STORED
-        else:
-            start = head + 30 + int.from_bytes(content[head + 26 : head + 28], "little") + int.from_bytes(content[head + 28 : head + 30], "little")
-            body, method = content[start : start + info.compress_size], info.compress_type
-        yield path, info.file_size, info.CRC, method, body, info.external_attr >> 16, info.date_time
-
-
 def workers(cpus: int) -> int:
     """Tasks that a conversion keeps busy: all cores but one, and four at least."""
     return cpus - 1 if cpus >= 5 else 4
@@ -76,69 +45,84 @@ def last_written(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("last_")).select(*keys, *(f"last_.{c}" for c in others))
 
 
-def unpacked(path: str, size: int, crc: int, method: int, body: bytes) -> bytes:
-    """A member's bytes; a size or checksum that differs raises."""
-    try:
-        found = zlib.decompress(body, -15) if method == zipfile.ZIP_DEFLATED else body
-    except zlib.error as error:
-        raise ArchiveError(f"{path}: {error}") from error
-    if len(found) != size or zlib.crc32(found) != crc:
-        raise ArchiveError(f"{path}: read {len(found)} bytes of {size}, or their checksum differs")
-    return found
+def _java(spark: SparkSession, name: str, rows: DataFrame, *arguments) -> DataFrame:
+    return DataFrame(jvm.call(spark, jvm.load(spark, SOURCE), name, rows._jdf, *arguments), spark)
 
 
-def zip_entries(spark: SparkSession, path: str, charsets: Sequence[str] = ("ShiftJIS", "GB18030"), password: str | None = None, partitions: int | None = None) -> DataFrame:
-    """The pictures of zip files (a path, folder or glob): ENTRIES.
+def _found(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the zip files that a name means: itself, those in a folder, or those of a pattern."""
+    system, where = files.place(spark, path)
+    if system.exists(where):
+        status = [system.getFileStatus(where)]
+        if status[0].isDirectory():
+            status = [s for s in system.listStatus(where) if s.isFile() and s.getPath().getName().lower().endswith(".zip")]
+    else:
+        status = list(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) or [])
+    if not status:
+        raise ArchiveError(f"{path}: no such archive")
+    return sorted((s.getPath().toString(), s.getLen()) for s in status)
 
-    One task lists each archive and passes packed members on; they are dealt out, then unpacked and
-    checked, so one large archive keeps all cores busy. An archive is one value of at most 2 GiB.
+
+def zip_members(spark: SparkSession, path: str, charsets: Sequence[str] = ("ShiftJIS", "GB18030")) -> DataFrame:
+    """What the directories of zip files (a path, folder or pattern) list, folders left out: a row per listed file, without contents.
+
+    place counts the rows of a directory; at is where the member's own header begins in `file`.
     """
-    endings = names.EXTENSIONS
+    return listed(spark, spark.createDataFrame(_found(spark, path), "path string, length long"), charsets)
 
-    def wanted(name: str) -> bool:
-        last = name.lower().rsplit("/", 1)[-1]
-        return not name.startswith(".git/") and "." in last and last[last.rindex(".") :] in endings
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for name, size, crc, method, body, mode, when in members(content, charsets, wanted, password):
-                    yield pa.RecordBatch.from_pylist([{"archive": archive, "path": name, "size": size, "crc": crc, "method": method, "body": body, "mode": mode, "mtime": "%04d-%02d-%02d %02d:%02d:%02d" % when}], schema=packed)
+def listed(spark: SparkSession, archives: DataFrame, charsets: Sequence[str]) -> DataFrame:
+    """The same for rows (path, length), each archive by one task, which holds one entry at a time."""
+    return _java(spark, "members", archives.select("path", "length"), ",".join(CODECS[c] for c in charsets))
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                content = unpacked(row["path"], row["size"], row["crc"], row["method"], row["body"])
-                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("archive", "path", "size", "mode", "mtime")} | {"content": content}], schema=open_)
 
-    packed = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("crc", pa.int64()), ("method", pa.int32()), ("body", pa.binary()), ("mode", pa.int32()), ("mtime", pa.string())])
-    open_ = pa.schema([packed.field(c) for c in ("archive", "path", "size", "mode", "mtime")] + [pa.field("content", pa.binary())])
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    raw = archives.mapInArrow(listed, "archive string, path string, size long, crc long, method int, body binary, mode int, mtime string")
-    dealt = raw.repartition(partitions or workers(spark.sparkContext.defaultParallelism), F.xxhash64("archive", "path"))
-    found = dealt.mapInArrow(opened, "archive string, path string, size long, mode int, mtime string, content binary")
-    return found.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", F.to_timestamp("mtime").alias("mtime"), "content")
+def opened(members: DataFrame, password: str | None = None) -> DataFrame:
+    """ENTRIES of members: content by one ranged read each, where it is asked for; a size or checksum that differs fails the query."""
+    spark = members.sparkSession
+    jvm.call(spark, jvm.load(spark, SOURCE), "reader", spark._jsparkSession, "inkflow_member", password)
+    content = F.call_function("inkflow_member", *(F.col(c) for c in ("file", "path", "at", "packed", "size", "crc", "method", "flags")))
+    return members.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", F.try_to_timestamp("mtime").alias("mtime"), content.alias("content"))
+
+
+def pictures(members: DataFrame) -> DataFrame:
+    """Those with a picture's ending outside of .git; of a name listed twice the last one counts."""
+    kept = members.filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
+    return last_written(kept, ["archive", "path"], "place")
+
 
+def dealt(members: DataFrame, tasks: int, size: int | None = None) -> DataFrame:
+    """Members dealt to a number of tasks: byte ranges of archives in turn, by their size together, or single files by hash."""
+    step = max(1, min(size // (tasks * RANGES), SPLIT)) if size else None
+    turn = F.xxhash64("archive") + F.floor(F.col("at") / step) if step else F.xxhash64("archive", "path")
+    return members.repartitionById(tasks, F.pmod(turn, tasks).cast("int"))
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its file system, as files below it are listed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
 
+def tasks_for(spark: SparkSession, size: int) -> int:
+    return min(max(workers(spark.sparkContext.defaultParallelism), -(-size // SPLIT)), MOST_TASKS)
 
-def below(path: Column, base: str) -> Column:
-    return F.substring(path, F.lit(len(base) + 2), F.char_length(path))
 
+def zip_entries(spark: SparkSession, path: str, charsets: Sequence[str] = ("ShiftJIS", "GB18030"), password: str | None = None, partitions: int | None = None) -> DataFrame:
+    """The pictures of zip files (a path, folder or pattern): ENTRIES, of which a task reads SPLIT bytes, about."""
+    found = _found(spark, path)
+    size = sum(length for _, length in found)
+    tasks = partitions or tasks_for(spark, size)
+    members = listed(spark, spark.createDataFrame(found, "path string, length long"), charsets)
+    return opened(dealt(pictures(members), tasks, size), password)
+
+
+def folder_members(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a folder, as members. Its subfolders are walked by tasks; .git at the root is not entered."""
+    system, where = files.place(spark, path)
+    root = where.toString().rstrip("/")
+    starts = [(root, s.getPath().getName()) for s in system.listStatus(where) if s.getPath().getName() != ".git" or s.isFile()]
+    return _java(spark, "walk", spark.createDataFrame(starts, "root string, start string"))
 
-def folder_entries(spark: SparkSession, path: str) -> DataFrame:
+
+def folder_entries(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """The pictures below a folder: ENTRIES. Endings are tested at the listing, so other files aren't opened."""
-    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in names.EXTENSIONS) + "}"
-    base = qualified(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    found = files.select(F.lit(base).alias("archive"), below(F.col("path"), base).alias("path"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
-    kept = found.filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
-    whole = F.when(intact(F.octet_length("content"), F.col("size")), F.col("content")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": not read whole"))))
-    return kept.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", "mtime", whole.alias("content"))
+    found = pictures(folder_members(spark, path))
+    tasks = partitions or tasks_for(spark, found.agg(F.sum("size")).first()[0] or 0)
+    return opened(dealt(found, tasks))
 
 
 def rar_entries(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:
@@ -149,6 +133,8 @@ def rar_entries(spark: SparkSession, path: str, password: str | None = None) ->
         raise ArchiveError("reading rar files needs the optional module rarfile") from error
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
         import rarfile
 
         for batch in batches:

@@ -1,38 +1,63 @@
-"""Writes converted members as one zip file."""
+"""Writes converted members as one zip file, by tasks.
+
+Each task appends its members to a file of its own, in the order in which it converts them, and tells where they lie. Only these small rows
+are sorted: a zip's directory gives the order of its members, wherever their bytes are. The offsets of the parts are a
+running total over the tasks; directory entries are written by tasks again, in walk order; then parts, entries and end
+records are joined into one file, which takes the output's name when it is whole.
+"""
 
 from __future__ import annotations
 
 import logging
-import os
-import zipfile
+import uuid
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkflow.functions import names
+from inkflow.functions import jvm, names
+from inkflow.sources import files
+from inkflow.sources.archives import SOURCE, _java
 from inkflow.staging import staged
 
+log = logging.getLogger("inkflow")
+
 
 def write_zip(converted: DataFrame, output: str) -> int:
-    """Writes rows (path, out_path, out_content, warn_small) in walk order, one partition at a time; the number of members.
+    """Writes rows (path, out_path, out_content, warn_small) as a zip whose members come in walk order; their number.
 
-    Converted rows are staged first, so that sorting them neither samples nor repeats the conversion. The zip
-    appears under its name only when it is whole. No rows give a zip without members. A
-    failing picture fails the write, and nothing is left.
+    Contents go from the task that made them into its part file: they cross no shuffle and don't meet the driver, which
+    holds a row for each part. No rows give a zip without members; equal names stay. A failing picture, or a name that has been
+    taken meanwhile, fails the write, and nothing is left.
     """
-    part = f"{output}.part"
-    log = logging.getLogger("inkflow")
-    count = 0
+    spark = converted.sparkSession
+    folder = f"{output}.{uuid.uuid4().hex}.part"
     try:
-        keyed = converted.select("path", "out_path", "out_content", "warn_small", names.walk_key(F.col("path")).alias("key"))
-        with zipfile.ZipFile(part, "x", zipfile.ZIP_STORED) as archive, staged(keyed) as rows:  # JPEG doesn't shrink
-            for row in rows.orderBy("key").drop("key").toLocalIterator():
-                archive.writestr(zipfile.ZipInfo(row["out_path"]), bytes(row["out_content"]))
-                count += 1
-                if row["warn_small"]:
-                    log.warning("%s is too small to be resampled", row["path"])
-        os.link(part, output)  # fails where the name has been taken meanwhile
+        system, where = files.place(spark, folder)
+        system.mkdirs(where)
+        written = _java(spark, "bodies", converted.select("path", "out_path", "out_content", "warn_small"), where.toString())
+        with staged(written) as members:  # the only pass over contents
+            count = _finish(spark, members, where.toString())
+            for row in members.filter("warn_small").select("path").orderBy(names.walk_key(F.col("path"))).toLocalIterator():
+                log.warning("%s is too small to be resampled", row["path"])
+        files.publish(spark, f"{folder}/whole", output)
     finally:
-        if os.path.exists(part):
-            os.remove(part)
+        files.remove_tree(spark, folder)
+    return count
+
+
+def _finish(spark: SparkSession, members: DataFrame, folder: str) -> int:
+    """Writes the directory of members that lie in part files, and joins all into folder/whole."""
+    # Local header, name and body of every member of a part.
+    parts = members.groupBy("file").agg(F.sum(30 + F.octet_length("out_path") + F.col("size")).alias("bytes")).orderBy("file").collect()  # one for each task that wrote
+    bases = list(accumulate((p["bytes"] for p in parts), initial=0))
+    base = spark.createDataFrame([(p["file"], b) for p, b in zip(parts, bases, strict=False)], "file string, base long")
+    placed = members.join(F.broadcast(base), "file").withColumns({"at": F.col("at") + F.col("base"), "key": names.walk_key(F.col("path"))})
+    ordered = placed.repartitionByRange("key", "path", "at").sortWithinPartitions("key", "path", "at").select("out_path", "at", "size", "crc")
+    entries = sorted(_java(spark, "entries", ordered, folder).collect())  # one for each task that wrote
+    count, start = sum(e["members"] for e in entries), bases[-1]
+    starts = list(accumulate((e["bytes"] for e in entries), initial=start))
+    jvm.call(spark, jvm.load(spark, SOURCE), "finish", spark._jsparkSession, f"{folder}/end", start, starts[-1] - start, count)
+    pieces = [*zip((p["file"] for p in parts), bases, strict=False), *zip((e["file"] for e in entries), starts, strict=False), (f"{folder}/end", starts[-1])]
+    jvm.call(spark, jvm.load(spark, SOURCE), "joined", spark.createDataFrame(pieces, "file string, at long").orderBy("at")._jdf, f"{folder}/whole")
     return count

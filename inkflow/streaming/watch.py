@@ -1,4 +1,4 @@
-"""Converts the pictures that appear in a folder, as a stream."""
+"""Converts the pictures, or archives of pictures, that appear in a folder, as a stream."""
 
 from __future__ import annotations
 
@@ -8,7 +8,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkflow.functions import names
 from inkflow.operators.convert import convert
-from inkflow.sources.archives import below, last_written, qualified
+from inkflow.sources import archives, files
+
+#: Bytes of archives that one batch admits (one larger archive is a batch of its own), and packed bytes of a batch's slice.
+ADMITTED = 1 << 30
+
+
+def _below(path, base: str):
+    return F.substring(path, F.lit(len(base) + 2), F.char_length(path))
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    return files.place(spark, folder)[1].toString().rstrip("/")
 
 
 def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, **options) -> StreamingQuery:
@@ -19,17 +30,43 @@ def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, **opti
     below its .git are left out, as folder_entries does; latest() reads the result.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    base = qualified(spark, folder)
-    found = files.withColumn("path", below(F.col("path"), base)).filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
-    rows = found.select(F.lit(base).alias("archive"), "path", names.extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
+    base = _qualified(spark, folder)
+    kept = found.withColumn("path", _below(F.col("path"), base)).filter(names.is_picture(F.col("path")) & names.outside_git(F.col("path")))
+    rows = kept.select(F.lit(base).alias("archive"), "path", names.extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.lit(None).cast("int").alias("mode"), F.col("modificationTime").alias("mtime"), "content")
 
-    def write(batch, number: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         convert(batch, **options).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch_archives(spark: SparkSession, folder: str, output: str, checkpoint: str, admitted: int = ADMITTED, charsets: tuple[str, ...] = ("ShiftJIS", "GB18030"), password: str | None = None, **options) -> StreamingQuery:
+    """The same for zip files that appear in a folder: their pictures, converted, go to Parquet.
+
+    A batch admits archives of `admitted` bytes together, or one larger one, by their length; their contents aren't read by the stream. A
+    batch is done in slices: the members that begin within the same `admitted` bytes of their archive. A slice that
+    was finished stays when its batch runs again after a failure, one that wasn't is replaced, so a restart in the middle of an
+    archive repeats no finished slice, loses no member and brings none twice. Memory depends on single members only.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxBytesPerTrigger", str(admitted)).load(folder).select("path", "length")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        largest = batch.agg(F.max("length")).first()[0] or 0
+        tasks = archives.tasks_for(session, min(largest, admitted))
+        for at in range(0, largest, admitted):
+            target = f"{output}/batch={number}/slice={at // admitted}"
+            if files.exists(session, f"{target}/_SUCCESS"):
+                continue
+            members = archives.pictures(archives.listed(session, batch, charsets)).filter((F.col("at") >= at) & (F.col("at") < at + admitted))
+            entries = archives.opened(archives.dealt(members, tasks, admitted), password)
+            convert(entries, **options).write.mode("overwrite").parquet(target)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest(spark: SparkSession, output: str) -> DataFrame:
     """The converted members in walk order; of a picture that was written several times, the last one."""
-    return last_written(spark.read.parquet(output), ["archive", "path"], "batch").orderBy(names.walk_key(F.col("path")))
+    return archives.last_written(spark.read.parquet(output), ["archive", "path"], "batch").orderBy("archive", names.walk_key(F.col("path")))

@@ -71,21 +71,6 @@ def test_an_archive_without_pictures_gives_an_empty_zip(spark, tmp_path):
     assert conversion.run(spark, config) == 0 and sizes(config.output) == []
 
 
-@pytest.mark.parametrize("charset, codec, name", [("ShiftJIS", "cp932", "日本.png"), ("GB18030", "gb18030", "中国.png"), ("EUC-KR", "cp949", "한국.png")])
-def test_member_names(charset, codec, name):
-    info = zipfile.ZipInfo()
-    info.orig_filename = info.filename = name.encode(codec).decode("cp437")
-    info.flag_bits = 0
-    assert archives.member_name(info, [charset]) == name
-
-
-def test_a_name_that_no_charset_fits_fails():
-    info = zipfile.ZipInfo()
-    info.orig_filename = info.filename = b"\x85".decode("cp437")
-    with pytest.raises(archives.ArchiveError):
-        archives.member_name(info, ["ShiftJIS"])
-
-
 def test_each_session_gets_its_codecs(spark, tmp_path):
     source = archive(tmp_path / "n.zip", {"a.png": png(8, 8)})
     for session in (spark, spark.newSession(), spark.newSession()):

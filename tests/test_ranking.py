@@ -1,0 +1,55 @@
+"""Places and lists against a sort in Python."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkflow.functions import names
+from inkflow.operators import ranking
+
+
+@pytest.fixture(scope="module")
+def paths():
+    rng = random.Random(9)
+    rows = [("hot", "/".join(rng.choice(["a", "a-b", "é", "z", "_"]) for _ in range(rng.randint(1, 4))) + f"/{rng.randrange(300)}", i) for i in range(3000)]
+    return rows + [(None, f"n{i % 7}", i) for i in range(40)] + [("one", "x", 0), ("", "y", 1)]
+
+
+@pytest.fixture
+def many_ranges(spark):
+    keys = {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_places(spark, paths, many_ranges, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    frame = spark.createDataFrame(random.Random(1).sample(paths, len(paths)), "archive string, path string, id long")
+    found = ranking.ranked(frame, "archive", [names.walk_key(F.col("path")), F.col("id")]).collect()
+    want = {}
+    for group in {p[0] for p in paths}:
+        for place, row in enumerate(sorted((p for p in paths if p[0] == group), key=lambda p: (p[1].split("/"), p[2])), 1):
+            want[row] = place
+    assert {(r["archive"], r["path"], r["id"]): r["place"] for r in found} == want and len(found) == len(paths)
+
+
+def test_ties_get_different_places(spark, many_ranges):
+    frame = spark.createDataFrame([("a", "same")] * 500, "archive string, path string")
+    assert sorted(r["place"] for r in ranking.ranked(frame, "archive", [F.col("path")]).collect()) == list(range(1, 501))
+    assert ranking.ranked(frame.limit(0), "archive", [F.col("path")]).collect() == []
+
+
+def test_lists_are_cut_into_rows_of_bounded_size(spark, paths, many_ranges):
+    found = ranking.member_lists(spark.createDataFrame(paths, "archive string, path string, id long"), 100).collect()
+    assert max(len(r["members"]) for r in found) == 100 and all(r["n"] == len(r["members"]) for r in found)
+    for group in {p[0] for p in paths}:
+        chunks = sorted((r["chunk"], r["members"]) for r in found if r["archive"] == group)
+        assert [c for c, _ in chunks] == list(range(len(chunks)))
+        assert [p for _, m in chunks for p in m] == sorted((p[1] for p in paths if p[0] == group), key=lambda p: p.split("/"))
