@@ -201,4 +201,4 @@ def test_secrets_of_odd_documents(spark, odd_docs, odd_texts, no_docs):
 
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
