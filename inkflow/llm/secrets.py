@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A worklist holds layers of a text: the text itself, then what its percent escapes, Unicode escapes
-and base64 or compressed runs decode to (over line breaks too, and out of step), until no new layer appears. Every character of a layer
+and base64 or compressed runs decode to (over line breaks too, and out of step, and as UTF-16), until no new layer appears. Every character of a layer
 knows the span of the original text that it came from, escape by escape, so findings map back. A layer that was seen
 for the same span isn't decoded again, which ends cycles. Where an escape gives the first sign of another one at once,
 CHAIN times or more (%25252541), all of them are read in one step: the layers between hold only fewer of the same digits.
@@ -24,6 +24,7 @@ from itertools import chain, groupby
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +32,21 @@ from inkflow.llm.common import lean, rows_of, table, texts
 
 # The kinds of secrets, in their order, and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+WORDS = ("password", "passwd", "secret", "token", "api")  # one of them begins each assignment
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"""(?:\\u\{?[0-9A-Fa-f]{4,6}\}?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+""")
-ONE_ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
+UNICODE = re.compile(r"""(?:%u[0-9A-Fa-f]{4}|\\u\{?[0-9A-Fa-f]{4,6}\}?|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+""")
+ONE_ESCAPE = re.compile(r"[\\%]u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
 #: An escape of a character that begins an escape, and one escape of an ASCII character.
 SIGN = re.compile(r"%(?:25|26|5[Cc])|\\(?:u\{?00(?:25|26|5[Cc])\}?|U000000(?:25|26|5[Cc])|x(?:25|26|5[Cc]))|&#(?:0*(?:37|38|92)|[xX]0*(?:25|26|5[Cc]));")
 ASCII = re.compile(r"%([0-7][0-9A-Fa-f])|\\u\{?00([0-7][0-9A-Fa-f])\}?|\\U000000([0-7][0-9A-Fa-f])|\\x([0-7][0-9A-Fa-f])|&#[xX]0*([0-7]?[0-9A-Fa-f]);|&#0*([0-9]{1,2}|1[01][0-9]|12[0-7]);")
 CHAIN = 4
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The same over line breaks, each line of which may be indented.
+_URL_SAFE = str.maketrans("-_", "+/")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?!-----)[A-Za-z0-9+/_-]++)+={0,2}")
 GAP = re.compile(r"\r?\n[ \t]*")
 #: An unpacked layer up to this size is held at once; a larger one is unpacked as a stream and scanned in windows.
@@ -54,15 +57,35 @@ SHORTEST = 14
 #: What stands in no text: control characters and bytes that aren't UTF-8.
 BAD = re.compile("[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
 #: Where windows may part: no secret, escape or base64 run goes over such a place.
+#: Without such a place, a window ends this much later at any character, and the next one begins this much before.
+SLACK, OVERLAP = 1 << 20, 1 << 12
 SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|[,()!<>*~?\[\]|^$@]")
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
 
+def _assigned(text: str) -> Iterator[re.Match]:
+    """What ASSIGN.finditer gives: its matches are tried where one of WORDS stands, which is found much faster than by the pattern."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a letter whose lower case is two characters
+        yield from ASSIGN.finditer(text)
+        return
+    starts, end = [], 0
+    for word in WORDS:
+        at = lower.find(word)
+        while at >= 0:
+            starts.append(at)
+            at = lower.find(word, at + 1)
+    for at in sorted(starts):
+        if at >= end and (m := ASSIGN.match(text, at)) is not None:
+            end = m.end()
+            yield m
+
+
 def find(text: str) -> list[Span]:
     """The secrets of one layer, by start and kind. Matches that are too short are dropped, not extended."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    found = [(m.start(), 0, m.end()) for m in _assigned(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -192,10 +215,16 @@ def _unpacked(data: bytes) -> Callable[[], Iterator[bytes]] | None:
 
 
 def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
-    """The texts of a stream of bytes, parted by what is no text, and from UNPACKED characters on at the next safe place."""
+    """The texts of a stream of bytes, parted by what is no text, in windows of UNPACKED characters and SLACK.
+
+    A window ends at the first safe place behind UNPACKED characters. Where there is none, it ends anyway, and the next one repeats
+    its last OVERLAP characters: all that is found in such a layer stands for the whole layer, so a longer match is still a match, and of
+    base64 that goes on, the next window reads the rest.
+    """
     decoder, held, size = codecs.getincrementaldecoder("utf-8")("surrogateescape"), [], 0
     for chunk in chain(chunks, (None,)):
-        for i, part in enumerate(BAD.split(decoder.decode(chunk or b"", chunk is None))):
+        text = decoder.decode(chunk or b"", chunk is None)
+        for i, part in enumerate([text] if chunk and len(text) == len(chunk) and _ASCII[np.frombuffer(chunk, dtype=np.uint8)].all() else BAD.split(text)):
             if i:
                 if size >= SHORTEST:
                     yield "".join(held)
@@ -203,40 +232,123 @@ def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
             if size > UNPACKED and (cut := SAFE.search(part)):
                 yield "".join([*held, part[: cut.start()]])
                 held, size, part = [], 0, part[cut.start() :]
+            elif size > UNPACKED + SLACK:
+                whole = "".join(held)
+                yield whole
+                held, size = [whole[-OVERLAP:]], OVERLAP
+                del whole
             held.append(part)
             size += len(part)
     if size >= SHORTEST:
         yield "".join(held)
 
 
-MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+# The first bytes of what is compressed.
+MAGICS = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+#: Printable ASCII as UTF-16, low bytes first and high bytes first.
+WIDE = ((re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){14,}"), "utf-16-le"), (re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){14,}"), "utf-16-be"))
+_ASCII = np.array([9 <= b <= 13 or 32 <= b <= 126 for b in range(256)])
+_STEP = SHORTEST // 2
+
+
+def _opened(data: bytes) -> Iterator[int]:
+    """Where something compressed may begin; the first byte always."""
+    found = {0}
+    for magic in MAGICS:
+        at = data.find(magic)
+        while at >= 0:
+            found.add(at)
+            at = data.find(magic, at + 1)
+    yield from sorted(found)
+
+
+def _stretches(data: bytes) -> list[tuple[int, int]]:
+    """[start, stop) of data's parts of SHORTEST bytes or more that hold UTF-8 text, found without decoding the others.
+
+    A part of that length covers two neighbours of every _STEP-th byte, so these are looked at first.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    high = bool(len(raw)) and int(raw.max()) >= 0xC2  # else no byte begins a longer character
+    few = raw[::_STEP]
+    likely = _ASCII[few] | (few >= 0x80) if high else _ASCII[few]
+    if not (likely[:-1] & likely[1:]).any():
+        return []
+    found, last = [], -1  # the last byte that is in no text
+    for at in range(0, len(raw), CHUNK):
+        before = min(at, 3)  # a character may begin in the block before, and end in the next one
+        good = _good(raw[at - before : at + CHUNK + 3], high)[before : before + CHUNK]
+        bad = np.flatnonzero(~good[: len(raw) - at]) + at
+        if len(bad):
+            starts = np.concatenate(([last], bad[:-1])) + 1
+            long = bad - starts >= SHORTEST
+            found += zip(starts[long].tolist(), bad[long].tolist(), strict=True)
+            last = int(bad[-1])
+    return [*found, (last + 1, len(raw))] if len(raw) - last > SHORTEST else found
+
+
+def _good(raw: np.ndarray, high: bool) -> np.ndarray:
+    """Whether each byte is printable ASCII or part of a longer UTF-8 character."""
+    good = _ASCII[raw]
+    if high:
+        after = [np.concatenate((raw[k:], np.zeros(min(k, len(raw)), dtype=np.uint8))) for k in (1, 2, 3)]
+        more = [a & 0xC0 == 0x80 for a in after]
+        low = np.select([raw == 0xE0, raw == 0xF0], [np.uint8(0xA0), np.uint8(0x90)], np.uint8(0x80))
+        top = np.select([raw == 0xED, raw == 0xF4], [np.uint8(0x9F), np.uint8(0x8F)], np.uint8(0xBF))
+        second = more[0] & (after[0] >= low) & (after[0] <= top)
+        lengths = ((2, (raw >= 0xC2) & (raw <= 0xDF) & second), (3, (raw >= 0xE0) & (raw <= 0xEF) & second & more[1]), (4, (raw >= 0xF0) & (raw <= 0xF4) & second & more[1] & more[2]))
+        for n, leads in lengths:
+            for k in range(n):
+                good[k:] |= leads[: len(raw) - k]
+    return good
+
+
+def _raw(data: bytes) -> Callable[[], Iterator[bytes]] | None:
+    """The chunks that a deflated stream without a header holds; None unless it ends where data does."""
+
+    def inner() -> Iterator[bytes]:
+        opened, rest = zlib.decompressobj(-15), data
+        while not opened.eof and (out := opened.decompress(rest, CHUNK)):
+            rest = opened.unconsumed_tail
+            yield out
+        if not opened.eof or opened.unused_data:
+            raise EOFError
+
+    try:
+        return inner if sum(map(len, inner())) >= SHORTEST else None
+    except _BROKEN:
+        return None
 
 
 def _from_base64(body: str) -> Iterator[tuple[int, int, str]]:
     """(start, stop, text): what base64 without its padding holds, and the characters that hold it.
 
     The payload may start out of step, after a path for instance, so all four alignments are read,
-    unless the first makes one text.
+    unless the first makes one text, or one gives the bytes of the one before (a letter that repeats).
     """
-    body = body.replace("-", "+").replace("_", "/")
+    body, last = body.translate(_URL_SAFE), b""
     for step in range(4):
         n = len(body) - step
         n -= n % 4 == 1
         if n < 2:
             return
         data = base64.b64decode(body[step : step + n] + "=" * (-n % 4))
-        starts = {m.start() for m in MAGIC.finditer(data)} | {0}
-        for at in sorted(starts):
+        size = min(len(data), len(last)) - 2
+        if size > 0 and len(last) - len(data) < 4 and data[:size] == last[:size]:
+            continue
+        last = data
+        for at in _opened(data):
             if (source := _unpacked(data[at:] if at else data)) is not None:
                 yield from ((step + at * 4 // 3, len(body), text) for text in _texts(source()))
-        whole, first, at = data.decode("utf-8", "surrogateescape"), 0, 0
-        for last, next_ in chain((m.span() for m in BAD.finditer(whole)), ((len(whole), len(whole)),)):
-            text = whole[first:last]
-            end = at + len(text.encode("utf-8"))
-            if len(text) >= SHORTEST:
+        if not step and (source := _raw(data)) is not None:
+            yield from ((0, len(body), text) for text in _texts(source()))
+        for pattern, codec in WIDE if b"\0" in data else ():
+            for m in pattern.finditer(data):
+                yield step + m.start() * 4 // 3, len(body) if m.end() == len(data) else step + -(-m.end() * 4 // 3), m[0].decode(codec)
+        found = _stretches(data)
+        for at, end in found:
+            if len(text := data[at:end].decode("utf-8")) >= SHORTEST:
                 yield step + at * 4 // 3, len(body) if end == len(data) else step + -(-end * 4 // 3), text
-            first, at = next_, end + next_ - last  # each of these characters is one byte
-        if not step and not BAD.search(whole):
+        if not step and found == [(0, len(data))]:
             return
 
 
@@ -297,7 +409,7 @@ def decoded(layer: Layer) -> Iterator[Layer]:
     else:
         if "%" in text and (parts := list(_percent(text))):
             yield layer.replaced(parts)
-        if ("\\" in text or "&#" in text) and (parts := list(_escapes(text))):
+        if ("\\" in text or "&#" in text or "%u" in text) and (parts := list(_escapes(text))):
             yield layer.replaced(parts)
     yield from _wrapped(layer)
     for m in BASE64.finditer(text):

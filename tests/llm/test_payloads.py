@@ -3,12 +3,14 @@
 import base64
 import bz2
 import gzip
+import io
 import lzma
 import random
 import re
 import time
 import tracemalloc
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -34,6 +36,75 @@ def test_beyond_16_mib(tail):
     assert (0, 0) in found(b64(gzip.compress(data)))
 
 
+def packed(block, times):
+    buffer = io.BytesIO()
+    with gzip.GzipFile(fileobj=buffer, mode="wb") as out:
+        for _ in range(times):
+            out.write(block)
+        out.write(b" " + SECRET)
+    return b64(buffer.getvalue())
+
+
+@pytest.mark.parametrize("block", [b"a" * 1_000_000, b"abcdXYZ0" * 125_000, b"QUFB" * 250_000])
+def test_highly_packed_layers_end_in_time(block):
+    """13 KB or so of text that hold 10 MB of the base64 alphabet, and a secret at their end."""
+    payload = packed(block, 10)
+    began = time.perf_counter()
+    assert (0, 0) in found(payload)
+    assert time.perf_counter() - began < 10
+
+
+def test_a_layer_without_safe_places_is_read_in_windows():
+    payload = packed(b"a" * 1_000_000, 100)
+    tracemalloc.start()
+    assert (0, 0) in found(payload)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_windows_repeat_what_they_cut(monkeypatch):
+    """Wherever a window ends, a secret and an encoded secret are found."""
+    monkeypatch.setattr(secrets, "UNPACKED", 400)
+    monkeypatch.setattr(secrets, "SLACK", 100)
+    monkeypatch.setattr(secrets, "OVERLAP", 120)
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    for n in range(300, 700, 7):
+        assert (0, 0) in found(b64(gzip.compress(b"x" * n + b"token=abcdefgh12" + b"x" * 300)))
+        assert (0, 0) in found(b64(gzip.compress(b"x" * n + b64(b"some words token=abcdefgh12 more").encode() + b"x" * 300)))
+
+
+@pytest.mark.parametrize("codec", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_base64_of_utf_16(codec):
+    assert any(a in (0, 2) and b == 0 for a, b in found(b64("some words, token=abcdefgh1".encode(codec))))  # a byte order mark stands before
+
+
+def test_raw_deflate_and_percent_u():
+    pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert (0, 0) in found(b64(pack.compress(b"some words, then " + SECRET) + pack.flush()))
+    assert (0, 0) in found("".join(f"%u{ord(c):04X}" for c in "token=abcdefgh1"))
+
+
+def test_texts_between_other_bytes():
+    """Against decoding everything and parting it by what is no text."""
+    rng = random.Random(1)
+    parts = [b"a", b"word ", "é日😀".encode(), "é".encode(), b"\xff", b"\x00", b"\xe0\x80\x80", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc3", b"\n", b"\x85", b"\xe2\x82"]
+    for _ in range(3000):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        want, at = [], 0
+        for text in re.split("([\x00-\x08\x0e-\x1f\x7f\udc80-\udcff])", data.decode("utf-8", "surrogateescape")):
+            size = len(text.encode("utf-8", "surrogateescape"))
+            want += [(at, at + size)] if size >= secrets.SHORTEST else []
+            at += size
+        assert secrets._stretches(data) == want
+
+
+def test_assignments_are_those_of_the_pattern():
+    rng = random.Random(5)
+    for _ in range(5000):
+        text = "".join(rng.choice(["password", "Passwd", "SECRET", "token", "api", "_", "key", "\u212aey", "=", ":", " ", '"', "'", "abcdefgh", "x", "\u0130", "\u017fecret", "."]) for _ in range(rng.randint(0, 14)))
+        assert [m.span() for m in secrets._assigned(text)] == [m.span() for m in secrets.ASSIGN.finditer(text)]
+
+
 @pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
 def test_further_members(pack):
     assert (0, 0) in found(b64(pack(b"first member, no secret") + pack(SECRET)))
