@@ -152,7 +152,8 @@ def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     ratio = (2 - threshold) / threshold
     low, high = min(sizes) / ratio - _SLACK, max(sizes) * ratio + _SLACK
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    hopeful = numbered.filter(F.col("text").rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(anchors(templates, threshold))})(?![0-9a-z])"))
+    # The search for anchors is the dearest step, and three passes need its result: it runs once, and the texts that are left are written.
+    hopeful = stage(numbered.filter(F.col("text").rlike(f"(?i)(?<![0-9a-z])(?:{'|'.join(anchors(templates, threshold))})(?![0-9a-z])")))
     rows = hopeful.select("doc_id", "row", F.inline(_units(F.col("text"))))
     words = rows.select("doc_id", "row", "unit", "position", F.filter(F.split("body", "[ \n]+"), lambda w: w != "").alias("words"))
     # A unit of n words has n - 1 bigrams at most, so fewer words can be left out at once.
