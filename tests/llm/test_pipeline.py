@@ -7,6 +7,7 @@ from inkflow.llm import secrets, toxicity
 from inkflow.llm.common import stage, table
 from tests.llm.test_texts import brute_components
 from tests.llm.test_tokens import check_packing
+from tests.llm.test_toxicity import plain_score
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,8 +47,27 @@ def test_run_equals_its_stages(spark):
     assert Counter(map(key, corpus_pipeline.run(spark, DATA).collect())) == Counter(map(key, docs.collect()))
 
 
-def test_odd_documents_pass_all_stages(spark, odd_docs):
-    docs = odd_docs
-    for _, step in corpus_pipeline.STAGES:
-        docs = stage(step(spark, docs, DATA))
-    assert docs.count() > 0
+def _tables(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    table(spark, DATA, "labels").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_documents_by_value(spark, odd_docs, odd_texts, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, a null id and clashing columns, through the whole pipeline."""
+    found = corpus_pipeline.run(spark, _tables(spark, tmp_path, odd_docs)).collect()
+    weights = toxicity.train(table(spark, str(tmp_path), "documents"), table(spark, DATA, "labels").filter(toxicity.fold() != 1))
+    wanted = dict(zip(weights.cells.tolist(), weights.values.tolist(), strict=True))
+    clean = [(i, t) for i, t in odd_texts if plain_score((t or "").encode(), wanted, weights.bias) < toxicity.THRESHOLD]
+    first = brute_components(clean, corpus_pipeline.PERCENT)
+    kept = [(i, t) for i, t in clean if i is None or first[i] == i]
+    assert len(kept) < len(clean)
+    check_packing(found, [(i, secrets.redact(t or "", secrets.scan(t or "")[1])) for i, t in kept])
+
+
+def test_empty_tables(spark, no_docs, tmp_path):
+    folder = _tables(spark, tmp_path, no_docs)
+    docs = no_docs
+    for i, (_, step) in enumerate(corpus_pipeline.STAGES):
+        docs = step(spark, docs, folder)
+        assert docs.collect() == [] and (i == 3 or docs.columns == no_docs.columns)

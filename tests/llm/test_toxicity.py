@@ -1,0 +1,93 @@
+"""Features, FTRL and scores of the toxicity model against forms in dictionaries and loops."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkflow.llm import toxicity
+from inkflow.llm.common import mix, word_hashes
+
+
+def _hash(word):
+    return int(word_hashes([word])[0][0])
+
+
+def plain_cells(text):
+    """The cells of a text, one feature after another."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    hashes = [_hash(w) for w in words]
+    found = {h >> 44 for h in hashes}
+    found |= {(_hash(w[: toxicity.STEM]) ^ 0x5851F42D4C957F2D) >> 44 for w in words}
+    for gap in (1, 2, 3):
+        for a, b in zip(hashes, hashes[gap:], strict=False):
+            found.add(int(mix(np.array([(a * (0x9E3779B97F4A7C15 + 2 * gap) + b) % 2**64], dtype=np.uint64))[0]) >> 44)
+    return found
+
+
+def plain_score(text, weights, bias):
+    total = bias + sum(weights.get(c, 0.0) for c in plain_cells(text))
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, total))))
+
+
+class Plain:
+    """FTRL-proximal, a coordinate at a time; None is the bias."""
+
+    def __init__(self):
+        self.z, self.n = {}, {}
+
+    def weight(self, i):
+        z, n = self.z.get(i, 0.0), self.n.get(i, 0.0)
+        l1 = 0.0 if i is None else toxicity.L1
+        return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+
+    def learn(self, cells, label):
+        at = [*cells, None]
+        w = {i: self.weight(i) for i in at}
+        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - label
+        for i in at:
+            n = self.n.get(i, 0.0)
+            sigma = (math.sqrt(n + g * g) - math.sqrt(n)) / toxicity.ALPHA
+            self.z[i] = self.z.get(i, 0.0) + g - sigma * w[i]
+            self.n[i] = n + g * g
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    return [" ".join(rng.choice(["vile", "Awful", "vilest"] if i % 4 == 0 and rng.random() < 0.3 else vocabulary) for _ in range(rng.randint(0, 25))) for i in range(120)]
+
+
+def test_features(texts):
+    rows = [t.encode() for t in [*texts[:30], "", "one", "É è\tÉ\x0bè  x", "a b", "a b c d"]]
+    cells, begins = toxicity.features(rows)
+    assert [set(cells[a:b].tolist()) for a, b in zip(begins[:-1], begins[1:], strict=True)] == [plain_cells(r) for r in rows]
+
+
+def test_training_and_scores(spark, texts):
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, turn string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows if i % 3] + [(200, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    weights = toxicity.train(docs, labels)
+    order = [r["doc_id"] for r in labels.filter("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    learned = [(plain_cells(texts[i].encode()), int(i % 4 == 0)) for i in order if i < len(texts)]
+    often = {}
+    for cells, _ in learned:
+        for c in cells:
+            often[c] = often.get(c, 0) + 1
+    model = Plain()
+    for _ in range(toxicity.EPOCHS):
+        for cells, label in learned:
+            model.learn([c for c in cells if often[c] >= toxicity.LEAST_ROWS], label)
+    wanted = {c: w for c in often if (w := model.weight(c))}
+    assert len(wanted) > 5
+    found = dict(zip(weights.cells.tolist(), weights.values.tolist(), strict=True))
+    assert found.keys() == wanted.keys() and all(found[c] == pytest.approx(wanted[c], rel=1e-6, abs=1e-9) for c in wanted)
+    assert weights.bias == pytest.approx(model.weight(None), rel=1e-6)
+    for r in toxicity.score(docs, weights).collect():
+        assert r["score"] == pytest.approx(plain_score(texts[r["doc_id"]].encode(), wanted, weights.bias), rel=1e-6)
+        assert r["predicted"] == (r["score"] >= toxicity.THRESHOLD)
