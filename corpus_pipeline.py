@@ -19,25 +19,41 @@ PERCENT = 80
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject; it learns from the labelled rows outside the held-out fold."""
+    """The documents that the classifier doesn't reject, with all their columns; it learns from the labelled rows outside the held-out fold.
+
+    A null text is judged as an empty one; rows without doc_id and rows that repeat are judged like others. Without labels, or
+    documents for them, every score is 0.5 and all stay. No rows give none.
+    """
     weights = toxicity.train(docs, table(spark, sf_dir, "labels").filter(toxicity.fold() != 1))
     return toxicity.accepted(docs, weights)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id, and all others without a duplicate."""
+    """One document of each group of near duplicates, that of the smallest doc_id, and all others without a duplicate.
+
+    Null and empty texts are no duplicates. Rows that repeat a doc_id are one document, and stay or go together; rows without
+    doc_id stay. Columns are kept, also those whose names the operator uses. No rows give none.
+    """
     dropped = stage(neardup.near_duplicates(docs, PERCENT).filter("not kept").select("doc_id"))
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and n_chars to match."""
+    """All documents, with secrets replaced in their texts and n_chars to match; other columns stay.
+
+    A null text stays null and keeps its n_chars; repeated rows and rows without doc_id are treated like others. No rows give none.
+    """
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; see packing.pack.
+
+    A null text is empty: one piece, the end's id. Repeated rows, and rows without doc_id, are documents of their own. Other
+    columns are left behind. No rows give none.
+    """
     return packing.pack(stage(packing.pieces(docs)))
 
 
