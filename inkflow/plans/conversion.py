@@ -8,19 +8,25 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from inkflow.config import Config, OptionError
-from inkflow.operators.convert import convert
+from inkflow.operators.convert import convert, manifest
 from inkflow.sources import archives, files
 from inkflow.sources.zips import write_zip
 
 log = logging.getLogger("inkflow")
 
 
-def entries(spark: SparkSession, config: Config) -> DataFrame:
+def entries(spark: SparkSession, config: Config, heads: bool = False) -> DataFrame:
+    """The pictures of the source; with heads, only as much of each as its header takes (rar files are read whole)."""
     if files.is_folder(spark, config.source):
-        return archives.folder_entries(spark, config.source)
+        return archives.folder_entries(spark, config.source, heads=heads)
     if files.head(spark, config.source, 4) == b"Rar!":
         return archives.rar_entries(spark, config.source, config.password)
-    return archives.zip_entries(spark, config.source, config.charsets, config.password)
+    return archives.zip_entries(spark, config.source, config.charsets, config.password, heads=heads)
+
+
+def preview(spark: SparkSession, config: Config) -> DataFrame:
+    """What run would do with each member, by headers alone: no picture is read whole."""
+    return manifest(entries(spark, config, heads=True), config.ratio)
 
 
 def run(spark: SparkSession, config: Config) -> int:

@@ -76,11 +76,14 @@ def listed(spark: SparkSession, archives: DataFrame, charsets: Sequence[str]) ->
     return _java(spark, "members", archives.select("path", "length"), ",".join(CODECS[c] for c in charsets))
 
 
-def opened(members: DataFrame, password: str | None = None) -> DataFrame:
-    """ENTRIES of members: content by one ranged read each, where it is asked for; a size or checksum that differs fails the query."""
+def opened(members: DataFrame, password: str | None = None, heads: bool = False) -> DataFrame:
+    """ENTRIES of members: content by one ranged read each, where it is asked for; a size or checksum that differs fails the query.
+
+    heads: only as many of a picture's first bytes as its header takes are fetched and unpacked, without a check.
+    """
     spark = members.sparkSession
-    jvm.call(spark, jvm.load(spark, SOURCE), "reader", spark._jsparkSession, "inkflow_member", password)
-    content = F.call_function("inkflow_member", *(F.col(c) for c in ("file", "path", "at", "packed", "size", "crc", "method", "flags")))
+    jvm.call(spark, jvm.load(spark, SOURCE), "reader", spark._jsparkSession, password)
+    content = F.call_function("inkflow_head" if heads else "inkflow_member", *(F.col(c) for c in ("file", "path", "at", "packed", "size", "crc", "method", "flags")))
     return members.select("archive", "path", names.extension(F.col("path")).alias("ext"), "size", "mode", F.try_to_timestamp("mtime").alias("mtime"), content.alias("content"))
 
 
@@ -101,13 +104,13 @@ def tasks_for(spark: SparkSession, size: int) -> int:
     return min(max(workers(spark.sparkContext.defaultParallelism), -(-size // SPLIT)), MOST_TASKS)
 
 
-def zip_entries(spark: SparkSession, path: str, charsets: Sequence[str] = ("ShiftJIS", "GB18030"), password: str | None = None, partitions: int | None = None) -> DataFrame:
+def zip_entries(spark: SparkSession, path: str, charsets: Sequence[str] = ("ShiftJIS", "GB18030"), password: str | None = None, partitions: int | None = None, heads: bool = False) -> DataFrame:
     """The pictures of zip files (a path, folder or pattern): ENTRIES, of which a task reads SPLIT bytes, about."""
     found = _found(spark, path)
     size = sum(length for _, length in found)
     tasks = partitions or tasks_for(spark, size)
     members = listed(spark, spark.createDataFrame(found, "path string, length long"), charsets)
-    return opened(dealt(pictures(members), tasks, size), password)
+    return opened(dealt(pictures(members), tasks, size), password, heads)
 
 
 def folder_members(spark: SparkSession, path: str) -> DataFrame:
@@ -118,11 +121,11 @@ def folder_members(spark: SparkSession, path: str) -> DataFrame:
     return _java(spark, "walk", spark.createDataFrame(starts, "root string, start string"))
 
 
-def folder_entries(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def folder_entries(spark: SparkSession, path: str, partitions: int | None = None, heads: bool = False) -> DataFrame:
     """The pictures below a folder: ENTRIES. Endings are tested at the listing, so other files aren't opened."""
     found = pictures(folder_members(spark, path))
     tasks = partitions or tasks_for(spark, found.agg(F.sum("size")).first()[0] or 0)
-    return opened(dealt(found, tasks))
+    return opened(dealt(found, tasks), heads=heads)
 
 
 def rar_entries(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:

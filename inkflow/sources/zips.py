@@ -50,6 +50,7 @@ def _finish(spark: SparkSession, members: DataFrame, folder: str) -> int:
     """Writes the directory of members that lie in part files, and joins all into folder/whole."""
     # Local header, name and body of every member of a part.
     parts = members.groupBy("file").agg(F.sum(30 + F.octet_length("out_path") + F.col("size")).alias("bytes")).orderBy("file").collect()  # one for each task that wrote
+    _seen(spark, folder, {p["file"]: p["bytes"] for p in parts})
     bases = list(accumulate((p["bytes"] for p in parts), initial=0))
     base = spark.createDataFrame([(p["file"], b) for p, b in zip(parts, bases, strict=False)], "file string, base long")
     placed = members.join(F.broadcast(base), "file").withColumns({"at": F.col("at") + F.col("base"), "key": names.walk_key(F.col("path"))})
@@ -58,6 +59,17 @@ def _finish(spark: SparkSession, members: DataFrame, folder: str) -> int:
     count, start = sum(e["members"] for e in entries), bases[-1]
     starts = list(accumulate((e["bytes"] for e in entries), initial=start))
     jvm.call(spark, jvm.load(spark, SOURCE), "finish", spark._jsparkSession, f"{folder}/end", start, starts[-1] - start, count)
+    system, end = files.place(spark, f"{folder}/end")
+    total = starts[-1] + system.getFileStatus(end).getLen()
     pieces = [*zip((p["file"] for p in parts), bases, strict=False), *zip((e["file"] for e in entries), starts, strict=False), (f"{folder}/end", starts[-1])]
     jvm.call(spark, jvm.load(spark, SOURCE), "joined", spark.createDataFrame(pieces, "file string, at long").orderBy("at")._jdf, f"{folder}/whole")
+    _seen(spark, folder, {f"{folder}/whole": total})
     return count
+
+
+def _seen(spark: SparkSession, folder: str, sizes: dict[str, int]) -> None:
+    """Raises unless the driver sees the files that tasks wrote, whole: a local folder of a cluster isn't shared."""
+    system, where = files.place(spark, folder)
+    found = {s.getPath().getName(): s.getLen() for s in system.listStatus(where)}
+    if missing := [path for path, size in sizes.items() if found.get(path.rsplit("/", 1)[1]) != size]:
+        raise OSError(f"{missing[0]} isn't what a task wrote; do the driver and all executors share the output's folder?")

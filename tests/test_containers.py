@@ -78,6 +78,51 @@ def test_filters_go_below_the_reading(spark, tmp_path):
         archives.zip_entries(spark, str(tmp_path / "f.zip")).collect()
 
 
+def jpeg(width, height, before, behind):
+    """A JPEG's headers behind `before` bytes of metadata, and bytes that stand for the picture."""
+    segment = lambda kind, body: b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    meta = b"".join(segment(0xE1, b"\xff\xc0" * 30000) for _ in range(before // 60000))
+    return b"\xff\xd8" + meta + segment(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\1\1\x11\0") + behind
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2])
+def test_a_preview_reads_headers_only(spark, tmp_path, method):
+    noise = random.Random(4).randbytes(8 << 20)
+    inside = {"a.jpg": jpeg(640, 480, 0, noise), "deep.jpg": jpeg(1600, 900, 1 << 20, noise), "p.png": png(30, 20)[:33] + noise, "b.bmp": png(9, 9), "short.jpg": b"\xff\xd8" + b"\xff\xc0\0\x0b\x08\0\5\0\6\1"}
+    with zipfile.ZipFile(tmp_path / "h.zip", "w", method) as out:
+        for name, content in inside.items():
+            out.writestr(name, content)
+            (tmp_path / "pages").mkdir(exist_ok=True)
+            (tmp_path / "pages" / name).write_bytes(content)
+    want = {("a.jpg", "jpeg", 640, 480), ("deep.jpg", "jpeg", 1600, 900), ("p.png", "png", 30, 20), ("b.bmp", "png", 9, 9), ("short.jpg", "jpeg", 6, 5)}
+    for source in ("h.zip", "pages"):
+        before = bytes_read(spark)
+        found = conversion.preview(spark, Config(str(tmp_path / source))).collect()
+        assert {(r["path"], r["engine"], r["width"], r["height"]) for r in found} == want
+        if method != zipfile.ZIP_BZIP2:
+            assert bytes_read(spark) - before < 4 << 20
+        whole = convert.manifest(conversion.entries(spark, Config(str(tmp_path / source)))).collect()
+        assert sorted(map(tuple, whole)) == sorted(map(tuple, found))
+    (tmp_path / "pages" / "no.jpg").write_bytes(b"\xff\xd8\xff\xe0\xff\xff cut")
+    with pytest.raises(Exception, match="no.jpg error, unknown image"):
+        conversion.preview(spark, Config(str(tmp_path / "pages"))).collect()
+
+
+def test_folders_are_no_rows(spark, tmp_path):
+    """Root markers and folders, also such as are listed twice, give no rows; what lies in them does."""
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as out, pytest.warns(UserWarning):
+        for name in ("/", "./", "d.png/", "d.png/a.png", "d.png/"):
+            out.writestr(name, b"x" if name.endswith("a.png") else b"")
+    assert [r["path"] for r in archives.zip_members(spark, str(tmp_path / "f.zip")).collect()] == ["d.png/a.png"]
+
+
+def test_a_row_keeps_its_header_and_drops_its_content(spark, tmp_path):
+    source = archive(tmp_path / "a.zip", {"a.png": png(30, 20), "b.png": png(10, 40)})
+    converted = convert.convert(archives.zip_entries(spark, source))
+    assert {"content", "picture"}.isdisjoint(converted.columns)
+    assert {(r["path"], r["engine"], r["width"], r["height"]) for r in converted.collect()} == {("a.png", "png", 30, 20), ("b.png", "png", 10, 40)}
+
+
 def test_git_of_a_folder_is_not_listed(spark, tmp_path):
     inside = {".git/a.png": b"x", ".git/deep/b.png": b"x", "x/.git/c.png": b"c", "_d/_e.png": b"e", ".f.png": b"f", "a:b/g h%20.png": b"g", "t.txt": b"t", "h.PNG": b"h", ".gitx/i.png": b"i", "[1]/j.png": b"j"}
     for name, content in inside.items():
@@ -172,6 +217,12 @@ def test_a_failing_row_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_part_files_that_the_driver_does_not_see(spark, tmp_path):
+    members = spark.createDataFrame([("a", "a.jpg", False, f"{tmp_path}/bodies-0", 0, 1, 0)], "path string, out_path string, warn_small boolean, file string, at long, size long, crc long")
+    with pytest.raises(OSError, match="share the output's folder"):
+        zips._finish(spark, members, str(tmp_path))
+
+
 def test_an_output_over_4_gib(spark, tmp_path):
     """Part files as tasks leave them, with holes for contents of zeros; 70,000 members besides."""
     size, part, zeros, crc = 1_700_000_000, tmp_path / "parts" / "bodies-0", b"\0" * (1 << 24), 0
