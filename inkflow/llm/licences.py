@@ -123,7 +123,7 @@ def passages(docs: DataFrame, index: DataFrame, threshold: float = THRESHOLD) ->
     keyed = docs.withColumn("key", F.sha2("text", 256))
     lines = keyed.select("row", "key", F.posexplode(_lines(F.col("text"))).alias("rank", "line"))
     grams = lines.select("row", "key", "rank", _grams(F.col("line.words")).alias("grams")).select("row", "key", "rank", F.size("grams").alias("n"), F.explode("grams").alias("bigram"))
-    own = grams.join(index, "bigram").groupBy("row", "rank", "template").agg(F.first("key").alias("key"), F.count("*").alias("both"), F.first("n").alias("n"), F.first("size").alias("size")).filter("2 * both >= n")
+    own = grams.join(index, "bigram").groupBy("row", "key", "rank", "template").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("size").alias("size")).filter("2 * both >= n")
     counted = own.groupBy("key", "rank", "template").agg(F.first("both").alias("both"), F.first("size").alias("size"))  # copies of a text count once
     island = F.col("rank") - F.row_number().over(Window.partitionBy("key", "template").orderBy("rank"))
     runs = counted.withColumn("island", island).groupBy("key", "template", "island").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.sum("both").alias("most"), F.first("size").alias("size"))
@@ -135,7 +135,7 @@ def passages(docs: DataFrame, index: DataFrame, threshold: float = THRESHOLD) ->
     chosen = found.select("doc_id", "row", "template", F.slice(_lines(F.col("text")), F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("lines"))
     sets = chosen.select("doc_id", "row", "template", F.col("lines")[0]["position"].alias("position"), _grams(F.flatten("lines.words")).alias("grams"))
     sized = sets.select("doc_id", "row", "template", "position", F.size("grams").alias("n"), F.explode("grams").alias("bigram")).join(index, ["bigram", "template"])
-    both = sized.groupBy("row", "template", "position").agg(F.first("doc_id").alias("doc_id"), F.first("licence").alias("licence"), F.first("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("both"))
+    both = sized.groupBy("row", "doc_id", "template", "licence", "position").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("both"))
     dice = (2.0 * F.col("both")) / (F.col("n") + F.col("size"))
     return both.select("doc_id", "row", F.lit("passage").alias("unit"), "position", "template", "licence", dice.alias("dice")).filter(F.col("dice") >= threshold)
 
@@ -162,7 +162,8 @@ def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     sets = sized.select("doc_id", "row", "unit", "position", grams.alias("grams")).filter(F.size("grams").between(low, high))
     pairs = sets.select("doc_id", "row", "unit", "position", F.size("grams").alias("n"), F.explode("grams").alias("bigram")).join(index, "bigram")
     bounded = pairs.filter((F.col("n") >= F.col("size") / ratio - _SLACK) & (F.col("n") <= F.col("size") * ratio + _SLACK))
-    counted = bounded.groupBy("row", "unit", "position", "template").agg(F.first("doc_id").alias("doc_id"), F.first("licence").alias("licence"), F.first("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("both"))
+    # Texts are keys, not values, of an aggregate: so it hashes, and sorts no bigrams.
+    counted = bounded.groupBy("row", "doc_id", "unit", "position", "template", "licence").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("both"))
     dice = (2.0 * F.col("both")) / (F.col("n") + F.col("size"))
     units = counted.withColumn("dice", dice).filter(F.col("dice") >= threshold).select("doc_id", "row", "unit", "position", "template", "licence", "dice")
     best = Window.partitionBy("row", "unit", "position").orderBy(F.desc("dice"), "licence", "template")
